@@ -128,12 +128,10 @@ def gap_distance_arrays(queries: DataFrame, series: DataFrame, shape: Shape,
     dists = F.array(*[
         F.struct(F.lit(one).alias("d"), F.when(usable, dist).alias("dist"))
         for one, dist in zip(d, _array_distances(d))])
-    if not keep_unusable:
-        kept = kept.where((F.size("kept_left") > 0) | (F.size("kept_right") > 0))
-    return (
-        kept.select("series_id", "q_idx", *CANDIDATE, F.explode(dists).alias("x"))
-        .select("series_id", "q_idx", *CANDIDATE, "x.d", "x.dist")
-    )
+    rows = kept.select("series_id", "q_idx", *CANDIDATE, F.explode(dists).alias("x")).select(
+        "series_id", "q_idx", *CANDIDATE, "x.d", "x.dist")
+    # Asked after the explode, so that the offsets are searched once per candidate.
+    return rows if keep_unusable else rows.where("dist IS NOT NULL")
 
 
 def l2_distance(queries: DataFrame, series: DataFrame, shape: Shape) -> DataFrame:

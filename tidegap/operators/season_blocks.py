@@ -25,7 +25,7 @@ class Shape:
     period: int
     width: int
     max_shift: int
-    query_seasons: int = 4
+    query_seasons: int = 2
     history_seasons: int = 128
 
     @property
@@ -107,4 +107,6 @@ def tile_sides(queries: DataFrame, series: DataFrame, shape: Shape) -> tuple[Dat
             F.col("season").cast("int").alias("season"), "n_slots", "vals")
     )
     keys = ["series_id", "qc", "hc"]
-    return left.repartition(tasks, *keys), right.repartition(tasks, *keys)
+    # toDF gives the columns of the two sides identities of their own.
+    return (left.toDF(*left.columns).repartition(tasks, *keys),
+            right.toDF(*right.columns).repartition(tasks, *keys))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from tidegap.operators.neighbours import MAX_DISTANCE, OWN_SLOT
 from tidegap.operators.season_blocks import Shape, tile_sides
 
 _SCHEMA = (
@@ -17,44 +18,48 @@ _SCHEMA = (
     "shift_rank int, season int, h_value double"
 )
 # Array elements compared at a time; small enough for a processor cache.
-_BATCH = 1 << 16
+_BATCH = 1 << 15
 
 
-def _tile_function(shape: Shape, k: list[int], d: list[int], v: list[int]):
+def _tile_function(shape: Shape, k: list[int], d: list[int], v: list[int],
+                   sentinel: float | None):
     """The function for one tile. It is a closure so that workers need no import."""
     period, width, max_shift, margin = shape.period, shape.width, shape.max_shift, shape.margin
     d, v, k_max, batch = sorted(d), sorted(v), max(k), _BATCH
+    far_away, own_mark = MAX_DISTANCE, OWN_SLOT
 
     def side_sums(diff):
         """Per ``d``: weighted difference and weight of one side, nearest first."""
         import numpy as np
 
         valid = ~np.isnan(diff)
-        j = np.arange(1.0, diff.shape[1] + 1)
-        diff = np.where(valid, diff, 0.0)
-        rank = valid.cumsum(axis=1)
-        sums = [a.cumsum(axis=1) for a in (diff, diff * j, valid * j)]
-        rows = np.arange(len(diff))
-        first = valid.argmax(axis=1) + 1
-        last = diff.shape[1] - valid[:, ::-1].argmax(axis=1)
-        out = []
-        for one in d:
-            at = np.minimum((rank < one).sum(axis=1), diff.shape[1] - 1)
-            n = rank[rows, at]
-            far = np.where(n < one, last, at + 1)
-            ends = first + far
-            sd, sjd, sj = (a[rows, at] for a in sums)
-            out.append((np.where(n > 0, ends * sd - sjd, 0.0), np.where(n > 0, ends * n - sj, 0.0)))
-        return out, rank[:, -1]
+        found = valid.sum(axis=1)
+        start = found.cumsum() - found
+        # The joint offsets of all rows, one row after the other; 0 ends the list.
+        j = np.append(np.flatnonzero(valid) % diff.shape[1] + 1.0, 0.0)
+        x = np.append(diff[valid], 0.0)
+        kept = np.minimum(found[:, None], d)
+        steps = np.concatenate([np.zeros((len(diff), 1), kept.dtype), kept], axis=1)
+        marks = start[:, None] + steps
+        filled = np.diff(steps, axis=1) > 0
+
+        def first_d(a):
+            parts = np.add.reduceat(a, marks.ravel()).reshape(marks.shape)[:, :-1]
+            return np.where(filled, parts, 0.0).cumsum(axis=1)
+
+        ends = j[start][:, None] + j[np.maximum(start[:, None] + kept - 1, 0)]
+        some = kept > 0
+        return (np.where(some, ends * first_d(x) - first_d(x * j), 0.0),
+                np.where(some, ends * kept - first_d(j), 0.0), found)
 
     def distances(left, right, query_left, query_right, reach):
         """Distance per candidate and ``d``; looks further where ``d`` are not found."""
         import numpy as np
 
-        sums_l, found_l = side_sums(np.abs(left[:, :reach] - query_left[:reach]))
-        sums_r, found_r = side_sums(np.abs(right[:, :reach] - query_right[:reach]))
-        with np.errstate(invalid="ignore", divide="ignore"):
-            dist = np.stack([(a + c) / (b + e) for (a, b), (c, e) in zip(sums_l, sums_r)], axis=1)
+        num_l, den_l, found_l = side_sums(np.abs(left[:, :reach] - query_left[:reach]))
+        num_r, den_r, found_r = side_sums(np.abs(right[:, :reach] - query_right[:reach]))
+        with np.errstate(invalid="ignore"):
+            dist = (num_l + num_r) / (den_l + den_r)
         more = np.flatnonzero((found_l < d[-1]) | (found_r < d[-1]))
         if reach < width and len(more):
             dist[more] = distances(left[more], right[more], query_left, query_right, width)
@@ -90,9 +95,11 @@ def _tile_function(shape: Shape, k: list[int], d: list[int], v: list[int]):
                     near[hit, own[hit]] = np.nan
                 win = np.lib.stride_tricks.sliding_window_view(near, 2 * width + 1, axis=1)
                 h_idx = season[:, None] * period + slot + shifts
-                usable = (~np.isnan(win[:, :, width])
-                          & (h_idx >= width) & (h_idx + width <= n_slots - 1))
+                usable = (h_idx >= width) & (h_idx + width <= n_slots - 1)
+                if sentinel is None:
+                    usable &= ~np.isnan(win[:, :, width])
                 b, s = usable.nonzero()
+                value = win[b, s, width]
                 reach = min(width, 2 * d[-1])
                 step = max(1, batch // reach)
                 dist = np.empty((len(b), len(d)))
@@ -100,6 +107,11 @@ def _tile_function(shape: Shape, k: list[int], d: list[int], v: list[int]):
                     w = win[b[lo:lo + step], s[lo:lo + step]]
                     dist[lo:lo + step] = distances(
                         w[:, width - 1::-1], w[:, width + 1:], q_left[i], q_right[i], reach)
+                if sentinel is not None:
+                    dist[np.isnan(value)] = np.nan
+                    dist = np.where(np.isnan(dist), far_away, dist)
+                    value = np.where(h_idx[b, s] == q, own_mark, value)
+                    value = np.where(np.isnan(value), sentinel, value)
                 ring = rings[s]
                 for r in range(len(v)):
                     members = np.flatnonzero((ring == r) & ~np.isnan(dist[:, 0]))
@@ -109,11 +121,11 @@ def _tile_function(shape: Shape, k: list[int], d: list[int], v: list[int]):
                             # Ties with the last one stay; Spark settles them.
                             keep = far <= np.partition(far, k_max - 1)[k_max - 1]
                             found, far = members[keep], far[keep]
-                        parts.append((q, one, r, found, far, b[found], shifts[s[found]]))
-                        parts[-1] += (win[b[found], s[found], width],)
+                        parts.append((q, one, r, len(found), far, b[found],
+                                      shifts[s[found]], value[found]))
         if not parts:
             return pa.table([pa.array([], t) for t in types], names=names)
-        sizes = [len(p[3]) for p in parts]
+        sizes = [p[3] for p in parts]
         shift = np.concatenate([p[6] for p in parts])
         columns = [
             pa.array([queries["series_id"][0].as_py()] * sum(sizes), pa.string()),
@@ -132,9 +144,13 @@ def _tile_function(shape: Shape, k: list[int], d: list[int], v: list[int]):
 
 
 def nearest_per_tile(queries: DataFrame, series: DataFrame, shape: Shape, k: list[int],
-                     d: list[int], v: list[int]) -> DataFrame:
-    """Candidates that hold the ``max(k)`` nearest per query, ``d`` and ring."""
+                     d: list[int], v: list[int], sentinel: float | None = None) -> DataFrame:
+    """Candidates that hold the ``max(k)`` nearest per query, ``d`` and ring.
+
+    With a ``sentinel`` unusable candidates stay, as in
+    :func:`tidegap.operators.neighbours.reference_distances`.
+    """
     left, right = tile_sides(queries.select("series_id", "q_idx"), series, shape)
     keys = ["series_id", "qc", "hc"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
-        _tile_function(shape, k, d, v), _SCHEMA)
+        _tile_function(shape, k, d, v, sentinel), _SCHEMA)
