@@ -37,5 +37,11 @@ def floor_div(x: Column, by) -> Column:
     return F.call_function("div", x - F.pmod(x, by), by)
 
 
+def div(x: str | Column, by) -> Column:
+    """Integer division of numbers that are not negative."""
+    x = F.col(x) if isinstance(x, str) else x
+    return F.call_function("div", x, by if isinstance(by, Column) else F.lit(by))
+
+
 def slot_number(df: DataFrame, ts_col: str, step_us: int) -> Column:
     return floor_div(epoch_micros(df, ts_col), F.lit(step_us).cast("bigint"))

@@ -61,7 +61,12 @@ def gap_distance_joins(queries: DataFrame, series: DataFrame, shape: Shape,
 def _array_candidates(queries: DataFrame, series: DataFrame, shape: Shape) -> DataFrame:
     """Candidates next to the arrays their windows are slices of."""
     left, right = tile_sides(queries, series, shape)
-    met = left.join(right, ["series_id", "qc", "hc"])
+    at = F.lit(shape.margin + 1) + F.col("slot")
+    windows = left.withColumn("slot", F.explode("slots")).select(
+        "series_id", "qc", "hc", (F.col("q_season") * shape.period + F.col("slot")).alias("q_idx"),
+        F.reverse(F.slice("q_vals", at - shape.width, shape.width)).alias("q_left"),
+        F.slice("q_vals", at + 1, shape.width).alias("q_right"))
+    met = windows.join(right, ["series_id", "qc", "hc"])
     # The query's own slot is missing in every window that covers it.
     own = F.col("q_idx") - F.col("season") * shape.period + shape.margin
     vals = F.when(

@@ -23,43 +23,45 @@ def ring_of(shift: Column, v: list[int]) -> Column:
 
 
 def nearest_per_ring(distances: DataFrame, k: list[int], v: list[int]) -> DataFrame:
-    """The ``max(k)`` nearest candidates per query, ``d`` and ring.
+    """The ``max(k)`` nearest candidates per query, ``d`` and ring, once per ``v``.
 
     Spark cuts to ``max(k)`` rows per group before it shuffles them.
     """
-    inside = distances.withColumn("ring", ring_of(F.col("shift"), v)).where(
-        F.abs(F.col("shift")) <= max(v))
+    v = sorted(v)
+    inside = distances.where(F.abs(F.col("shift")) <= v[-1]).withColumn(
+        "ring", ring_of(F.col("shift"), v))
     group = Window.partitionBy("series_id", "q_idx", "d", "ring").orderBy(*NEAREST_FIRST)
-    return inside.withColumn("_rn", F.row_number().over(group)).where(
-        F.col("_rn") <= max(k)).drop("_rn")
+    v_of_ring = F.slice(F.array(*map(F.lit, v)), F.col("ring") + 1, len(v))
+    return (
+        inside.withColumn("_rn", F.row_number().over(group))
+        .where(F.col("_rn") <= max(k))
+        .select("series_id", "q_idx", "d", F.explode(v_of_ring).alias("v"), *NEAREST_FIRST, "h_value")
+    )
 
 
-def with_empty(nearest: DataFrame, queries: DataFrame, d: list[int]) -> DataFrame:
-    """Add one row without distance per query and ``d``, so that none is lost."""
-    return nearest.select("series_id", "q_idx", "d", "ring", *NEAREST_FIRST, "h_value").unionByName(
-        queries.select(
-            "series_id", "q_idx", F.explode(F.array(*map(F.lit, d))).alias("d"),
-            F.lit(0).alias("ring"), F.lit(None).cast("double").alias("dist"),
-            F.lit(None).cast("int").alias("shift_rank"),
-            F.lit(None).cast("int").alias("season"),
-            F.lit(None).cast("double").alias("h_value")))
+def with_empty(nearest: DataFrame, queries: DataFrame, d: list[int], v: list[int]) -> DataFrame:
+    """Add one row without distance per query, ``d`` and ``v``, so that none is lost."""
+    per_d = queries.select("series_id", "q_idx", F.explode(F.array(*map(F.lit, d))).alias("d"))
+    empty = per_d.select(
+        "series_id", "q_idx", "d", F.explode(F.array(*map(F.lit, v))).alias("v"),
+        F.lit(None).cast("double").alias("dist"), F.lit(None).cast("int").alias("shift_rank"),
+        F.lit(None).cast("int").alias("season"), F.lit(None).cast("double").alias("h_value"))
+    return nearest.select(*empty.columns).unionByName(empty)
 
 
 def predict(nearest: DataFrame, queries: DataFrame, k: list[int], d: list[int],
             v: list[int]) -> DataFrame:
     """Mean of the nearest ``k`` for every ``(k, d, v)``; fewer than ``k``: of those.
 
-    ``nearest`` holds at least the ``max(k)`` nearest per query, ``d`` and ring.
+    ``nearest`` holds at least the ``max(k)`` nearest per query, ``d`` and ``v``.
     A query without any candidate gets NULL.
     """
-    v = sorted(v)
-    v_of_ring = F.slice(F.array(*map(F.lit, v)), F.col("ring") + 1, len(v))
-    spread = with_empty(nearest, queries, d).withColumn("v", F.explode(v_of_ring))
     order = [F.col("dist").asc_nulls_last(), *NEAREST_FIRST[1:]]
     group = Window.partitionBy("series_id", "q_idx", "d", "v")
     upto = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = (
-        spread.withColumn("rn", F.row_number().over(group.orderBy(*order)))
+        with_empty(nearest, queries, d, v)
+        .withColumn("rn", F.row_number().over(group.orderBy(*order)))
         .where(F.col("rn") <= max(k) + 1)
         .withColumn("prediction", F.avg("h_value").over(upto))
         .withColumn("last", F.greatest(F.count("dist").over(group), F.lit(1)))

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from tidegap.cluster import task_count
-from tidegap.functions.timegrid import floor_div
+from tidegap.functions.timegrid import div
 from tidegap.operators.series import attach_facts, season_stats
 
 
@@ -44,7 +44,7 @@ def season_blocks(series: DataFrame, shape: Shape) -> DataFrame:
     slot = F.pmod(F.col("idx"), F.lit(period)).cast("int")
     in_order = F.array_sort(F.collect_list(F.struct(slot.alias("slot"), "value")))["value"]
     gap = F.array_repeat(F.lit(None).cast("double"), period)
-    seasons = series.groupBy("series_id", floor_div(F.col("idx"), period).alias("season")).agg(
+    seasons = series.groupBy("series_id", div("idx", period).alias("season")).agg(
         in_order.alias("part")
     ).withColumn("part", F.slice(F.concat("part", gap), 1, period))
 
@@ -64,20 +64,18 @@ def season_blocks(series: DataFrame, shape: Shape) -> DataFrame:
         F.slice(full, period * reach - margin + 1, period + 2 * margin).alias("vals"))
 
 
-def query_windows(queries: DataFrame, blocks: DataFrame, shape: Shape) -> DataFrame:
-    """Queries with both window sides as arrays, nearest slot first."""
-    keyed = queries.withColumn("season", floor_div(F.col("q_idx"), shape.period))
-    centre = F.lit(shape.margin + 1) + F.pmod(F.col("q_idx"), F.lit(shape.period)).cast("int")
-    return keyed.join(blocks, ["series_id", "season"]).select(
-        "series_id", F.col("season").alias("q_season"),
-        *[c for c in queries.columns if c != "series_id"],
-        F.reverse(F.slice("vals", centre - shape.width, shape.width)).alias("q_left"),
-        F.slice("vals", centre + 1, shape.width).alias("q_right"))
+def query_seasons(queries: DataFrame, blocks: DataFrame, shape: Shape) -> DataFrame:
+    """Blocks of the seasons that hold queries, with the queries' slots as an array."""
+    slot = F.pmod(F.col("q_idx"), F.lit(shape.period)).cast("int")
+    asked = queries.groupBy("series_id", div("q_idx", shape.period).alias("season")).agg(
+        F.array_sort(F.collect_set(slot)).alias("slots"))
+    return asked.join(blocks, ["series_id", "season"])
 
 
 def tile_sides(queries: DataFrame, series: DataFrame, shape: Shape) -> tuple[DataFrame, DataFrame]:
-    """Query windows and history blocks, both partitioned on ``series_id, qc, hc``.
+    """Query seasons and history seasons, both partitioned on ``series_id, qc, hc``.
 
+    A query season crosses the shuffle as one array, however many queries it holds.
     Only the seasons that serve as history (second to last but one complete) are in
     the second table. The partition count is fixed, because a tile holds few bytes
     and much work.
@@ -86,24 +84,23 @@ def tile_sides(queries: DataFrame, series: DataFrame, shape: Shape) -> tuple[Dat
     stats = season_stats(series, shape.period).where("n_seasons >= 3").select(
         "series_id", "n_slots", F.col("n_seasons").alias("_n"),
         F.lit(0).cast("bigint").alias("_lo"),
-        floor_div(F.col("n_slots") - 1, shape.period).alias("_hi"))
+        div(F.col("n_slots") - 1, shape.period).alias("_hi"))
     tasks = task_count(series.sparkSession)
+    first = F.lit(0).cast("bigint")
 
-    windows = attach_facts(query_windows(queries, blocks, shape), stats, "q_season", "_lo", "_hi")
-    left = windows.select(
+    asked = attach_facts(query_seasons(queries, blocks, shape), stats, "season", "_lo", "_hi")
+    left = asked.select(
         "series_id",
-        floor_div(F.col("q_season"), shape.query_seasons).alias("qc"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"),
-                             floor_div(F.col("_n") - 2, shape.history_seasons))).alias("hc"),
-        *[c for c in queries.columns if c != "series_id"], "q_left", "q_right")
+        div("season", shape.query_seasons).alias("qc"),
+        F.explode(F.sequence(first, div(F.col("_n") - 2, shape.history_seasons))).alias("hc"),
+        F.col("season").alias("q_season"), "slots", F.col("vals").alias("q_vals"))
     right = (
         attach_facts(blocks, stats, "season", "_lo", "_hi")
         .where(F.col("season").between(F.lit(1), F.col("_n") - 2))
         .select(
             "series_id",
-            F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                 floor_div(F.col("_hi"), shape.query_seasons))).alias("qc"),
-            floor_div(F.col("season"), shape.history_seasons).alias("hc"),
+            F.explode(F.sequence(first, div("_hi", shape.query_seasons))).alias("qc"),
+            div("season", shape.history_seasons).alias("hc"),
             F.col("season").cast("int").alias("season"), "n_slots", "vals")
     )
     keys = ["series_id", "qc", "hc"]

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegap.cluster import task_count
-from tidegap.functions.timegrid import floor_div, slot_number
+from tidegap.functions.timegrid import div, floor_div, slot_number
 
 # Slots per block wherever a series is cut for distribution.
 BLOCK = 4096
@@ -30,11 +30,9 @@ def attach_facts(rows: DataFrame, facts: DataFrame, position: str, lo: str, hi:
     ``facts`` is repeated for each block of positions between its columns ``lo``
     and ``hi``; the join runs on series and block.
     """
-    spread = facts.withColumn(
-        "_block", F.explode(F.sequence(floor_div(F.col(lo), block), floor_div(F.col(hi), block)))
-    )
+    spread = facts.withColumn("_block", F.explode(F.sequence(div(lo, block), div(hi, block))))
     return (
-        rows.withColumn("_block", floor_div(F.col(position), block))
+        rows.withColumn("_block", div(position, block))
         .join(spread, ["series_id", "_block"])
         .drop("_block")
     )
@@ -132,7 +130,7 @@ def season_stats(series: DataFrame, period: int) -> DataFrame:
         (F.max("idx") + 1).alias("n_slots"),
         F.count("value").alias("n_observed"),
     )
-    seasons = floor_div(F.col("n_slots"), period)
+    seasons = div("n_slots", period)
     return stats.select(
         "series_id", "n_slots", "n_observed",
         seasons.alias("n_seasons"),

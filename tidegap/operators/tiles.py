@@ -14,7 +14,7 @@ from tidegap.operators.neighbours import MAX_DISTANCE, OWN_SLOT
 from tidegap.operators.season_blocks import Shape, tile_sides
 
 _SCHEMA = (
-    "series_id string, q_idx bigint, d int, ring int, dist double, "
+    "series_id string, q_idx bigint, d int, v int, dist double, "
     "shift_rank int, season int, h_value double"
 )
 # Array elements compared at a time; small enough for a processor cache.
@@ -65,87 +65,92 @@ def _tile_function(shape: Shape, k: list[int], d: list[int], v: list[int],
             dist[more] = distances(left[more], right[more], query_left, query_right, width)
         return dist
 
-    def tile(queries, blocks):
+    def neighbours(q, q_vals, vals, season, n_slots):
+        """Per ``(d, v)`` the candidates of one query that may be among the nearest."""
         import numpy as np
-        import pyarrow as pa
 
-        names = ["series_id", "q_idx", "d", "ring", "dist", "shift_rank", "season", "h_value"]
-        types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.float64(),
-                 pa.int32(), pa.int32(), pa.float64()]
+        slot = q % period
+        near = vals[:, slot:slot + 2 * margin + 1]
+        # The query's own slot is missing in every window that covers it.
+        own = q - season * period + margin - slot
+        hit = (own >= 0) & (own < near.shape[1])
+        if hit.any():
+            near = near.copy()
+            near[hit, own[hit]] = np.nan
+        windows = np.lib.stride_tricks.sliding_window_view(near, 2 * width + 1, axis=1)
+        shifts = np.arange(-max_shift, max_shift + 1)
+        h_idx = season[:, None] * period + slot + shifts
+        inside = (h_idx >= width) & (h_idx + width <= n_slots - 1)
+        if sentinel is None:
+            inside &= ~np.isnan(windows[:, :, width])
+        b, s = inside.nonzero()
+        value = windows[b, s, width]
+        pivot = slot + margin
+        q_left, q_right = q_vals[pivot - width:pivot][::-1], q_vals[pivot + 1:pivot + 1 + width]
+        reach = min(width, 2 * d[-1])
+        step = max(1, batch // reach)
+        dist = np.empty((len(b), len(d)))
+        for lo in range(0, len(b), step):
+            w = windows[b[lo:lo + step], s[lo:lo + step]]
+            dist[lo:lo + step] = distances(
+                w[:, width - 1::-1], w[:, width + 1:], q_left, q_right, reach)
+        if sentinel is not None:
+            dist[np.isnan(value)] = np.nan
+            dist = np.where(np.isnan(dist), far_away, dist)
+            value = np.where(h_idx[b, s] == q, own_mark, value)
+            value = np.where(np.isnan(value), sentinel, value)
+        shift = shifts[s]
+        some = ~np.isnan(dist[:, 0])
+        for one_v in v:
+            members = np.flatnonzero(some & (np.abs(shift) <= one_v))
+            for i, one_d in enumerate(d):
+                found, far = members, dist[members, i]
+                if len(found) > k_max:
+                    # Ties with the last one stay; Spark settles them.
+                    keep = far <= np.partition(far, k_max - 1)[k_max - 1]
+                    found, far = found[keep], far[keep]
+                yield one_d, one_v, far, shift[found], season[b[found]], value[found]
+
+    def tile(asked, blocks):
+        import numpy as np
+        import pyarrow as pa
 
         def matrix(table, name):
             flat = table[name].combine_chunks().flatten()
             return flat.to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
 
         parts = []
-        if queries.num_rows and blocks.num_rows:
-            vals = matrix(blocks, "vals")
-            season = blocks["season"].to_numpy()
+        if asked.num_rows and blocks.num_rows:
+            vals, season = matrix(blocks, "vals"), blocks["season"].to_numpy()
             n_slots = blocks["n_slots"][0].as_py()
-            q_left, q_right = matrix(queries, "q_left"), matrix(queries, "q_right")
-            shifts = np.arange(-max_shift, max_shift + 1)
-            rings = np.searchsorted(np.array(v), np.abs(shifts))
-            for i, q in enumerate(queries["q_idx"].to_pylist()):
-                slot = q % period
-                near = vals[:, slot:slot + 2 * margin + 1]
-                own = q - season * period + margin - slot
-                hit = (own >= 0) & (own < near.shape[1])
-                if hit.any():
-                    near = near.copy()
-                    near[hit, own[hit]] = np.nan
-                win = np.lib.stride_tricks.sliding_window_view(near, 2 * width + 1, axis=1)
-                h_idx = season[:, None] * period + slot + shifts
-                usable = (h_idx >= width) & (h_idx + width <= n_slots - 1)
-                if sentinel is None:
-                    usable &= ~np.isnan(win[:, :, width])
-                b, s = usable.nonzero()
-                value = win[b, s, width]
-                reach = min(width, 2 * d[-1])
-                step = max(1, batch // reach)
-                dist = np.empty((len(b), len(d)))
-                for lo in range(0, len(b), step):
-                    w = win[b[lo:lo + step], s[lo:lo + step]]
-                    dist[lo:lo + step] = distances(
-                        w[:, width - 1::-1], w[:, width + 1:], q_left[i], q_right[i], reach)
-                if sentinel is not None:
-                    dist[np.isnan(value)] = np.nan
-                    dist = np.where(np.isnan(dist), far_away, dist)
-                    value = np.where(h_idx[b, s] == q, own_mark, value)
-                    value = np.where(np.isnan(value), sentinel, value)
-                ring = rings[s]
-                for r in range(len(v)):
-                    members = np.flatnonzero((ring == r) & ~np.isnan(dist[:, 0]))
-                    for n_d, one in enumerate(d):
-                        found, far = members, dist[members, n_d]
-                        if len(members) > k_max:
-                            # Ties with the last one stay; Spark settles them.
-                            keep = far <= np.partition(far, k_max - 1)[k_max - 1]
-                            found, far = members[keep], far[keep]
-                        parts.append((q, one, r, len(found), far, b[found],
-                                      shifts[s[found]], value[found]))
-        if not parts:
-            return pa.table([pa.array([], t) for t in types], names=names)
-        sizes = [p[3] for p in parts]
-        shift = np.concatenate([p[6] for p in parts])
-        columns = [
-            pa.array([queries["series_id"][0].as_py()] * sum(sizes), pa.string()),
-            np.repeat([p[0] for p in parts], sizes),
-            np.repeat([p[1] for p in parts], sizes).astype("int32"),
-            np.repeat([p[2] for p in parts], sizes).astype("int32"),
-            np.concatenate([p[4] for p in parts]),
-            np.where(shift < 0, -2 * shift - 1, 2 * shift).astype("int32"),
-            season[np.concatenate([p[5] for p in parts])].astype("int32"),
-            np.concatenate([p[7] for p in parts]),
-        ]
-        return pa.table([pa.array(c, t) if not isinstance(c, pa.Array) else c
-                         for c, t in zip(columns, types)], names=names)
+            for at, slots, q_vals in zip(asked["q_season"].to_pylist(), asked["slots"].to_pylist(),
+                                         matrix(asked, "q_vals")):
+                for q in (at * period + slot for slot in slots):
+                    parts += [(q, *p) for p in neighbours(q, q_vals, vals, season, n_slots)]
+        sizes = [len(p[3]) for p in parts]
+
+        def each(i, dtype):
+            return pa.array(np.repeat(np.array([p[i] for p in parts], dtype), sizes))
+
+        def joined(i, dtype):
+            return np.concatenate([np.empty(0, dtype), *[p[i] for p in parts]]).astype(dtype)
+
+        shift = joined(4, "int32")
+        name = asked["series_id"][0].as_py() if parts else None
+        return pa.table({
+            "series_id": pa.array([name] * sum(sizes), pa.string()),
+            "q_idx": each(0, "int64"), "d": each(1, "int32"), "v": each(2, "int32"),
+            "dist": joined(3, "float64"),
+            "shift_rank": np.where(shift < 0, -2 * shift - 1, 2 * shift).astype("int32"),
+            "season": joined(5, "int32"), "h_value": joined(6, "float64"),
+        })
 
     return tile
 
 
 def nearest_per_tile(queries: DataFrame, series: DataFrame, shape: Shape, k: list[int],
                      d: list[int], v: list[int], sentinel: float | None = None) -> DataFrame:
-    """Candidates that hold the ``max(k)`` nearest per query, ``d`` and ring.
+    """Candidates that hold the ``max(k)`` nearest per query, ``d`` and ``v``.
 
     With a ``sentinel`` unusable candidates stay, as in
     :func:`tidegap.operators.neighbours.reference_distances`.

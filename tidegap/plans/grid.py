@@ -8,7 +8,7 @@ from math import sqrt
 from pyspark.sql import DataFrame, functions as F
 
 from tidegap.functions.ranges import exp_range, exp_range_cover, exp_range_inc
-from tidegap.functions.timegrid import floor_div
+from tidegap.functions.timegrid import div
 from tidegap.operators.season_blocks import Shape
 
 
@@ -43,7 +43,7 @@ def default_grid(period: int, n_seasons: int) -> Grid:
 def _grid_arrays(stats: DataFrame, period: int) -> DataFrame:
     return stats.select(
         "series_id",
-        exp_range_cover(4, floor_div(F.col("n_seasons"), 2)).alias("ks"),
+        exp_range_cover(4, div("n_seasons", 2)).alias("ks"),
         exp_range_cover(4, F.lit(period // 4)).alias("ds"),
         F.concat(F.array(F.lit(0).cast("bigint")),
                  exp_range_cover(4, F.lit(sqrt(period)))).alias("vs"))
@@ -59,7 +59,7 @@ def param_grid(stats: DataFrame, period: int) -> DataFrame:
 
 def exp_ranges(stats: DataFrame) -> DataFrame:
     """Doubling ranges from 4 up to half the seasons of each series, in three kinds."""
-    end = floor_div(F.col("n_seasons"), 2)
+    end = div("n_seasons", 2)
     kinds = F.array(*[
         F.struct(F.lit(name).alias("kind"), f(4, end).alias("values"))
         for name, f in (("exclusive", exp_range), ("inclusive", exp_range_inc),
