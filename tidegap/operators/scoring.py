@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tidegap.cluster import pin
 from tidegap.functions.scores import mae, rmse
 
 PARAMS = ["k", "d", "v"]
-_BUCKETS = 4096
+_RANGES = 128
 
 
 def knn_errors(predictions: DataFrame, queries: DataFrame) -> DataFrame:
@@ -62,17 +63,20 @@ def exact_percentiles(rows: DataFrame, keys: list[str], column: str,
                       shares: list[float]) -> DataFrame:
     """Exact interpolated percentiles per key, as one array column named ``column``.
 
-    Equal values are counted first. A histogram per key then tells in which value
-    range each wanted rank lies, and only those ranges are put in order: no task
-    holds all values of a key. ``keys`` are parameters, so their number is small.
+    Equal values are counted first. Approximate percentiles then cut the values of a
+    key into ranges, a histogram tells in which range each wanted rank lies, and only
+    those ranges are put in order: no task sorts all values of a key. ``keys`` are
+    search parameters, so the tables with one row per key are small enough to
+    broadcast.
     """
     counts = rows.where(F.col(column).isNotNull()).groupBy(
         *keys, F.col(column).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
-    span = counts.groupBy(*keys).agg(
-        F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("total"))
-    width = F.col("hi") - F.col("lo")
-    part = F.when(width > 0, F.floor((F.col("x") - F.col("lo")) / width * _BUCKETS)).otherwise(0)
-    placed = counts.join(span, keys).withColumn("part", part.cast("int"))
+    steps = [i / _RANGES for i in range(1, _RANGES)]
+    # Written once: both uses below must see the same cuts.
+    cuts = pin(counts.groupBy(*keys).agg(
+        F.percentile_approx("x", steps).alias("cuts"), F.sum("n").alias("total")), "cuts")
+    placed = counts.join(F.broadcast(cuts), keys).withColumn(
+        "part", F.size(F.filter("cuts", lambda c: c < F.col("x")))).drop("cuts")
     upto = Window.partitionBy(*keys).orderBy("part")
     positions = F.transform(F.array(*map(F.lit, shares)), lambda p: p * (F.col("total") - 1))
     ranks = F.array_distinct(F.concat(F.transform(positions, lambda p: F.floor(p)),
@@ -88,7 +92,7 @@ def exact_percentiles(rows: DataFrame, keys: list[str], column: str,
     inside = Window.partitionBy(*keys, "part").orderBy("x")
     start = F.col("before") + F.sum("n").over(inside) - F.col("n")
     hit = (
-        placed.join(hist, [*keys, "part"]).withColumn("start", start)
+        placed.join(F.broadcast(hist), [*keys, "part"]).withColumn("start", start)
         .withColumn("rank", F.explode(F.filter(
             "ranks", lambda r: (r >= F.col("start")) & (r < F.col("start") + F.col("n")))))
     )
@@ -107,8 +111,11 @@ def describe_by(results: DataFrame, keys: list[str] = PARAMS,
         f(c).alias(f"{c}_{name}") for c in columns
         for name, f in (("count", F.count), ("mean", F.avg), ("std", F.stddev_samp),
                         ("min", F.min), ("max", F.max))])
-    for c in columns:
-        quartiles = exact_percentiles(results, keys, c, [0.25, 0.5, 0.75])
-        basic = basic.join(quartiles, keys, "left").select(
-            *basic.columns, *[F.col(c)[i].alias(f"{c}_p{p}") for i, p in enumerate((25, 50, 75))])
-    return basic
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x"))
+                      for c in columns])
+    long = results.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.column", "p.x")
+    quartiles = exact_percentiles(long, [*keys, "column"], "x", [0.25, 0.5, 0.75])
+    wide = quartiles.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("column") == c, F.col("x")[i])).alias(f"{c}_p{name}")
+        for c in columns for i, name in enumerate((25, 50, 75))])
+    return basic.join(wide, keys, "left")

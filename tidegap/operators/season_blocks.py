@@ -25,8 +25,8 @@ class Shape:
     period: int
     width: int
     max_shift: int
-    query_seasons: int = 2
-    history_seasons: int = 128
+    query_seasons: int = 1
+    history_seasons: int = 256
 
     @property
     def margin(self) -> int:
@@ -50,7 +50,8 @@ def season_blocks(series: DataFrame, shape: Shape) -> DataFrame:
 
     near = seasons.select(
         "series_id", F.explode(F.sequence(F.col("season") - reach, F.col("season") + reach))
-        .alias("at"), "season", "part")
+        .alias("at"), "season", "part").repartition(
+        task_count(series.sparkSession), "series_id", "at")
     joined = near.groupBy("series_id", "at").agg(
         F.array_sort(F.collect_list(F.struct("season", "part"))).alias("parts"))
     known = F.flatten(F.col("parts")["part"])
@@ -64,46 +65,43 @@ def season_blocks(series: DataFrame, shape: Shape) -> DataFrame:
         F.slice(full, period * reach - margin + 1, period + 2 * margin).alias("vals"))
 
 
-def query_seasons(queries: DataFrame, blocks: DataFrame, shape: Shape) -> DataFrame:
-    """Blocks of the seasons that hold queries, with the queries' slots as an array."""
-    slot = F.pmod(F.col("q_idx"), F.lit(shape.period)).cast("int")
-    asked = queries.groupBy("series_id", div("q_idx", shape.period).alias("season")).agg(
-        F.array_sort(F.collect_set(slot)).alias("slots"))
-    return asked.join(blocks, ["series_id", "season"])
-
-
 def tile_sides(queries: DataFrame, series: DataFrame, shape: Shape) -> tuple[DataFrame, DataFrame]:
     """Query seasons and history seasons, both partitioned on ``series_id, qc, hc``.
 
-    A query season crosses the shuffle as one array, however many queries it holds.
-    Only the seasons that serve as history (second to last but one complete) are in
-    the second table. The partition count is fixed, because a tile holds few bytes
-    and much work.
+    A query season crosses the shuffle as one array with the slots of its queries,
+    however many there are. Seasons that serve as history (second to last but one
+    complete) go to the tiles that hold queries, so few queries on a long series cost
+    little. Partition counts are fixed: a tile holds few bytes and much work, and the
+    size of a block says nothing about the number of its copies.
     """
     blocks = season_blocks(series, shape)
-    stats = season_stats(series, shape.period).where("n_seasons >= 3").select(
+    slot = F.pmod(F.col("q_idx"), F.lit(shape.period)).cast("int")
+    asked = queries.groupBy("series_id", div("q_idx", shape.period).alias("season")).agg(
+        F.array_sort(F.collect_set(slot)).alias("slots"))
+    seasons = season_stats(series, shape.period).where("n_seasons >= 3").select(
         "series_id", "n_slots", F.col("n_seasons").alias("_n"),
         F.lit(0).cast("bigint").alias("_lo"),
         div(F.col("n_slots") - 1, shape.period).alias("_hi"))
-    tasks = task_count(series.sparkSession)
-    first = F.lit(0).cast("bigint")
+    # At most one number per query season of a series.
+    wanted = asked.groupBy("series_id").agg(
+        F.collect_set(div("season", shape.query_seasons)).alias("_qcs"))
 
-    asked = attach_facts(query_seasons(queries, blocks, shape), stats, "season", "_lo", "_hi")
-    left = asked.select(
+    left = attach_facts(asked.join(blocks, ["series_id", "season"]), seasons,
+                        "season", "_lo", "_hi").select(
         "series_id",
         div("season", shape.query_seasons).alias("qc"),
-        F.explode(F.sequence(first, div(F.col("_n") - 2, shape.history_seasons))).alias("hc"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"),
+                             div(F.col("_n") - 2, shape.history_seasons))).alias("hc"),
         F.col("season").alias("q_season"), "slots", F.col("vals").alias("q_vals"))
     right = (
-        attach_facts(blocks, stats, "season", "_lo", "_hi")
-        .where(F.col("season").between(F.lit(1), F.col("_n") - 2))
+        attach_facts(blocks, seasons.join(wanted, "series_id"), "season", "_lo", "_hi", block=32)
+        .where(F.least("season", F.col("_n") - 1 - F.col("season")) >= 1)
         .select(
-            "series_id",
-            F.explode(F.sequence(first, div("_hi", shape.query_seasons))).alias("qc"),
+            "series_id", F.explode("_qcs").alias("qc"),
             div("season", shape.history_seasons).alias("hc"),
             F.col("season").cast("int").alias("season"), "n_slots", "vals")
     )
-    keys = ["series_id", "qc", "hc"]
+    keys, tasks = ["series_id", "qc", "hc"], task_count(series.sparkSession)
     # toDF gives the columns of the two sides identities of their own.
     return (left.toDF(*left.columns).repartition(tasks, *keys),
             right.toDF(*right.columns).repartition(tasks, *keys))

@@ -18,7 +18,7 @@ _SCHEMA = (
     "shift_rank int, season int, h_value double"
 )
 # Array elements compared at a time; small enough for a processor cache.
-_BATCH = 1 << 15
+_BATCH = 1 << 16
 
 
 def _tile_function(shape: Shape, k: list[int], d: list[int], v: list[int],
@@ -36,8 +36,9 @@ def _tile_function(shape: Shape, k: list[int], d: list[int], v: list[int],
         found = valid.sum(axis=1)
         start = found.cumsum() - found
         # The joint offsets of all rows, one row after the other; 0 ends the list.
-        j = np.append(np.flatnonzero(valid) % diff.shape[1] + 1.0, 0.0)
-        x = np.append(diff[valid], 0.0)
+        j, x = np.zeros((2, found.sum() + 1))
+        j[:-1] = np.broadcast_to(np.arange(1.0, diff.shape[1] + 1), diff.shape)[valid]
+        x[:-1] = diff[valid]
         kept = np.minimum(found[:, None], d)
         steps = np.concatenate([np.zeros((len(diff), 1), kept.dtype), kept], axis=1)
         marks = start[:, None] + steps
@@ -52,20 +53,21 @@ def _tile_function(shape: Shape, k: list[int], d: list[int], v: list[int],
         return (np.where(some, ends * first_d(x) - first_d(x * j), 0.0),
                 np.where(some, ends * kept - first_d(j), 0.0), found)
 
-    def distances(left, right, query_left, query_right, reach):
+    def distances(left, right, q_left, q_right, b, s, reach):
         """Distance per candidate and ``d``; looks further where ``d`` are not found."""
         import numpy as np
 
-        num_l, den_l, found_l = side_sums(np.abs(left[:, :reach] - query_left[:reach]))
-        num_r, den_r, found_r = side_sums(np.abs(right[:, :reach] - query_right[:reach]))
+        num_l, den_l, found_l = side_sums(np.abs(left[b, s, :reach] - q_left[:reach]))
+        num_r, den_r, found_r = side_sums(np.abs(right[b, s, :reach] - q_right[:reach]))
         with np.errstate(invalid="ignore"):
             dist = (num_l + num_r) / (den_l + den_r)
         more = np.flatnonzero((found_l < d[-1]) | (found_r < d[-1]))
         if reach < width and len(more):
-            dist[more] = distances(left[more], right[more], query_left, query_right, width)
+            dist[more] = distances(left, right, q_left, q_right, b[more], s[more],
+                                   min(width, 4 * reach))
         return dist
 
-    def neighbours(q, q_vals, vals, season, n_slots):
+    def neighbours(q, q_vals, vals, season, n_slots, reach):
         """Per ``(d, v)`` the candidates of one query that may be among the nearest."""
         import numpy as np
 
@@ -87,13 +89,12 @@ def _tile_function(shape: Shape, k: list[int], d: list[int], v: list[int],
         value = windows[b, s, width]
         pivot = slot + margin
         q_left, q_right = q_vals[pivot - width:pivot][::-1], q_vals[pivot + 1:pivot + 1 + width]
-        reach = min(width, 2 * d[-1])
+        left, right = windows[:, :, width - 1::-1], windows[:, :, width + 1:]
         step = max(1, batch // reach)
         dist = np.empty((len(b), len(d)))
         for lo in range(0, len(b), step):
-            w = windows[b[lo:lo + step], s[lo:lo + step]]
             dist[lo:lo + step] = distances(
-                w[:, width - 1::-1], w[:, width + 1:], q_left, q_right, reach)
+                left, right, q_left, q_right, b[lo:lo + step], s[lo:lo + step], reach)
         if sentinel is not None:
             dist[np.isnan(value)] = np.nan
             dist = np.where(np.isnan(dist), far_away, dist)
@@ -123,10 +124,13 @@ def _tile_function(shape: Shape, k: list[int], d: list[int], v: list[int],
         if asked.num_rows and blocks.num_rows:
             vals, season = matrix(blocks, "vals"), blocks["season"].to_numpy()
             n_slots = blocks["n_slots"][0].as_py()
+            # Most candidates share ``d`` offsets this near; the others look further.
+            joint = max(0.01, np.mean(~np.isnan(vals)) ** 2)
+            reach = min(width, int(1.1 * d[-1] / joint) + 4)
             for at, slots, q_vals in zip(asked["q_season"].to_pylist(), asked["slots"].to_pylist(),
                                          matrix(asked, "q_vals")):
                 for q in (at * period + slot for slot in slots):
-                    parts += [(q, *p) for p in neighbours(q, q_vals, vals, season, n_slots)]
+                    parts += [(q, *p) for p in neighbours(q, q_vals, vals, season, n_slots, reach)]
         sizes = [len(p[3]) for p in parts]
 
         def each(i, dtype):
