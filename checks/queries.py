@@ -199,7 +199,7 @@ def impute_series(spark, folder):
 
 
 def _written_back(spark, folder):
-    before = ev_type_hour(spark, folder, trim=False)
+    before = pin(ev_type_hour(spark, folder, trim=False), "series")
     return before, write_back(before, _imputed(spark, folder))
 
 

@@ -14,10 +14,14 @@ from pyspark.sql import Column, functions as F
 At = Callable[[Column], Column]
 
 
-def joint_offsets(q_at: At, h_at: At, width: int, keep: int) -> Column:
-    """The ``keep`` nearest offsets at which both sides are observed."""
+def joint_offsets(q_at: At, h_at: At, width: int, keep: int, own: Column) -> Column:
+    """The ``keep`` nearest offsets at which both sides are observed.
+
+    At offset ``own`` the candidate's window meets the query itself, which is missing.
+    """
     offsets = F.sequence(F.lit(1), F.lit(width))
-    both = F.filter(offsets, lambda j: q_at(j).isNotNull() & h_at(j).isNotNull())
+    both = F.filter(
+        offsets, lambda j: q_at(j).isNotNull() & h_at(j).isNotNull() & (j != own))
     return F.slice(both, 1, keep)
 
 

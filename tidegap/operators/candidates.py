@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tidegap.cluster import task_count
 from tidegap.functions.windows import shift_rank
 from tidegap.operators.series import attach_facts, season_stats
 
@@ -23,6 +24,8 @@ def candidate_slots(queries: DataFrame, series: DataFrame, period: int, width: i
     h_idx = F.col("season") * period + slot + F.col("shift")
     return (
         attach_facts(queries, stats, "q_idx", "_lo", "_hi")
+        # A query is a small row that grows into many; do not leave it to its size.
+        .repartition(task_count(series.sparkSession), "series_id", "q_idx")
         .withColumn("shift", F.explode(F.sequence(F.lit(-max_shift), F.lit(max_shift))))
         .withColumn("season", F.explode(F.sequence(F.lit(1), (F.col("n_seasons") - 2).cast("int"))))
         .withColumn("h_idx", h_idx)

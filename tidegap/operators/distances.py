@@ -67,55 +67,55 @@ def _array_candidates(queries: DataFrame, series: DataFrame, shape: Shape) -> Da
         F.reverse(F.slice("q_vals", at - shape.width, shape.width)).alias("q_left"),
         F.slice("q_vals", at + 1, shape.width).alias("q_right"))
     met = windows.join(right, ["series_id", "qc", "hc"])
-    # The query's own slot is missing in every window that covers it.
-    own = F.col("q_idx") - F.col("season") * shape.period + shape.margin
-    vals = F.when(
-        own.between(0, shape.period + 2 * shape.margin - 1),
-        F.transform("vals", lambda x, i: F.when(i != own, x)),
-    ).otherwise(F.col("vals"))
     shifts = F.sequence(F.lit(-shape.max_shift), F.lit(shape.max_shift))
-    h_idx = F.col("season") * shape.period + F.pmod(F.col("q_idx"), F.lit(shape.period)) + F.col("shift")
-    centre = (F.col("h_idx") - F.col("season") * shape.period + shape.margin).cast("int")
+    start = F.col("season") * shape.period
+    h_idx = start + F.pmod(F.col("q_idx"), F.lit(shape.period)) + F.col("shift")
     return (
-        met.withColumn("vals", vals)
-        .withColumn("shift", F.explode(shifts))
+        met.withColumn("shift", F.explode(shifts))
         .withColumn("h_idx", h_idx)
         .where((F.col("h_idx") >= shape.width) & (F.col("h_idx") + shape.width <= F.col("n_slots") - 1))
         .withColumn("shift_rank", shift_rank(F.col("shift")))
-        .withColumn("centre", centre)
-        .withColumn("h_value", F.get("vals", F.col("centre")))
+        .withColumn("centre", (F.col("h_idx") - start + shape.margin).cast("int"))
+        .withColumn("h_value", F.when(F.col("h_idx") != F.col("q_idx"),
+                                      F.get("vals", F.col("centre"))))
     )
 
 
-def _array_distances(d: list[int]) -> list[Column]:
-    q = {-1: lambda j: F.get("q_left", j - 1), 1: lambda j: F.get("q_right", j - 1)}
-    h = {s: (lambda j, s=s: F.get("vals", F.col("centre") + s * j)) for s in (-1, 1)}
-    kept = {-1: F.col("kept_left"), 1: F.col("kept_right")}
-    out = []
-    for one in d:
-        sides = [side_sums(kept[s], q[s], h[s], one) for s in (-1, 1)]
-        out.append(ratio([a for a, _ in sides], [b for _, b in sides]))
-    return out
+_SIDES = {"left": -1, "right": 1}
+
+
+def _q_at(side: str):
+    return lambda j: F.get(f"q_{side}", j - 1)
+
+
+def _h_at(side: str):
+    return lambda j: F.get("vals", F.col("centre") + _SIDES[side] * j)
+
+
+def _joint(side: str, width: int, keep: int) -> Column:
+    own = _SIDES[side] * (F.col("q_idx") - F.col("h_idx"))
+    return joint_offsets(_q_at(side), _h_at(side), width, keep, own)
 
 
 def _with_kept(cands: DataFrame, width: int, keep: int) -> DataFrame:
     """Add the nearest joint offsets per side, looking far only where it is needed."""
     near = min(width, 2 * keep)
+    for side in _SIDES:
+        cands = cands.withColumn(f"kept_{side}", _joint(side, near, keep))
+    if near < width:
+        for side in _SIDES:
+            kept = f"kept_{side}"
+            cands = cands.withColumn(kept, F.when(F.size(kept) == keep, F.col(kept)).otherwise(
+                _joint(side, width, keep)))
+    return cands
 
-    def side(q_name: str, sign: int) -> Column:
-        def q_at(j):
-            return F.get(q_name, j - 1)
-
-        def h_at(j):
-            return F.get("vals", F.col("centre") + sign * j)
-
-        short = joint_offsets(q_at, h_at, near, keep)
-        if near == width:
-            return short
-        return F.when(F.size(short) == keep, short).otherwise(joint_offsets(q_at, h_at, width, keep))
 
-    return cands.withColumn("kept_left", side("q_left", -1)).withColumn(
-        "kept_right", side("q_right", 1))
+def _array_distances(d: list[int]) -> list[Column]:
+    out = []
+    for one in d:
+        sides = [side_sums(F.col(f"kept_{s}"), _q_at(s), _h_at(s), one) for s in _SIDES]
+        out.append(ratio([a for a, _ in sides], [b for _, b in sides]))
+    return out
 
 
 def gap_distance_arrays(queries: DataFrame, series: DataFrame, shape: Shape,
@@ -142,15 +142,16 @@ def gap_distance_arrays(queries: DataFrame, series: DataFrame, shape: Shape,
 def l2_distance(queries: DataFrame, series: DataFrame, shape: Shape) -> DataFrame:
     """Plain Euclidean distance over all jointly observed offsets of the window."""
     cands = _array_candidates(queries, series, shape).where("h_value IS NOT NULL")
-    near = F.slice("vals", F.col("centre") - shape.width + 1, shape.width)
-    far = F.slice("vals", F.col("centre") + 2, shape.width)
-    query = F.concat(F.reverse("q_left"), "q_right")
-    squares = F.filter(
-        F.zip_with(query, F.concat(near, far), lambda a, b: (a - b) * (a - b)),
-        lambda x: x.isNotNull())
-    total = F.aggregate("squares", F.lit(0.0), lambda acc, x: acc + x)
-    return (
-        cands.withColumn("squares", squares)
-        .where(F.size("squares") > 0)
-        .select("series_id", "q_idx", *CANDIDATE, F.sqrt(total).alias("dist"))
-    )
+    for side in _SIDES:
+        cands = cands.withColumn(f"kept_{side}", _joint(side, shape.width, shape.width))
+
+    def squares(side):
+        q_at, h_at = _q_at(side), _h_at(side)
+        return F.aggregate(f"kept_{side}", F.lit(0.0), lambda acc, j: acc + (
+            (q_at(j) - h_at(j)) * (q_at(j) - h_at(j))))
+
+    shared = (F.size("kept_left") > 0) | (F.size("kept_right") > 0)
+    return cands.select(
+        "series_id", "q_idx", *CANDIDATE,
+        F.when(shared, F.sqrt(squares("left") + squares("right"))).alias("dist")
+    ).where("dist IS NOT NULL")

@@ -51,25 +51,23 @@ def build_series(rows: DataFrame, ts: str, step_us: int, period: int, value: Col
     if series is None:
         series = F.lit("all")
     series = F.col(series) if isinstance(series, str) else series
-    counts = (
-        rows.withColumn("_slot", slot_number(rows, ts, step_us))
-        .where(F.col("_slot").isNotNull())
-        .groupBy(series.cast("string").alias("series_id"), F.col("_slot").alias("slot"))
-        .agg(value.alias("value"))
-    )
+    slotted = rows.select(
+        "*", series.cast("string").alias("series_id"), slot_number(rows, ts, step_us).alias("slot")
+    ).where(F.col("slot").isNotNull())
+    counts = slotted.groupBy("series_id", "slot").agg(value.alias("value"))
     slot = F.col("slot")
-    seen = F.when(F.col("value").isNotNull(), slot)
-    bounds = counts.groupBy("series_id").agg(
-        F.min(slot).alias("lo"), F.max(slot).alias("hi"),
-        F.min(seen).alias("first"), F.max(seen).alias("last"),
-    )
-    origin = F.col("lo") - F.pmod(F.col("lo"), F.lit(period))
     if trim:
-        start = F.col("first") + F.pmod(-F.col("first"), F.lit(period))
-        bounds = bounds.select("series_id", start.alias("lo"), F.col("last").alias("hi"),
-                               start.alias("origin")).where("lo <= hi")
+        # Reads the counts, whose shuffle the join below uses again.
+        seen = counts.where(F.col("value").isNotNull())
+        start = F.col("lo") + F.pmod(-F.col("lo"), F.lit(period))
     else:
-        bounds = bounds.select("series_id", "lo", "hi", origin.alias("origin"))
+        # Only two columns and no shuffle of the rows.
+        seen = slotted
+        start = F.col("lo") - F.pmod(F.col("lo"), F.lit(period))
+    bounds = seen.groupBy("series_id").agg(F.min(slot).alias("lo"), F.max(slot).alias("hi"))
+    bounds = bounds.withColumn("origin", start)
+    if trim:
+        bounds = bounds.withColumn("lo", F.col("origin")).where("lo <= hi")
     block = F.col("block")
     grid = (
         bounds.withColumn("block", F.explode(F.sequence(floor_div(F.col("lo"), BLOCK),
