@@ -21,13 +21,11 @@ def task_count(spark: SparkSession) -> int:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder name under the shared checkpoint folder of the cluster."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        # Only a session without a cluster (tests, a laptop) gets here.
-        root = tempfile.mkdtemp(prefix="tidegap-")
-        spark.sparkContext.setCheckpointDir(root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidegap-"))
         root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/tidegap-{label}-{uuid.uuid4().hex}"
 
