@@ -53,64 +53,69 @@ def _tile_function(shape: Shape, k: list[int], d: list[int], v: list[int],
         return (np.where(some, ends * first_d(x) - first_d(x * j), 0.0),
                 np.where(some, ends * kept - first_d(j), 0.0), found)
 
-    def distances(left, right, q_left, q_right, b, s, reach):
+    def distances(sides, rows, reach):
         """Distance per candidate and ``d``; looks further where ``d`` are not found."""
         import numpy as np
 
-        num_l, den_l, found_l = side_sums(np.abs(left[b, s, :reach] - q_left[:reach]))
-        num_r, den_r, found_r = side_sums(np.abs(right[b, s, :reach] - q_right[:reach]))
+        asked, b, c, lag = rows
+        # Rows lie query by query; one row serves all of them when there is one query.
+        asked = asked[:1] if asked[0] == asked[-1] else asked
+        sums = []
+        for (history, query), own in zip(sides, (lag, -lag)):
+            diff = np.abs(history[b, c, :reach] - query[asked, :reach])
+            # Where the window meets the query's own slot, which counts as missing.
+            hit = np.flatnonzero((own >= 1) & (own <= reach))
+            diff[hit, own[hit] - 1] = np.nan
+            sums.append(side_sums(diff))
+        (num_l, den_l, found_l), (num_r, den_r, found_r) = sums
         with np.errstate(invalid="ignore"):
             dist = (num_l + num_r) / (den_l + den_r)
         more = np.flatnonzero((found_l < d[-1]) | (found_r < d[-1]))
         if reach < width and len(more):
-            dist[more] = distances(left, right, q_left, q_right, b[more], s[more],
-                                   min(width, 4 * reach))
+            dist[more] = distances(sides, [r[more] for r in rows], min(width, 4 * reach))
         return dist
 
-    def neighbours(q, q_vals, vals, season, n_slots, reach):
-        """Per ``(d, v)`` the candidates of one query that may be among the nearest."""
+    def neighbours(q_season, slots, q_vals, vals, season, n_slots, reach):
+        """Candidates of some queries of a season that may be among their nearest."""
         import numpy as np
 
-        slot = q % period
-        near = vals[:, slot:slot + 2 * margin + 1]
-        # The query's own slot is missing in every window that covers it.
-        own = q - season * period + margin - slot
-        hit = (own >= 0) & (own < near.shape[1])
-        if hit.any():
-            near = near.copy()
-            near[hit, own[hit]] = np.nan
-        windows = np.lib.stride_tricks.sliding_window_view(near, 2 * width + 1, axis=1)
         shifts = np.arange(-max_shift, max_shift + 1)
-        h_idx = season[:, None] * period + slot + shifts
+        around = np.lib.stride_tricks.sliding_window_view
+        history = around(vals, 2 * width + 1, axis=1)
+        query = around(q_vals, 2 * width + 1)[slots + max_shift]
+        # Both sides, nearest slot first.
+        sides = [(history[..., side], query[..., side])
+                 for side in (slice(width - 1, None, -1), slice(width + 1, None))]
+        q_idx = q_season * period + slots
+        place = slots[:, None] + shifts + max_shift
+        h_idx = season[:, None] * period + (slots[:, None] + shifts)[:, None, :]
+        lag = h_idx - q_idx[:, None, None]
+        value = np.moveaxis(vals[:, place + width], 0, 1)
+        value[lag == 0] = np.nan
         inside = (h_idx >= width) & (h_idx + width <= n_slots - 1)
-        if sentinel is None:
-            inside &= ~np.isnan(windows[:, :, width])
-        b, s = inside.nonzero()
-        value = windows[b, s, width]
-        pivot = slot + margin
-        q_left, q_right = q_vals[pivot - width:pivot][::-1], q_vals[pivot + 1:pivot + 1 + width]
-        left, right = windows[:, :, width - 1::-1], windows[:, :, width + 1:]
+        asked, b, s = (inside & ~np.isnan(value)).nonzero()
+        rows = [asked, b, place[asked, s], lag[asked, b, s]]
+        dist = np.full((*lag.shape, len(d)), np.inf)
         step = max(1, batch // reach)
-        dist = np.empty((len(b), len(d)))
         for lo in range(0, len(b), step):
-            dist[lo:lo + step] = distances(
-                left, right, q_left, q_right, b[lo:lo + step], s[lo:lo + step], reach)
+            some = slice(lo, lo + step)
+            found = distances(sides, [r[some] for r in rows], reach)
+            dist[asked[some], b[some], s[some]] = np.where(np.isnan(found), np.inf, found)
         if sentinel is not None:
-            dist[np.isnan(value)] = np.nan
-            dist = np.where(np.isnan(dist), far_away, dist)
-            value = np.where(h_idx[b, s] == q, own_mark, value)
-            value = np.where(np.isnan(value), sentinel, value)
-        shift = shifts[s]
-        some = ~np.isnan(dist[:, 0])
+            dist[inside & np.isinf(dist[..., 0])] = far_away
+            value = np.where(lag == 0, own_mark, np.where(np.isnan(value), sentinel, value))
         for one_v in v:
-            members = np.flatnonzero(some & (np.abs(shift) <= one_v))
-            for i, one_d in enumerate(d):
-                found, far = members, dist[members, i]
-                if len(found) > k_max:
-                    # Ties with the last one stay; Spark settles them.
-                    keep = far <= np.partition(far, k_max - 1)[k_max - 1]
-                    found, far = found[keep], far[keep]
-                yield one_d, one_v, far, shift[found], season[b[found]], value[found]
+            near = np.flatnonzero(np.abs(shifts) <= one_v)
+            far = np.moveaxis(dist[:, :, near], 3, 1).reshape(len(slots), len(d), -1)
+            keep = np.isfinite(far)
+            if far.shape[2] > k_max:
+                # Ties with the last one stay; Spark settles them.
+                keep &= far <= np.partition(far, k_max - 1, axis=2)[:, :, k_max - 1:k_max]
+            asked, which_d, at = keep.nonzero()
+            b, s = at // len(near), near[at % len(near)]
+            shift = shifts[s]
+            yield (q_idx[asked], np.array(d)[which_d], np.full(len(at), one_v), far[keep],
+                   np.where(shift < 0, -2 * shift - 1, 2 * shift), season[b], value[asked, b, s])
 
     def tile(asked, blocks):
         import numpy as np
@@ -120,34 +125,27 @@ def _tile_function(shape: Shape, k: list[int], d: list[int], v: list[int],
             flat = table[name].combine_chunks().flatten()
             return flat.to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
 
-        parts = []
+        # One empty part gives the columns their types when nothing is found.
+        parts = [[np.empty(0, t) for t in ("int64", "int32", "int32", "float64", "int32", "int32",
+                                           "float64")]]
         if asked.num_rows and blocks.num_rows:
             vals, season = matrix(blocks, "vals"), blocks["season"].to_numpy()
             n_slots = blocks["n_slots"][0].as_py()
             # Most candidates share ``d`` offsets this near; the others look further.
             joint = max(0.01, np.mean(~np.isnan(vals)) ** 2)
             reach = min(width, int(1.1 * d[-1] / joint) + 4)
+            together = max(1, 16 * batch // (len(vals) * (2 * max_shift + 1) * len(d)))
             for at, slots, q_vals in zip(asked["q_season"].to_pylist(), asked["slots"].to_pylist(),
                                          matrix(asked, "q_vals")):
-                for q in (at * period + slot for slot in slots):
-                    parts += [(q, *p) for p in neighbours(q, q_vals, vals, season, n_slots, reach)]
-        sizes = [len(p[3]) for p in parts]
-
-        def each(i, dtype):
-            return pa.array(np.repeat(np.array([p[i] for p in parts], dtype), sizes))
-
-        def joined(i, dtype):
-            return np.concatenate([np.empty(0, dtype), *[p[i] for p in parts]]).astype(dtype)
-
-        shift = joined(4, "int32")
-        name = asked["series_id"][0].as_py() if parts else None
-        return pa.table({
-            "series_id": pa.array([name] * sum(sizes), pa.string()),
-            "q_idx": each(0, "int64"), "d": each(1, "int32"), "v": each(2, "int32"),
-            "dist": joined(3, "float64"),
-            "shift_rank": np.where(shift < 0, -2 * shift - 1, 2 * shift).astype("int32"),
-            "season": joined(5, "int32"), "h_value": joined(6, "float64"),
-        })
+                for lo in range(0, len(slots), together):
+                    parts += neighbours(at, np.array(slots[lo:lo + together]), q_vals, vals, season,
+                                        n_slots, reach)
+        names = ["q_idx", "d", "v", "dist", "shift_rank", "season", "h_value"]
+        columns = {name: np.concatenate(column).astype(column[0].dtype)
+                   for name, column in zip(names, zip(*parts))}
+        series = asked["series_id"][0].as_py() if asked.num_rows else None
+        return pa.table({"series_id": pa.array([series] * len(columns["dist"]), pa.string()),
+                         **columns})
 
     return tile
 
