@@ -225,7 +225,7 @@ SELECT series_id, count(*) AS n_slots, count(*) - count(value) AS n_missing,
        round(0.9 - (count(*) - count(value)) / count(*), 9) AS added_missing_ratio
 FROM series GROUP BY 1"""),
     "season_stats": sql(TYPE_SERIES + stats(24), """
-SELECT series_id, n_slots, n_observed, n_seasons, CAST(24 AS BIGINT) AS train_min_idx,
+SELECT series_id, n_slots, n_observed, n_seasons, CAST((n_slots - 1) % 24 AS INTEGER) AS last_slot, CAST(24 AS BIGINT) AS train_min_idx,
        24 * (n_seasons - 1) - 1 AS train_max_idx FROM stats"""),
     "exp_ranges": sql(TYPE_SERIES + stats(24) + [
         "powers AS (SELECT unnest(generate_series(0, 40)) AS i)",

@@ -70,7 +70,7 @@ def test_long_series_crosses_blocks(spark):
 def test_stats_and_missing(make_series):
     series = make_series({"a": [1, None, 3, None, 5, 6, 7]})
     (stats,) = season_stats(series, 2).collect()
-    assert (stats.n_slots, stats.n_observed, stats.n_seasons) == (7, 5, 3)
+    assert (stats.n_slots, stats.n_observed, stats.n_seasons, stats.last_slot) == (7, 5, 3, 0)
     assert (stats.train_min_idx, stats.train_max_idx) == (2, 3)
     (share,) = missing_ratio(series).collect()
     assert share.n_missing == 2 and abs(share.added_missing_ratio - (0.9 - 2 / 7)) < 1e-12

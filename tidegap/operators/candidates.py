@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidegap.cluster import task_count
 from tidegap.functions.windows import shift_rank
-from tidegap.operators.series import attach_facts, season_stats
+from tidegap.operators.series import attach_facts, season_stats, slot_of_season
 
 
 def candidate_slots(queries: DataFrame, series: DataFrame, period: int, width: int,
@@ -20,8 +20,8 @@ def candidate_slots(queries: DataFrame, series: DataFrame, period: int, width: i
     stats = season_stats(series, period).where("n_seasons >= 3").select(
         "series_id", "n_slots", "n_seasons", F.lit(0).cast("bigint").alias("_lo"),
         (F.col("n_slots") - 1).alias("_hi"))
-    slot = F.pmod(F.col("q_idx"), F.lit(period))
-    h_idx = F.col("season") * period + slot + F.col("shift")
+    h_idx = (F.col("season").cast("bigint") * period + slot_of_season("q_idx", period)
+             + F.col("shift"))
     return (
         attach_facts(queries, stats, "q_idx", "_lo", "_hi")
         # A query is a small row that grows into many; do not leave it to its size.

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidegap.functions.windows import joint_offsets, ratio, shift_rank, side_sums
 from tidegap.operators.candidates import knn_candidates
 from tidegap.operators.season_blocks import Shape, tile_sides
+from tidegap.operators.series import slot_of_season
 
 CANDIDATE = ["h_idx", "shift", "shift_rank", "season", "h_value"]
 
@@ -68,8 +69,8 @@ def _array_candidates(queries: DataFrame, series: DataFrame, shape: Shape) -> Da
         F.slice("q_vals", at + 1, shape.width).alias("q_right"))
     met = windows.join(right, ["series_id", "qc", "hc"])
     shifts = F.sequence(F.lit(-shape.max_shift), F.lit(shape.max_shift))
-    start = F.col("season") * shape.period
-    h_idx = start + F.pmod(F.col("q_idx"), F.lit(shape.period)) + F.col("shift")
+    start = F.col("season").cast("bigint") * shape.period
+    h_idx = start + slot_of_season("q_idx", shape.period) + F.col("shift")
     return (
         met.withColumn("shift", F.explode(shifts))
         .withColumn("h_idx", h_idx)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidegap.operators.series import attach_facts, season_stats
+from tidegap.operators.series import attach_facts, observed_slots, season_stats
 
 SEED = 2017
 _BUCKET_ROWS = 4096
@@ -55,7 +55,7 @@ def holdout_sample(series: DataFrame, period: int, share: float = 0.05,
     """
     stats = season_stats(series, period).where("n_seasons >= 3").select(
         "series_id", "n_slots", "train_min_idx", "train_max_idx")
-    observed = series.where(F.col("value").isNotNull())
+    observed = observed_slots(series)
     pool = (
         attach_facts(observed, stats, "idx", "train_min_idx", "train_max_idx")
         .where(F.col("idx").between(F.col("train_min_idx"), F.col("train_max_idx")))
@@ -79,7 +79,7 @@ def mask_to_ratio(series: DataFrame, ratio: float, seed: int = SEED) -> DataFram
         "series_id", "_lo", "_hi", "pool_size",
         (F.floor(F.lit(ratio) * F.col("_slots")) - (F.col("_slots") - F.col("pool_size")))
         .alias("wanted"))
-    observed = attach_facts(series.where(F.col("value").isNotNull()), stats, "idx", "_lo", "_hi")
+    observed = attach_facts(observed_slots(series), stats, "idx", "_lo", "_hi")
     masked = _mark_first(observed, seed).select(
         "series_id", "idx", "ts", F.when(~F.col("picked"), F.col("value")).alias("value"))
     return masked.unionByName(series.where(F.col("value").isNull()))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidegap.cluster import task_count
 from tidegap.functions.timegrid import div
-from tidegap.operators.series import attach_facts, season_stats
+from tidegap.operators.series import attach_facts, season_stats, slot_of_season
 
 
 @dataclass(frozen=True)
@@ -41,8 +41,8 @@ def season_blocks(series: DataFrame, shape: Shape) -> DataFrame:
     """
     period, margin = shape.period, shape.margin
     reach = -(-margin // period)
-    slot = F.pmod(F.col("idx"), F.lit(period)).cast("int")
-    in_order = F.array_sort(F.collect_list(F.struct(slot.alias("slot"), "value")))["value"]
+    slot = slot_of_season("idx", period).alias("slot")
+    in_order = F.array_sort(F.collect_list(F.struct(slot, "value")))["value"]
     gap = F.array_repeat(F.lit(None).cast("double"), period)
     seasons = series.groupBy("series_id", div("idx", period).alias("season")).agg(
         in_order.alias("part")
@@ -75,7 +75,7 @@ def tile_sides(queries: DataFrame, series: DataFrame, shape: Shape) -> tuple[Dat
     size of a block says nothing about the number of its copies.
     """
     blocks = season_blocks(series, shape)
-    slot = F.pmod(F.col("q_idx"), F.lit(shape.period)).cast("int")
+    slot = slot_of_season("q_idx", shape.period)
     asked = queries.groupBy("series_id", div("q_idx", shape.period).alias("season")).agg(
         F.array_sort(F.collect_set(slot)).alias("slots"))
     seasons = season_stats(series, shape.period).where("n_seasons >= 3").select(

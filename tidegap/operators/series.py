@@ -132,6 +132,7 @@ def season_stats(series: DataFrame, period: int) -> DataFrame:
     return stats.select(
         "series_id", "n_slots", "n_observed",
         seasons.alias("n_seasons"),
+        slot_of_season(F.col("n_slots") - 1, period).alias("last_slot"),
         F.lit(period).cast("bigint").alias("train_min_idx"),
         (period * (seasons - 1) - 1).alias("train_max_idx"),
     )
