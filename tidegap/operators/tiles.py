@@ -129,7 +129,7 @@ def _tile_function(shape: Shape, k: list[int], d: list[int], v: list[int],
         parts = [[np.empty(0, t) for t in ("int64", "int32", "int32", "float64", "int32", "int32",
                                            "float64")]]
         if asked.num_rows and blocks.num_rows:
-            vals, season = matrix(blocks, "vals"), blocks["season"].to_numpy()
+            vals, season = matrix(blocks, "vals"), blocks["season"].to_numpy().astype("int64")
             n_slots = blocks["n_slots"][0].as_py()
             # Most candidates share ``d`` offsets this near; the others look further.
             joint = max(0.01, np.mean(~np.isnan(vals)) ** 2)
