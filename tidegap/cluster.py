@@ -15,8 +15,10 @@ def task_count(spark: SparkSession) -> int:
     would leave such a step with a handful of tasks; a partition count given to
     ``repartition`` is kept.
     """
+    per_core = max(1, int(3.5 * spark.sparkContext.defaultParallelism))
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(shuffle, int(3.5 * spark.sparkContext.defaultParallelism))
+    # 200 is Spark's number where nobody chose one.
+    return per_core if shuffle == 200 else max(shuffle, per_core)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
