@@ -132,10 +132,10 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 
 def _block_links(block: pa.Table) -> pa.Table:
     """A forest of the links between filed and asking fingerprints of one block."""
-    prints = block["print"].to_numpy()
+    prints = block["print"].to_numpy().view(np.uint64)  # bits of signed numbers are counted without sign
     asks = block["asks"].to_numpy()
     filed, asking = np.unique(prints[~asks]), np.unique(prints[asks])
-    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    a, b = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
     for i in range(0, len(asking) if len(filed) else 0, 512):
         part = asking[i:i + 512]
         near = np.bitwise_count(part[:, None] ^ filed[None, :]) <= BITS
@@ -145,7 +145,7 @@ def _block_links(block: pa.Table) -> pa.Table:
         pairs = pairs[:, pairs[0] != pairs[1]]
         a.append(pairs[0])
         b.append(pairs[1])
-    kept = forest(np.concatenate(a), np.concatenate(b))
+    kept = forest(np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64))
     return pa.table({"a": pa.array([x for x, _ in kept], pa.int64()), "b": pa.array([y for _, y in kept], pa.int64())})
 
 
