@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegap.llm import decontamination, golay, language, quality
+from tidegap.llm import decontamination, golay, language, packing, quality
 from tidegap.llm.rows import held_out
 
 
@@ -21,6 +22,12 @@ def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.pack(_read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                         "sequence_id", "offset")
+
+
 def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = _read(spark, folder, "documents").select("doc_id", "text", "lang")
     known = language.learn(docs.where(~held_out(F.col("doc_id"))))
@@ -42,4 +49,4 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op4_quality_classifier, op7_language_id, op9_simhash_near_dedup, op10_decontamination)}
+    op4_quality_classifier, op5_packing, op7_language_id, op9_simhash_near_dedup, op10_decontamination)}
