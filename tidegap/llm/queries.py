@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegap.llm import decontamination, golay, language, packing, quality
+from tidegap.llm import automata, bwt, decontamination, golay, language, packing, quality
 from tidegap.llm.rows import held_out
 
 
@@ -13,6 +13,11 @@ def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = automata.remove_repeated_passages(_read(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = _read(spark, folder, "documents"), _read(spark, folder, "labels")
     stats = quality.with_statistics(docs)
@@ -36,6 +41,11 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
         F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = bwt.remove_repeated_bytes(_read(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = golay.near_duplicates(_read(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
@@ -49,4 +59,5 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op4_quality_classifier, op5_packing, op7_language_id, op9_simhash_near_dedup, op10_decontamination)}
+    op2_substring_dedup, op4_quality_classifier, op5_packing, op7_language_id, op8_suffix_array_dedup,
+    op9_simhash_near_dedup, op10_decontamination)}
