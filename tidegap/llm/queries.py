@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegap.llm import automata, bwt, decontamination, golay, language, packing, quality
+from tidegap.llm import automata, bwt, cap_filters, decontamination, golay, language, packing, quality
 from tidegap.llm.rows import held_out
 
 
@@ -18,6 +18,11 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = cap_filters.near_duplicates(_read(spark, folder, "embeddings"))
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = _read(spark, folder, "documents"), _read(spark, folder, "labels")
     stats = quality.with_statistics(docs)
@@ -59,5 +64,5 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_substring_dedup, op4_quality_classifier, op5_packing, op7_language_id, op8_suffix_array_dedup,
+    op2_substring_dedup, op3_embedding_near_dedup, op4_quality_classifier, op5_packing, op7_language_id, op8_suffix_array_dedup,
     op9_simhash_near_dedup, op10_decontamination)}
