@@ -64,6 +64,20 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m, vec_
 FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
 """
 
+_OP6 = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(encode(coalesce(html, ''))) AS x,
+    max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages),
+d AS (
+  SELECT page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      (('0x' || substr(x, 5 * i + 1, 5))::INT >> (15 - 5 * j)) % 32 + 1, 1), '' ORDER BY i, j) AS digest
+  FROM p, unnest(range(0, 8)) a(i), unnest(range(0, 4)) b(j) GROUP BY page_id)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> top THEN top END AS refers_to
+FROM p JOIN d USING (page_id)
+"""
+
 _OP8 = r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
 win AS (
@@ -88,4 +102,4 @@ SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES = {"op2_substring_dedup": _OP2, "op3_embedding_near_dedup": _OP3, "op8_suffix_array_dedup": _OP8, "op10_decontamination": _OP10}
+ORACLES = {"op2_substring_dedup": _OP2, "op3_embedding_near_dedup": _OP3, "op6_warc": _OP6, "op8_suffix_array_dedup": _OP8, "op10_decontamination": _OP10}

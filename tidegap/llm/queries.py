@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegap.llm import automata, bwt, cap_filters, decontamination, golay, language, packing, quality
+from tidegap.cluster import scratch_path
+from tidegap.llm import automata, bwt, cap_filters, decontamination, golay, language, packing, quality, warc
 from tidegap.llm.rows import held_out
 
 
@@ -38,6 +39,13 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
                          "sequence_id", "offset")
 
 
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    place = scratch_path(spark, "archives")
+    arcs = warc.write_arc(_read(spark, folder, "pages"), f"{place}/arc")
+    found = warc.read_warc(warc.convert_arc(arcs, f"{place}/warc"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = _read(spark, folder, "documents").select("doc_id", "text", "lang")
     known = language.learn(docs.where(~held_out(F.col("doc_id"))))
@@ -64,5 +72,5 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_substring_dedup, op3_embedding_near_dedup, op4_quality_classifier, op5_packing, op7_language_id, op8_suffix_array_dedup,
+    op2_substring_dedup, op3_embedding_near_dedup, op4_quality_classifier, op5_packing, op6_warc, op7_language_id, op8_suffix_array_dedup,
     op9_simhash_near_dedup, op10_decontamination)}
