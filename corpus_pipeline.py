@@ -1,13 +1,67 @@
-"""A corpus from raw documents to packed training sequences, stage by stage."""
+"""A corpus from raw documents to packed training sequences, stage by stage.
+
+Each stage gets what the stage before kept, works on all of it, and returns a DataFrame
+that is written as Parquet and read again. All but the last return the columns of
+``documents``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tidegap.cluster import scratch_path
+from tidegap.llm import decontamination, golay, language, line_chunks, packing
+from tidegap.llm.rows import held_out
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents whose language compression cannot tell: no letters, or too close a margin."""
+    known = language.learn(docs.where(~held_out(F.col("doc_id"))))
+    return language.identify(docs, known).where("not lang_rejected").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take repeated chunks of lines out of the texts; the number of characters follows."""
+    found = line_chunks.remove_repeated_chunks(docs)
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long"))
+                                 .otherwise(F.col("n_chars")))
+    return found.select(*docs.columns)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each group of near-duplicates."""
+    return golay.representatives(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold too much of the benchmark."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokenise what is left and pack it; one row per piece, with its ids."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("decontamination", decontaminate),
+    ("packing", pack),
+]
 
-STAGES: list = []
+#: Compression, XXH64 and tokenisation have no SQL; the tests hold run() against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``; each result is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = scratch_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

@@ -111,3 +111,11 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW,
             .select("doc_id", "text_hash", "n_words", "copies", n_hit.alias("n_hit"), ids.alias("item_ids"))
             .withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
             .withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies"))
+
+
+def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with all their columns that are not contaminated by ``items``."""
+    bad = (contamination(docs, items).where("contaminated").select("doc_id", "text_hash").distinct()
+           .toDF("_doc_id", "_text_hash"))
+    return docs.join(bad, docs.doc_id.cast("long").eqNullSafe(bad["_doc_id"])
+                     & (F.xxhash64(F.coalesce(docs.text, F.lit(""))) == bad["_text_hash"]), "left_anti")

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidegap.cluster import pin
 from tidegap.llm.components import components
+from tidegap.llm.rows import keyed
 
 SHINGLE = 4
 SEED = 42
@@ -171,19 +172,34 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, print, component_id`` for every row of ``docs(doc_id, text)``.
+    """``doc_id, text_hash, print, component, component_id`` for every row of ``docs(doc_id, text)``.
 
     ``component_id`` is the smallest id reachable over links of at most 4 bits, itself
-    included. Null and empty texts have fingerprint 0 and link like any other. Equal
-    rows stay apart in the result and share a component; null ids never name a component
-    that has another id. An empty table gives no rows.
+    included; ``component`` names the group by one of its fingerprints. Null and empty
+    texts have fingerprint 0 and link like any other. Equal rows stay apart in the result
+    and share a component; null ids never name a component that has another id. An empty
+    table gives no rows.
     """
-    rows = pin(docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                           _fingerprints(F.coalesce("text", F.lit(""))).alias("print")), "prints")
+    rows = pin(keyed(docs).select("doc_id", "text_hash", _fingerprints("text").alias("print")), "prints")
     classes = pin(rows.groupBy("print").agg(F.min("doc_id").alias("doc_id")), "classes")
     found = components(pin(links(classes.select("print")), "links"))
     named = (classes.join(found.withColumnRenamed("v", "print"), "print", "left")
              .select("print", F.coalesce("component", "print").alias("component"), "doc_id"))
     heads = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_print = named.join(heads, "component").select("print", "component_id")
-    return rows.join(by_print, "print").select("doc_id", "print", "component_id")
+    by_print = named.join(heads, "component").select("print", "component", "component_id")
+    return rows.join(by_print, "print").select("doc_id", "text_hash", "print", "component", "component_id")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with all their columns, one of each component.
+
+    The smallest id stays; of rows that share it, the one with the smallest text hash,
+    and one of equal rows.
+    """
+    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    heads = (found.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("head"))
+             .select(F.col("head.doc_id").alias("_doc_id"), F.col("head.text_hash").alias("_text_hash")).distinct())
+    marked = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_id", F.col("doc_id").cast("long"))
+    kept = marked.join(heads, marked["_id"].eqNullSafe(heads["_doc_id"]) & (marked["_hash"] == heads["_text_hash"]), "left_semi")
+    return (kept.withColumn("_copy", F.expr("row_number() over (partition by _id, _hash order by _hash)"))
+            .where("_copy = 1").select(*docs.columns))

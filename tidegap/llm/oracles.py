@@ -29,6 +29,31 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
 """
 
+_OP1 = """
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+h AS (
+  SELECT doc_id, i, l[i] AS line, ('0x' || substr(md5(l[i]), 1, 8))::BIGINT AS h
+  FROM d, unnest(range(1, len(l) + 1)) t(i)),
+e AS (
+  SELECT *, (h * 31 + coalesce(lag(h) OVER w, 0)) % 2147483647 % 3 = 0 AS ends FROM h
+  WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+c AS (
+  SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM e),
+chunk AS (
+  SELECT doc_id, k, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM c GROUP BY doc_id, k),
+gone AS (
+  SELECT doc_id, k FROM (
+    SELECT doc_id, k, row_number() OVER (PARTITION BY body ORDER BY doc_id, k) AS r FROM chunk WHERE n >= 2)
+  WHERE r > 1),
+kept AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS kept, count(*) AS n
+  FROM c ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT doc_id, coalesce(len(l), 0)::BIGINT AS n_lines, (coalesce(len(l), 0) - coalesce(n, 0))::BIGINT AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN d USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 _OP2 = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -102,4 +127,4 @@ SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES = {"op2_substring_dedup": _OP2, "op3_embedding_near_dedup": _OP3, "op6_warc": _OP6, "op8_suffix_array_dedup": _OP8, "op10_decontamination": _OP10}
+ORACLES = {"op1_line_dedup": _OP1, "op2_substring_dedup": _OP2, "op3_embedding_near_dedup": _OP3, "op6_warc": _OP6, "op8_suffix_array_dedup": _OP8, "op10_decontamination": _OP10}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidegap.cluster import scratch_path
-from tidegap.llm import automata, bwt, cap_filters, decontamination, golay, language, packing, quality, warc
+from tidegap.llm import automata, bwt, cap_filters, decontamination, golay, language, line_chunks, packing, quality, warc
 from tidegap.llm.rows import held_out
 
 
@@ -14,6 +14,11 @@ def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = line_chunks.remove_repeated_chunks(_read(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = automata.remove_repeated_passages(_read(spark, folder, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -72,5 +77,5 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_substring_dedup, op3_embedding_near_dedup, op4_quality_classifier, op5_packing, op6_warc, op7_language_id, op8_suffix_array_dedup,
+    op1_line_dedup, op2_substring_dedup, op3_embedding_near_dedup, op4_quality_classifier, op5_packing, op6_warc, op7_language_id, op8_suffix_array_dedup,
     op9_simhash_near_dedup, op10_decontamination)}
