@@ -8,9 +8,10 @@ directions above the threshold are read off without trying the others. Two vecto
 cosine of at least the wanted one share a dozen caps on average, vectors at random
 hardly any, so links are looked for among the members of a cap and verified there.
 
-Caps that share their first half are handled together: a vector travels once for each
-first half, not for each cap. A crowded one is cut into blocks that meet in pairs. A pair
-that meets in several first halves counts in the first. A block returns how many links
+Caps that share their first half travel together: a vector is sent once for each first
+half, not for each cap. A crowded one is cut into blocks that meet in pairs. Within a
+block only members of one cap are compared; a pair that meets in several caps counts in
+the first. A block returns how many links
 each vector has in it and a spanning forest, never the pairs. Equal vectors are one class
 before all this.
 """
@@ -29,7 +30,7 @@ from tidegap.llm.components import components
 
 COSINE = 0.93
 #: Members of a cap aimed at, and caps of a vector; the code's size follows from these.
-MEMBERS, CAPS = 64, 24
+MEMBERS, CAPS = 64, 40
 #: Directions of each half at least and at most.
 FEWEST, MOST = 32, 4096
 #: Vectors of one block.
@@ -69,61 +70,77 @@ def caps(vectors: np.ndarray, directions: int) -> tuple[np.ndarray, np.ndarray,
     return tuple(np.concatenate(x) if found else np.empty(0, np.int64) for x in (zip(*found) if found else [[]] * 3))
 
 
-def _unit(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    sizes = vectors.value_lengths().to_numpy(zero_copy_only=False)
-    values = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), sizes[0] if len(sizes) else 0)
-    values = values / np.abs(values).max(axis=1, keepdims=True)
-    return values / np.linalg.norm(values, axis=1, keepdims=True), sizes
+def _unit(vectors: pa.Array) -> np.ndarray:
+    """Rows of equal length, in double precision, of length 1."""
+    values = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+    values /= np.abs(values).max(axis=1, keepdims=True)
+    return values / np.linalg.norm(values, axis=1, keepdims=True)
 
 
-def _firsts(directions: int):
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def firsts(vectors: pa.Array) -> pa.Array:
-        """The first halves of the caps of each vector; vectors may differ in dimensions."""
+def _caps(directions: int):
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def found(vectors: pa.Array) -> pa.Array:
+        """The caps of each vector in order, as first times ``directions`` plus second."""
         sizes = vectors.value_lengths().to_numpy(zero_copy_only=False)
         out: list = [None] * len(vectors)
         for size in np.unique(sizes):
             rows = np.flatnonzero(sizes == size)
             for i in range(0, len(rows), 512):
                 part = rows[i:i + 512]
-                row, first, _ = caps(_unit(vectors.take(pa.array(part)))[0], directions)
-                pairs = np.unique(np.stack([row, first]), axis=1)
-                ends = np.searchsorted(pairs[0], np.arange(len(part) + 1))
-                for k, at in enumerate(part):
-                    out[at] = pairs[1, ends[k]:ends[k + 1]].tolist()
-        return pa.array(out, pa.list_(pa.int32()))
-
-    return firsts
+                row, first, second = caps(_unit(vectors.take(pa.array(part))), directions)
+                cap = first * directions + second
+                order = np.lexsort((cap, row))
+                for at, own in zip(part, np.split(cap[order], np.searchsorted(row[order], np.arange(1, len(part))))):
+                    out[at] = own
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return found
+
+
+def _meetings(lists: pa.Array, lo: np.ndarray, hi: np.ndarray, least: int, end: int):
+    """For each cap from ``least`` to ``end`` the places in ``lo`` and in ``hi`` that it holds."""
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    cap = lists.flatten().to_numpy(zero_copy_only=False)
+    row, cap = row[(cap >= least) & (cap < end)], cap[(cap >= least) & (cap < end)]
+    order = np.argsort(cap, kind="stable")
+    row, cap = row[order], cap[order]
+    place = np.full((2, len(lists)), -1)
+    place[0, lo], place[1, hi] = np.arange(len(lo)), np.arange(len(hi))
+    for own in np.split(row, np.flatnonzero(np.diff(cap)) + 1) if len(row) else ():
+        a, b = (p[p >= 0] for p in place[:, own])
+        if len(a) and len(b):
+            yield a, b
 
 
 def _block(cosine: float, directions: int):
     def block(rows: pa.Table) -> pa.Table:
         first = rows["first"][0].as_py()
-        vectors = _unit(rows["vector"].combine_chunks())[0]
-        sides = rows["side"].to_numpy()
+        vectors = _unit(rows["vector"].combine_chunks())
+        sides, lists = rows["side"].to_numpy(), rows["caps"].combine_chunks()
         cls, copies = rows["cls"].to_numpy(), rows["copies"].to_numpy()
-        earlier = np.zeros((len(cls), directions), dtype=np.float32)
-        lists = rows["firsts"].combine_chunks()
-        earlier[np.repeat(np.arange(len(cls)), lists.value_lengths().to_numpy(zero_copy_only=False)),
-                lists.flatten().to_numpy(zero_copy_only=False)] = 1
-        earlier = earlier[:, :first]
         lo, hi = np.flatnonzero(sides <= 0), np.flatnonzero(sides >= 0)  # 0: both, a block with itself
-        near = vectors[lo] @ vectors[hi].T >= cosine
-        near &= (earlier[lo] @ earlier[hi].T) == 0
+        near = np.zeros((len(lo), len(hi)), dtype=bool)
+        for a, b in _meetings(lists, lo, hi, first * directions, (first + 1) * directions):
+            near[np.ix_(a, b)] |= vectors[lo[a]] @ vectors[hi[b]].T >= cosine
         near &= cls[lo][:, None] != cls[hi][None, :]
+        # What met under an earlier first half has been counted there.
+        x, y = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+        for a, b in _meetings(lists, lo[x], hi[y], 0, first * directions):
+            near[np.ix_(x[a], y[b])] = False
         links = np.zeros(len(cls), dtype=np.int64)
         links[lo] += near @ copies[hi]
         if (sides != 0).any():
             links[hi] += copies[lo] @ near
-        # Smallest class reachable within the block.
-        label = cls.copy()
-        while True:
-            old = label.copy()
-            label[lo] = np.minimum(label[lo], np.where(near, label[hi][None, :], np.iinfo(np.int64).max).min(axis=1))
-            label[hi] = np.minimum(label[hi], np.where(near, label[lo][:, None], np.iinfo(np.int64).max).min(axis=0))
-            if (old == label).all():
+        # Smallest class reachable within the block, over the rows that have links.
+        label, some = cls.copy(), np.flatnonzero(links)
+        near = near[np.ix_(x, y)]
+        x, y = lo[x], hi[y]
+        while len(some):
+            old = label[some]
+            label[x] = np.minimum(label[x], np.where(near, label[y][None, :], np.iinfo(np.int64).max).min(axis=1))
+            label[y] = np.minimum(label[y], np.where(near, label[x][:, None], np.iinfo(np.int64).max).min(axis=0))
+            if (old == label[some]).all():
                 break
-        some = links > 0
         return pa.table({"a": cls[some], "b": label[some], "links": links[some]})
 
     return block
@@ -143,7 +160,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     closer one with less; vectors that are equal are never missed.
     """
     spark = vectors.sparkSession
-    vector = F.transform("embedding", lambda x: x.cast("double"))
+    single = isinstance(getattr(vectors.schema["embedding"].dataType, "elementType", None), T.FloatType)
+    vector = F.col("embedding") if single else F.col("embedding").cast("array<double>")
     sound = F.coalesce(
         F.forall(F.col("vector"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists(F.col("vector"), lambda x: x != 0) & F.col("label").isNotNull(), F.lit(False))
@@ -156,15 +174,16 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     wanted = np.log2(max(1, CAPS * largest / MEMBERS)) / 2  # members = largest * CAPS / directions ** 2
     directions = int(min(MOST, max(FEWEST, 2 ** np.ceil(wanted))))
-    filed = pin(classes.select("cls", "label", "copies", "vector", _firsts(directions)("vector").alias("firsts")), "caps")
-    at = filed.withColumn("first", F.explode("firsts")).withColumn("d", F.size("vector"))
+    filed = pin(classes.select("cls", "label", "copies", "vector", _caps(directions)("vector").alias("caps")), "caps")
+    firsts = F.array_distinct(F.transform("caps", lambda c: F.floor(c / directions)))
+    at = filed.withColumn("first", F.explode(firsts)).withColumn("d", F.size("vector"))
     key = ["label", "d", "first"]
     counts = at.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     # Every row goes to each pair of blocks that its own belongs to.
     dealt = (at.join(counts, key).withColumn("own", own)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select(*key, "cls", "copies", "vector", "firsts", F.least("own", "other").alias("lo"),
+             .select(*key, "cls", "copies", "vector", "caps", F.least("own", "other").alias("lo"),
                      F.greatest("own", "other").alias("hi"),
                      F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), -1)
                      .otherwise(1).alias("side")))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegap.cluster import pin
-from tidegap.llm.rows import keyed, lower_ascii
+from tidegap.llm.rows import keyed, lower_ascii, same_row, wrapped
 
 WINDOW = 13
 #: Everything below "0", between "9" and "a" after lower-casing, and above "z" in ASCII.
@@ -115,7 +115,6 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW,
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` with all their columns that are not contaminated by ``items``."""
-    bad = (contamination(docs, items).where("contaminated").select("doc_id", "text_hash").distinct()
-           .toDF("_doc_id", "_text_hash"))
-    return docs.join(bad, docs.doc_id.cast("long").eqNullSafe(bad["_doc_id"])
-                     & (F.xxhash64(F.coalesce(docs.text, F.lit(""))) == bad["_text_hash"]), "left_anti")
+    bad = contamination(docs, items).where("contaminated").select("doc_id", "text_hash").distinct()
+    rows = wrapped(docs)
+    return rows.join(bad, same_row(rows, bad), "left_anti").select("row.*")

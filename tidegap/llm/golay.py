@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidegap.cluster import pin
 from tidegap.llm.components import components
-from tidegap.llm.rows import keyed
+from tidegap.llm.rows import keyed, same_row, wrapped
 
 SHINGLE = 4
 SEED = 42
@@ -197,9 +197,8 @@ def representatives(docs: DataFrame) -> DataFrame:
     and one of equal rows.
     """
     found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    heads = (found.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("head"))
-             .select(F.col("head.doc_id").alias("_doc_id"), F.col("head.text_hash").alias("_text_hash")).distinct())
-    marked = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_id", F.col("doc_id").cast("long"))
-    kept = marked.join(heads, marked["_id"].eqNullSafe(heads["_doc_id"]) & (marked["_hash"] == heads["_text_hash"]), "left_semi")
-    return (kept.withColumn("_copy", F.expr("row_number() over (partition by _id, _hash order by _hash)"))
-            .where("_copy = 1").select(*docs.columns))
+    heads = found.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("head")).select("head.*").distinct()
+    rows = wrapped(docs)
+    kept = rows.join(heads, same_row(rows, heads), "left_semi")
+    return (kept.withColumn("copy", F.expr("row_number() over (partition by doc_id, text_hash order by text_hash)"))
+            .where("copy = 1").select("row.*"))

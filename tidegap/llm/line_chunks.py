@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegap.cluster import pin
-from tidegap.llm.rows import keyed, same_row
+from tidegap.llm.rows import keyed, same_row, wrapped
 
 #: Lines under the rolling hash, one in so many of its values ends a chunk, fewest lines of a chunk removed.
 ROLLING, DIVISOR, LINES = 2, 3, 2
@@ -82,20 +82,15 @@ def remove_repeated_chunks(docs: DataFrame) -> DataFrame:
     and stays null, an empty one is one empty line; a text that loses all lines is empty.
     An empty table gives no rows.
     """
-    gone = removed_chunks(keyed(docs)).groupBy("doc_id", "text_hash").agg(F.array_sort(F.flatten(F.collect_list(
-        F.sequence("start", F.col("start") + F.col("n") - 1)))).alias("_gone"))
-    gone = gone.select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"), "_gone").hint("shuffle_hash")
-    text = F.coalesce(docs.text, F.lit(""))
-    joined = docs.drop("n_lines", "n_removed").join(
-        gone, docs.doc_id.cast("long").eqNullSafe(gone["_doc_id"]) & (F.xxhash64(text) == gone["_text_hash"]), "left")
-    all_lines = lines(F.col("text"))
-    places = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("_gone"))
-    kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform(places, lambda i: F.get(F.col("_lines"), i)), "\n"))
+    gone = removed_chunks(keyed(docs)).groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list(
+        F.sequence("start", F.col("start") + F.col("n") - 1))).alias("gone")).hint("shuffle_hash")
+    rows = wrapped(docs)
+    split = rows.join(gone, same_row(rows, gone), "left").select(
+        "row", "gone", lines(F.col("row.text")).alias("lines"))
+    places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    kept = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(
+        F.array_join(F.transform(places, lambda i: F.get(F.col("lines"), i)), "\n"))
+    size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long")
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return (joined.withColumn("_lines", all_lines)
-            .withColumn("n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("long"))
-            .withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("n_lines")).cast("long"))
-            .withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-            .withColumn("n_removed", F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.col("n_removed")).cast("long"))
-            .withColumn("text", kept).select(*names, "n_lines", "n_removed"))
+    return split.select(*[kept.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in names],
+                        size("lines").alias("n_lines"), size("gone").alias("n_removed"))

@@ -30,6 +30,16 @@ def keyed(docs: DataFrame) -> DataFrame:
                        F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
+def wrapped(docs: DataFrame) -> DataFrame:
+    """``row`` with all columns of ``docs``, beside ``doc_id, text_hash`` as from ``keyed``.
+
+    So that no column of the caller's meets one of an operator's.
+    """
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"),
+                       F.col("doc_id").cast("long").alias("doc_id"),
+                       F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash"))
+
+
 def same_row(left: DataFrame, right: DataFrame) -> Column:
     """Join condition on row identity that also holds for null ids."""
     return left.doc_id.eqNullSafe(right.doc_id) & (left.text_hash == right.text_hash)
