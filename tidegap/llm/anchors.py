@@ -195,7 +195,8 @@ def _file(unit: Unit, sent):
                 [pa.array(anchor[head]), pa.array(seal[head]), ids.take(pa.array(which[head])),
                  pa.array(hashes[which[head]]), pa.array(start[head].astype(np.int32)),
                  pa.array(windows[head].astype(np.int32)),
-                 pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), places)],
+                 pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), places,
+                                          mask=pa.array(np.diff(ends) == 0))],  # mostly none
                 names=["anchor", "seal", "doc_id", "text_hash", "at", "windows", "more"])
 
     return file
@@ -227,7 +228,8 @@ Compare = Callable[[list[bytes]], list[np.ndarray]]
 
 def _compared(unit: Unit, compare: Compare):
     def compared(shard: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(shard[c].to_pylist() for c in ("doc_id", "text_hash", "at", "content"))),
+        # A row that came twice is one place.
+        rows = sorted(set(zip(*(shard[c].to_pylist() for c in ("doc_id", "text_hash", "at", "content")))),
                       key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
         out = []
         for (doc_id, text_hash, at, _), again in zip(rows, compare([r[3] for r in rows])):
@@ -263,13 +265,14 @@ def repeats(docs: DataFrame, unit: Unit, compare: Compare) -> DataFrame:
     wanted = (asked.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct(
         F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "at", "windows")).alias("asked")))
     wanted = wanted.hint("shuffle_hash")
-    fetched = (docs.dropDuplicates(["doc_id", "text_hash"]).join(wanted, same_row(docs, wanted))
+    fetched = (docs.join(wanted, same_row(docs, wanted))
                .select(docs.doc_id, docs.text_hash, "text", "asked")
                .mapInArrow(_fetch(unit), "shard bigint, doc_id bigint, text_hash bigint, at int, content binary"))
     found = fetched.groupBy("shard").applyInArrow(
         _compared(unit, compare), "doc_id bigint, text_hash bigint, at int, until int")
-    own = F.when(F.col("again"), F.array(F.struct("doc_id", "text_hash", "at"))).otherwise(F.array())
-    whole = (met.select("windows", F.explode(F.concat(own, "more")).alias("p"))
+    none = F.array().cast("array<struct<doc_id: bigint, text_hash: bigint, at: int>>")
+    own = F.when(F.col("again"), F.array(F.struct("doc_id", "text_hash", "at"))).otherwise(none)
+    whole = (met.select("windows", F.explode(F.concat(own, F.coalesce("more", none))).alias("p"))
              .select("p.doc_id", "p.text_hash", "p.at", (F.col("p.at") + F.col("windows") + unit.size - 1).alias("until")))
     return whole.unionByName(found)
 
