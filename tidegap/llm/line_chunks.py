@@ -63,7 +63,7 @@ def removed_chunks(docs: DataFrame) -> DataFrame:
                                           F.count(F.lit(1)).alias("k")).where("k > 1").select("h1", "h2"))
     wanted = (rows.join(again, ["h1", "h2"]).groupBy("doc_id", "text_hash")
               .agg(F.collect_set(F.struct("start", "n", "h1", "h2")).alias("chunks")).hint("shuffle_hash"))
-    texts = pin(docs.dropDuplicates(["doc_id", "text_hash"]).join(wanted, same_row(docs, wanted))
+    texts = pin(docs.join(wanted, same_row(docs, wanted))
                 .select(docs.doc_id, docs.text_hash, lines(F.col("text")).alias("lines"), F.explode("chunks").alias("c"))
                 .select("doc_id", "text_hash", "c.*", chunk.alias("chunk")), "repeated-chunks")
     first = texts.groupBy("h1", "h2", "chunk").agg(F.min(F.struct("doc_id", "text_hash", "start")).alias("first"))
@@ -82,8 +82,8 @@ def remove_repeated_chunks(docs: DataFrame) -> DataFrame:
     and stays null, an empty one is one empty line; a text that loses all lines is empty.
     An empty table gives no rows.
     """
-    gone = removed_chunks(keyed(docs)).groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list(
-        F.sequence("start", F.col("start") + F.col("n") - 1))).alias("gone")).hint("shuffle_hash")
+    gone = removed_chunks(keyed(docs)).groupBy("doc_id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_set(
+        F.sequence("start", F.col("start") + F.col("n") - 1)))).alias("gone")).hint("shuffle_hash")
     rows = wrapped(docs)
     split = rows.join(gone, same_row(rows, gone), "left").select(
         "row", "gone", lines(F.col("row.text")).alias("lines"))
