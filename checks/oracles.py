@@ -141,7 +141,7 @@ def predictions(k: list[int], d: list[int], v: list[int], dist: str = "dist") ->
         f"ks AS (SELECT CAST(unnest({k}) AS INTEGER) AS k)",
         f"""ranked AS (
   SELECT series_id, q_idx, d, v, h_value,
-         row_number() OVER (PARTITION BY series_id, q_idx, d, v ORDER BY dist, shift_rank, season) AS rn
+         row_number() OVER (PARTITION BY series_id, q_idx, d, v ORDER BY round(dist, 9), shift_rank, season) AS rn
   FROM {dist} JOIN vs ON abs(shift) <= vs.v)""",
         f"""means AS (
   SELECT series_id, q_idx, k, d, v, avg(h_value) AS prediction
@@ -201,7 +201,12 @@ DAY_GRID = (counts("orders", "o_orderdate", DAY) + raw(7) + trimmed(7) + stats(7
 
 SCORES = "SELECT k, d, v, round(sqrt(avg(err * err)), 6) AS rmse FROM results GROUP BY ALL"
 BEST = """best AS (
-  SELECT k, d, v, sqrt(avg(err * err)) AS rmse FROM results GROUP BY ALL ORDER BY rmse, k, d, v LIMIT 1)"""
+  SELECT k, d, v, sqrt(avg(err * err)) AS rmse FROM results GROUP BY ALL
+  ORDER BY rmse NULLS LAST, k, d, v LIMIT 1)"""
+BEST_BY_SERIES = """best AS (
+  SELECT * FROM (SELECT series_id, k, d, v, sqrt(avg(err * err)) AS rmse FROM results GROUP BY ALL)
+  WHERE rmse IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY rmse, k, d, v) = 1)"""
 DESCRIBE = ", ".join(
     f"""count({c}) AS {c}_count, round(avg({c}), 6) AS {c}_mean, round(stddev_samp({c}), 6) AS {c}_std,
   min({c}) AS {c}_min, max({c}) AS {c}_max, round(quantile_cont({c}, 0.25), 6) AS {c}_p25,
@@ -299,7 +304,7 @@ FROM after_fill GROUP BY 1"""),
     "rmse_by_missing_ratio": sql(ROBUST_SQL, """
 SELECT CAST(split_part(series_id, '@', 2) AS DOUBLE) AS missing_ratio, k, d, v,
        round(sqrt(avg(err * err)), 6) AS rmse FROM results GROUP BY ALL"""),
-    "csv_round_trip": sql(counts("events", "ts", HOUR) + raw(24) + trimmed(24), f"""
+    "csv_round_trip": sql(TYPE_SERIES, f"""
 SELECT series_id, idx, slot * {HOUR // 1_000_000} AS epoch_sec, value FROM series"""),
     "variant_source": sql(LI_MASKED + masked(0.25, "plain"), """
 SELECT series_id, idx, value FROM series"""),
@@ -311,8 +316,22 @@ FROM results GROUP BY ALL"""),
     "table_hand_over": sql(IMPUTE_TYPE, """
 SELECT series_id, idx, round(value, 9) AS value FROM filled"""),
     "score_table": sql(TYPE_RESULTS, """
-SELECT k, d, v, round(sqrt(avg(err * err)), 6) AS rmse, round(avg(abs(err)), 6) AS mae
+SELECT k, d, v, round(sqrt(avg(err * err)), 6) AS rmse, round(avg(abs(err)), 6) AS mae,
+       count(err) AS n, count(*) - count(err) AS n_null
 FROM results GROUP BY ALL"""),
+    "knn_predict_fractional": sql(
+        [f"""counts AS (
+  SELECT 'all' AS series_id, epoch_us(ts) // {HOUR} AS slot, round(avg(value), 1) AS value
+  FROM events WHERE ts IS NOT NULL GROUP BY 1, 2)"""] + raw(24) + trimmed(24) + stats(24) + holdout(24)
+        + candidates(24, WIDTH, max(V)) + distances(WIDTH, D) + predictions(K, D, V), """
+SELECT series_id, q_idx, k, d, v, round(prediction, 6) AS prediction FROM predictions"""),
+    "best_params_masked": sql(
+        counts("orders", "o_orderdate", DAY) + raw(7) + trimmed(7, "plain") + masked(0.97, "plain")
+        + stats(7) + holdout(7) + candidates(7, 2, 2) + distances(2, [1, 2])
+        + predictions([2, 8], [1, 2], [0, 2]) + [BEST], """
+SELECT k, d, v, round(rmse, 6) AS rmse FROM best"""),
+    "best_params_by_series": sql(TYPE_RESULTS + [BEST_BY_SERIES], """
+SELECT series_id, k, d, v, round(rmse, 6) AS rmse FROM best"""),
 }
 
 
@@ -324,5 +343,68 @@ SELECT series_id, train_index, k, d, v, round(prediction, 9) AS prediction, roun
     return "SELECT * FROM " + one(TYPE_RESULTS) + " UNION ALL SELECT * FROM " + one(HOUR_RESULTS)
 
 
+def _by_best() -> str:
+    """Tune on a hold-out, then ask all gaps with the winner of each series."""
+    tuned = (TYPE_HOUR + trimmed(24, "plain") + masked(0.3, "plain") + stats(24) + holdout(24)
+             + candidates(24, 16, 4) + distances(16, [4]) + predictions([2, 8], [4], [0, 4]) + [BEST_BY_SERIES])
+    asked = MISSING_AS_QUERIES + candidates(24, 16, 4) + distances(16, [4]) + predictions([2, 8], [4], [0, 4])
+    given = ["series AS (SELECT * FROM tuned_series)", "best AS (SELECT * FROM tuned_best)"]
+    inner = ["tuned_series AS (WITH " + ",\n".join(tuned) + "\nSELECT * FROM series)",
+             "tuned_best AS (WITH " + ",\n".join(tuned) + "\nSELECT * FROM best)"]
+    return sql(inner + given + stats(24) + asked, """
+SELECT s.series_id, s.idx, round(coalesce(s.value, p.prediction), 6) AS value,
+       s.value IS NULL AND p.prediction IS NOT NULL AS is_imputed
+FROM series s LEFT JOIN best b USING (series_id)
+LEFT JOIN predictions p ON p.series_id = s.series_id AND p.q_idx = s.idx AND p.k = b.k AND p.d = b.d AND p.v = b.v""")
+
+
+def wide(width: int, d: list[int]) -> list[str]:
+    """``dist`` for wide windows: one row per candidate, joint offsets as list slices.
+
+    ``w`` holds for each slot the values of its window; a candidate's joint offsets on a
+    side are those where neither is NULL, nearest first.
+    """
+    sides = []
+    for side, at in (("l", f"{width} - j + 1"), ("r", f"{width} + j + 1")):
+        own = "p.q_idx - p.h_idx" if side == "r" else "p.h_idx - p.q_idx"
+        sides.append(f"""list_filter(range(1, {width + 1}), lambda j: a.w[{at}] IS NOT NULL
+    AND b.w[{at}] IS NOT NULL AND j <> {own}) AS j{side}""")
+    sums = []
+    for side, at in (("l", f"{width} - j + 1"), ("r", f"{width} + j + 1")):
+        sums += [f"list_transform(k{side}, lambda j: abs(qw[{at}] - hw[{at}])) AS x{side}"]
+    part = lambda s: (f"coalesce(list_sum(list_transform(range(1, len(k{s}) + 1), "
+                      f"lambda i: (k{s}[1] + k{s}[-1] - k{s}[i]) * x{s}[i])), 0)")
+    weight = lambda s: f"coalesce(list_sum(list_transform(k{s}, lambda j: k{s}[1] + k{s}[-1] - j)), 0)"
+    return [
+        f"""places AS (
+  SELECT series_id, idx, list(value) OVER (PARTITION BY series_id ORDER BY idx
+    ROWS BETWEEN {width} PRECEDING AND {width} FOLLOWING) AS part,
+    row_number() OVER (PARTITION BY series_id ORDER BY idx) - 1 AS before FROM series)""",
+        f"""wins AS (
+  SELECT series_id, idx, list_concat(list_transform(range(0, greatest({width} - before, 0)), lambda x: NULL::DOUBLE), part) AS w
+  FROM places)""",
+        f"""joints AS (
+  SELECT p.*, a.w AS qw, b.w AS hw, {", ".join(sides)}
+  FROM pivots p JOIN wins a ON a.series_id = p.series_id AND a.idx = p.q_idx
+  JOIN wins b ON b.series_id = p.series_id AND b.idx = p.h_idx WHERE p.h_value IS NOT NULL)""",
+        f"""kept AS (
+  SELECT * EXCLUDE (jl, jr), jl[1:x.d] AS kl, jr[1:x.d] AS kr
+  FROM joints CROSS JOIN (SELECT CAST(unnest({d}) AS INTEGER) AS d) x)""",
+        f"summed AS (SELECT *, {', '.join(sums)} FROM kept)",
+        f"""dist AS (
+  SELECT series_id, q_idx, h_idx, shift, shift_rank, season, h_value, d,
+    CAST({part("l")} + {part("r")} AS DOUBLE) / CAST({weight("l")} + {weight("r")} AS DOUBLE) AS dist
+  FROM summed WHERE len(kl) + len(kr) > 0)""",
+    ]
+
+
+EV_5MIN = counts("events", "ts", MINUTE5) + raw(288)
+ORACLES["impute_by_best"] = _by_best()
+ORACLES["impute_5min"] = sql(
+    EV_5MIN + trimmed(288, "plain") + masked(0.4, "plain") + stats(288) + MISSING_AS_QUERIES
+    + candidates(288, 148, 8) + wide(148, [4]) + predictions([32], [4], [8]), """
+SELECT s.series_id, s.idx, round(coalesce(s.value, p.prediction), 9) AS value, round(p.prediction, 9) AS imputed,
+       s.value IS NULL AND p.prediction IS NOT NULL AS is_imputed
+FROM series s LEFT JOIN predictions p ON p.series_id = s.series_id AND p.q_idx = s.idx""")
 ORACLES["results_union"] = _union()
 ORACLES["gap_distance_hof"] = ORACLES["gap_distance"]

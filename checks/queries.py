@@ -15,7 +15,7 @@ from tidegap.operators.scoring import (best_params, best_rows, describe_by, mae_
 from tidegap.operators.series import (build_series, missing_ratio, missing_slots, observed,
                                       season_stats, trim_series)
 from tidegap.plans.grid import Grid, exp_ranges, param_grid
-from tidegap.plans.imputation import impute
+from tidegap.plans.imputation import impute, impute_by_best
 from tidegap.plans.search import knn_predict, parameter_search, robustness
 from tidegap.sources.tables import (COUNT, TIME, read_counts_csv, read_results, read_variant,
                                     write_counts_csv, write_results, write_table, write_variant)
@@ -158,7 +158,7 @@ def mae_scores(spark, folder):
 
 
 def rmse_scores(spark, folder):
-    return _rounded(scores(_type_results(spark, folder)).drop("mae"), 6, "rmse")
+    return _rounded(scores(_type_results(spark, folder)).drop("mae", "n", "n_null"), 6, "rmse")
 
 
 def grouping_sets(spark, folder):
@@ -221,9 +221,9 @@ def ratio_scores(spark, folder):
 
 def csv_round_trip(spark, folder):
     path = scratch_path(spark, "csv")
-    write_counts_csv(ev_hour(spark, folder), path)
-    rows = read_counts_csv(spark, path)
-    return _with_epoch(build_series(rows, TIME, HOUR_US, 24, F.max(observed(COUNT)), trim=True))
+    write_counts_csv(ev_type_hour(spark, folder), path, series_column="SERIES")
+    rows = read_counts_csv(spark, path, series="SERIES")
+    return _with_epoch(build_series(rows, TIME, HOUR_US, 24, F.max(observed(COUNT)), "SERIES", trim=True))
 
 
 def variant_source(spark, folder):
@@ -253,6 +253,36 @@ def score_table(spark, folder):
     return _rounded(written, 6, "rmse", "mae")
 
 
+def ev_mean_hour(spark, folder):
+    """Mean value of the events of an hour: fractions, where the others are counts."""
+    return build_series(_rows(spark, folder, "events"), "ts", HOUR_US, 24, F.round(F.avg("value"), 1), trim=True)
+
+
+def predictions_fractional(spark, folder):
+    series = pin(ev_mean_hour(spark, folder), "series")
+    return _rounded(knn_predict(pin(holdout_sample(series, 24), "holdout"), series, 24, GRID), 6, "prediction")
+
+
+def best_masked(spark, folder):
+    """The best triple where much is missing, so that not every triple has a prediction."""
+    series = mask_to_ratio(ord_day(spark, folder), 0.97)
+    scored = scores(parameter_search(series, 7, Grid([2, 8], [1, 2], [0, 2]), width=2))
+    return _rounded(best_params(scored), 6, "rmse")
+
+
+def best_by_series(spark, folder):
+    scored = scores(_type_results(spark, folder), "series_id")
+    return _rounded(best_params(scored, "series_id"), 6, "rmse")
+
+
+def imputed_by_best(spark, folder):
+    """Each masked hourly series filled with its own best triple of a small grid."""
+    series = pin(mask_to_ratio(ev_type_hour(spark, folder), 0.3), "series")
+    found = parameter_search(series, 24, Grid([2, 8], [4], [0, 4]))
+    best = best_params(scores(found, "series_id"), "series_id")
+    return _rounded(impute_by_best(series, 24, best, width=16).select("series_id", "idx", "value", "is_imputed"), 6, "value")
+
+
 def ev_50s(spark, folder):
     """288 slots of 50 seconds a season, 180 seasons: the size of the published runs."""
     return build_series(_rows(spark, folder, "events"), "ts", 50_000_000, 288, _n(), trim=True)
@@ -307,6 +337,10 @@ QUERIES = {
     "results_tagged": results_tagged,
     "table_hand_over": table_hand_over,
     "score_table": score_table,
+    "knn_predict_fractional": predictions_fractional,
+    "best_params_masked": best_masked,
+    "best_params_by_series": best_by_series,
+    "impute_by_best": imputed_by_best,
     "impute_5min": impute_5min,
     "grid_5min": grid_5min,
 }

@@ -4,8 +4,9 @@
     spark-submit --py-files tidegap.zip run.py search counts.csv out --missing-ratio 0.1
     spark-submit --py-files tidegap.zip run.py impute counts.csv out --k 32 --d 4 --v 8
 
-``search`` writes ``out/results`` (errors of every triple, one partition per missing
-ratio), ``out/scores`` and ``out/best_rows``. ``impute`` writes ``out/filled``
+``search`` writes ``out/results`` (errors of every triple), ``out/scores`` and
+``out/best_rows``, each with one partition per missing ratio; a repeated search replaces
+that of the same ratio. ``impute`` writes ``out/filled``
 (Parquet) and ``out/csv``.
 """
 
@@ -19,12 +20,12 @@ from tidegap.cluster import pin
 from tidegap.operators.filling import write_back
 from tidegap.operators.sampling import mask_to_ratio
 from tidegap.operators.scoring import best_params, best_rows, scores
-from tidegap.operators.series import build_series, observed, trim_series
+from tidegap.operators.series import build_series, observed, rows_without_time, trim_series
 from tidegap.plans.grid import CHOSEN, TRIAL_GRID
 from tidegap.plans.imputation import impute
 from tidegap.plans.search import parameter_search
 from tidegap.sources.tables import (COUNT, TIME, read_counts_csv, read_results, read_variant,
-                                    write_counts_csv, write_results, write_table)
+                                    write_counts_csv, write_of_ratio, write_results, write_table)
 
 
 def arguments(args: list[str] | None = None) -> argparse.Namespace:
@@ -35,6 +36,7 @@ def arguments(args: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("out", help="folder for the results")
     parser.add_argument("--time-column", default=TIME)
     parser.add_argument("--count-column", default=COUNT)
+    parser.add_argument("--series-column", help="tells series apart; scores are then per series")
     parser.add_argument("--step-seconds", type=int, default=300)
     parser.add_argument("--period", type=int, default=288, help="slots per season")
     parser.add_argument("--missing-ratio", type=float, help="mask to this share before the search")
@@ -47,9 +49,11 @@ def arguments(args: list[str] | None = None) -> argparse.Namespace:
 
 
 def _untrimmed(spark: SparkSession, a: argparse.Namespace):
-    rows = read_counts_csv(spark, a.counts, a.time_column, a.count_column)
+    rows = read_counts_csv(spark, a.counts, a.time_column, a.count_column, a.series_column)
+    if lost := rows_without_time(rows, a.time_column):
+        print(f"{lost} rows have no readable time and are left out")
     return build_series(rows, a.time_column, a.step_seconds * 1_000_000, a.period,
-                        F.max(observed(a.count_column)))
+                        F.max(observed(a.count_column)), a.series_column)
 
 
 def search(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -64,15 +68,16 @@ def search(spark: SparkSession, a: argparse.Namespace) -> None:
     found = parameter_search(series, a.period, TRIAL_GRID if a.trial else None, short=a.short)
     write_results(found, f"{a.out}/results", ratio)
     results = read_results(spark, f"{a.out}/results").where(F.col("missing_ratio") == ratio)
-    ranked = write_table(scores(results), f"{a.out}/scores")
-    write_table(best_rows(results, best_params(ranked)), f"{a.out}/best_rows")
+    keys = ["series_id"] if a.series_column else []
+    ranked = write_of_ratio(scores(results, *keys), f"{a.out}/scores", ratio)
+    write_of_ratio(best_rows(results, best_params(ranked, *keys)), f"{a.out}/best_rows", ratio)
 
 
 def fill(spark: SparkSession, a: argparse.Namespace) -> None:
     before = pin(_untrimmed(spark, a), "series")
     filled = impute(trim_series(before, a.period), a.period, a.k, a.d, a.v)
     after = write_table(write_back(before, filled), f"{a.out}/filled")
-    write_counts_csv(after, f"{a.out}/csv")
+    write_counts_csv(after, f"{a.out}/csv", series_column=a.series_column)
 
 
 def main(args: list[str] | None = None) -> None:

@@ -152,7 +152,7 @@ def l2_distance(queries: DataFrame, series: DataFrame, shape: Shape) -> DataFram
             (q_at(j) - h_at(j)) * (q_at(j) - h_at(j))))
 
     shared = (F.size("kept_left") > 0) | (F.size("kept_right") > 0)
-    return cands.select(
-        "series_id", "q_idx", *CANDIDATE,
-        F.when(shared, F.sqrt(squares("left") + squares("right"))).alias("dist")
-    ).where("dist IS NOT NULL")
+    # Asked after the explode, so that the offsets are searched once per candidate.
+    dist = F.when(shared, F.sqrt(squares("left") + squares("right")))
+    return cands.select("series_id", "q_idx", *CANDIDATE, F.explode(F.array(dist)).alias("dist")).where(
+        "dist IS NOT NULL")

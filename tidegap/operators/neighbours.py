@@ -9,9 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+# Distance of an unusable candidate, mark of the query's own slot.
 MAX_DISTANCE = 999.0
 OWN_SLOT = -2.0
 
+# Distances are ordered by so many decimal places, so that sums in another order do
+# not turn neighbours around.
+PLACES = 9
+
 # A total order: distance first, then the order 0, -1, 1, -2, ... of the shifts.
 NEAREST_FIRST = ["dist", "shift_rank", "season"]
 
@@ -22,6 +27,17 @@ def ring_of(shift: Column, v: list[int]) -> Column:
                F.lit(0)).cast("int")
 
 
+def rounded(dist: Column) -> Column:
+    return F.floor(dist * 10.0**PLACES + 0.5) / 10.0**PLACES
+
+
+def per_v(nearest: DataFrame, v: list[int]) -> DataFrame:
+    """The rows of each ring once per ``v`` that holds the ring."""
+    v = sorted(v)
+    v_of_ring = F.slice(F.array(*map(F.lit, v)), F.col("ring") + 1, len(v))
+    return nearest.select("series_id", "q_idx", "d", F.explode(v_of_ring).alias("v"), *NEAREST_FIRST, "h_value")
+
+
 def nearest_per_ring(distances: DataFrame, k: list[int], v: list[int]) -> DataFrame:
     """The ``max(k)`` nearest candidates per query, ``d`` and ring, once per ``v``.
 
@@ -29,14 +45,10 @@ def nearest_per_ring(distances: DataFrame, k: list[int], v: list[int]) -> DataFr
     """
     v = sorted(v)
     inside = distances.where(F.abs(F.col("shift")) <= v[-1]).withColumn(
-        "ring", ring_of(F.col("shift"), v))
+        "ring", ring_of(F.col("shift"), v)).withColumn("dist", rounded(F.col("dist")))
     group = Window.partitionBy("series_id", "q_idx", "d", "ring").orderBy(*NEAREST_FIRST)
-    v_of_ring = F.slice(F.array(*map(F.lit, v)), F.col("ring") + 1, len(v))
-    return (
-        inside.withColumn("_rn", F.row_number().over(group))
-        .where(F.col("_rn") <= max(k))
-        .select("series_id", "q_idx", "d", F.explode(v_of_ring).alias("v"), *NEAREST_FIRST, "h_value")
-    )
+    ranked = inside.withColumn("_rn", F.row_number().over(group)).where(F.col("_rn") <= max(k))
+    return per_v(ranked, v)
 
 
 def with_empty(nearest: DataFrame, queries: DataFrame, d: list[int], v: list[int]) -> DataFrame:

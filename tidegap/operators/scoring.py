@@ -26,10 +26,15 @@ def mae_by(results: DataFrame, *keys: str) -> DataFrame:
     return results.groupBy(*keys).agg(mae("err").alias("mae"))
 
 
-def scores(results: DataFrame) -> DataFrame:
-    """RMSE and MAE per ``(k, d, v)``, best first."""
-    return results.groupBy(*PARAMS).agg(
-        rmse("err").alias("rmse"), mae("err").alias("mae")).orderBy("rmse", *PARAMS)
+def scores(results: DataFrame, *keys: str) -> DataFrame:
+    """RMSE and MAE per ``(k, d, v)`` and what else is given, best first.
+
+    ``n`` points had a prediction, ``n_null`` had none and enter neither measure.
+    """
+    return results.groupBy(*keys, *PARAMS).agg(
+        rmse("err").alias("rmse"), mae("err").alias("mae"), F.count("err").alias("n"),
+        F.count_if(F.col("err").isNull()).alias("n_null"),
+    ).orderBy(*keys, F.col("rmse").asc_nulls_last(), *PARAMS)
 
 
 def rmse_grouping_sets(results: DataFrame) -> DataFrame:
@@ -46,14 +51,25 @@ def rmse_grouping_sets(results: DataFrame) -> DataFrame:
         F.sqrt(F.sum("se") / F.sum("n")).alias("rmse"))
 
 
-def best_params(scored: DataFrame) -> DataFrame:
-    """The triple with the smallest RMSE; equal ones: smallest k, d, v."""
-    return scored.orderBy("rmse", *PARAMS).limit(1).select(*PARAMS, "rmse")
+def best_params(scored: DataFrame, *keys: str) -> DataFrame:
+    """The triple with the smallest RMSE, once per ``keys``; equal ones: smallest k, d, v.
+
+    A triple without any prediction has no RMSE and is never the best.
+    """
+    known = scored.where(F.col("rmse").isNotNull())
+    if not keys:
+        return known.orderBy("rmse", *PARAMS).limit(1).select(*PARAMS, "rmse")
+    best = known.groupBy(*keys).agg(F.min(F.struct("rmse", *PARAMS)).alias("best"))
+    return best.select(*keys, *[f"best.{c}" for c in PARAMS], "best.rmse")
 
 
 def best_rows(results: DataFrame, best: DataFrame) -> DataFrame:
-    """Result rows of the best triple, with truth and prediction."""
-    return results.join(F.broadcast(best.select(*PARAMS)), PARAMS).select(  # one row
+    """Result rows of the best triple, with truth and prediction.
+
+    ``best`` may hold one triple or one per series; Spark chooses the join.
+    """
+    keys = [c for c in ("series_id", *PARAMS) if c in best.columns]
+    return results.join(best.select(*keys), keys).select(
         "series_id", "train_index", "err",
         (F.col("prediction") - F.col("err")).alias("ground_truth"),
         F.col("prediction").alias("imputed_prediction"))

@@ -4,12 +4,13 @@ A block holds the values of one season and of ``margin`` slots before and after
 it, so the window of every candidate of that season, shifted or not, is a slice of
 one array. Queries and blocks meet on tiles: a few query seasons against a bounded
 number of history seasons. That spreads a long series over many tasks and ships an
-array once per tile in place of once per candidate.
+array once per tile in place of once per candidate. History is copied once per group
+of query seasons; how many form a group follows the number of queries.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -18,6 +19,10 @@ from tidegap.functions.timegrid import div
 from tidegap.operators.series import attach_facts, season_stats, slot_of_season
 
 
+#: Queries that a tile should hold where seasons have few.
+QUERIES_OF_TILE = 256
+
+
 @dataclass(frozen=True)
 class Shape:
     """Fixed sizes of one search: slots per season, window side, largest shift."""
@@ -25,7 +30,7 @@ class Shape:
     period: int
     width: int
     max_shift: int
-    query_seasons: int = 1
+    query_seasons: int = 8
     history_seasons: int = 256
 
     @property
@@ -33,36 +38,60 @@ class Shape:
         return self.width + self.max_shift
 
 
+def _dense_seasons(series: DataFrame, period: int) -> DataFrame:
+    """``series_id, season, part``: the values of a season by slot; an absent row is NULL."""
+    slot = slot_of_season("idx", period).alias("slot")
+    known = F.when(~F.isnan("value"), F.col("value")).alias("value")
+    rows = series.groupBy("series_id", div("idx", period).alias("season")).agg(
+        F.array_sort(F.collect_list(F.struct(slot, known))).alias("rows"))
+    place = F.map_from_entries("rows")
+    # Looking up every slot is only needed where some have no row.
+    sparse = F.transform(F.sequence(F.lit(0), F.lit(period - 1)), lambda i: F.element_at("by_slot", i))
+    return rows.withColumn("by_slot", F.when(F.size("rows") < period, place)).select(
+        "series_id", "season",
+        F.when(F.col("by_slot").isNull(), F.col("rows")["value"]).otherwise(sparse).alias("part"))
+
+
 def season_blocks(series: DataFrame, shape: Shape) -> DataFrame:
     """``series_id, season, vals``: ``vals[margin + slot]`` is the value of a slot.
 
-    Every array has ``period + 2 * margin`` places; those beyond the ends of the
-    series are NULL.
+    Every array has ``period + 2 * margin`` places; those of slots without a row, of
+    absent seasons and beyond the ends of the series are NULL. A season sends its
+    neighbours only the slice that their margins show.
     """
     period, margin = shape.period, shape.margin
-    reach = -(-margin // period)
-    slot = slot_of_season("idx", period).alias("slot")
-    in_order = F.array_sort(F.collect_list(F.struct(slot, "value")))["value"]
-    gap = F.array_repeat(F.lit(None).cast("double"), period)
-    seasons = series.groupBy("series_id", div("idx", period).alias("season")).agg(
-        in_order.alias("part")
-    ).withColumn("part", F.slice(F.concat("part", gap), 1, period))
-
-    near = seasons.select(
-        "series_id", F.explode(F.sequence(F.col("season") - reach, F.col("season") + reach))
-        .alias("at"), "season", "part").repartition(
-        task_count(series.sparkSession), "series_id", "at")
+    size, reach = period + 2 * margin, -(-margin // period)
+    seasons = _dense_seasons(series, period)
+    # Where the season begins in the block of the season ``by`` places further on.
+    start = F.lit(margin) - F.col("by") * period
+    near = (
+        seasons.withColumn("by", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
+        .withColumn("skip", F.greatest(-start, F.lit(0)))
+        .withColumn("from", F.greatest(start, F.lit(0)))
+        .withColumn("n", F.least(F.lit(period) - F.col("skip"), F.lit(size) - F.col("from")))
+        .where("n > 0")
+        .select("series_id", (F.col("season") + F.col("by")).alias("at"), "from",
+                F.slice("part", F.col("skip") + 1, F.col("n")).alias("vals"), (F.col("by") == 0).alias("own"))
+    )
     joined = near.groupBy("series_id", "at").agg(
-        F.array_sort(F.collect_list(F.struct("season", "part"))).alias("parts"))
-    known = F.flatten(F.col("parts")["part"])
-    first = F.col("parts")[0]["season"]
-    pad = F.lit(period) * (first - F.col("at") + reach).cast("int")
-    total = period * (2 * reach + 1)
-    none = F.array_repeat(F.lit(None).cast("double"), total)
-    full = F.slice(F.concat(F.slice(none, F.lit(1), pad), known, none), 1, total)
-    return joined.where(F.exists("parts", lambda p: p["season"] == F.col("at"))).select(
+        F.array_sort(F.collect_list(F.struct("from", "vals"))).alias("parts"), F.max("own").alias("own"))
+    none = lambda n: F.array_repeat(F.lit(None).cast("double"), n)
+    full = F.aggregate("parts", F.array().cast("array<double>"), lambda acc, p: F.concat(
+        acc, none(F.greatest(p["from"] - F.size(acc), F.lit(0))), p["vals"]))
+    return joined.where("own").select(
         "series_id", F.col("at").alias("season"),
-        F.slice(full, period * reach - margin + 1, period + 2 * margin).alias("vals"))
+        F.slice(F.concat(full, none(F.lit(size))), 1, size).alias("vals"))
+
+
+def grouped(shape: Shape, queries: DataFrame) -> Shape:
+    """The shape with as many query seasons to a tile as hold some hundred queries."""
+    asked = queries.select("series_id", div("q_idx", shape.period).alias("season"), "q_idx").distinct()
+    per_season = asked.groupBy("series_id", "season").count().agg(
+        F.count(F.lit(1)).alias("seasons"), F.sum("count").alias("n")).first()  # two numbers
+    seasons, n = per_season[0], per_season[1] or 0
+    wanted = QUERIES_OF_TILE * seasons // max(1, n)
+    spread = seasons // (2 * task_count(queries.sparkSession))
+    return replace(shape, query_seasons=max(1, min(32, wanted, spread)))
 
 
 def tile_sides(queries: DataFrame, series: DataFrame, shape: Shape) -> tuple[DataFrame, DataFrame]:
@@ -82,9 +111,7 @@ def tile_sides(queries: DataFrame, series: DataFrame, shape: Shape) -> tuple[Dat
         "series_id", "n_slots", F.col("n_seasons").alias("_n"),
         F.lit(0).cast("bigint").alias("_lo"),
         div(F.col("n_slots") - 1, shape.period).alias("_hi"))
-    # At most one number per query season of a series.
-    wanted = asked.groupBy("series_id").agg(
-        F.collect_set(div("season", shape.query_seasons)).alias("_qcs"))
+    wanted = asked.select("series_id", "season", div("season", shape.query_seasons).alias("qc"))
 
     left = attach_facts(asked.join(blocks, ["series_id", "season"]), seasons,
                         "season", "_lo", "_hi").select(
@@ -93,13 +120,17 @@ def tile_sides(queries: DataFrame, series: DataFrame, shape: Shape) -> tuple[Dat
         F.explode(F.sequence(F.lit(0).cast("bigint"),
                              div(F.col("_n") - 2, shape.history_seasons))).alias("hc"),
         F.col("season").alias("q_season"), "slots", F.col("vals").alias("q_vals"))
+    # Which tiles there are: small rows, joined to the history on series and chunk.
+    tiles = attach_facts(wanted, seasons, "season", "_lo", "_hi").select(
+        "series_id", "qc", F.explode(F.sequence(
+            F.lit(0).cast("bigint"), div(F.col("_n") - 2, shape.history_seasons))).alias("hc")).distinct()
     right = (
-        attach_facts(blocks, seasons.join(wanted, "series_id"), "season", "_lo", "_hi", block=32)
+        attach_facts(blocks, seasons, "season", "_lo", "_hi", block=32)
         .where(F.least("season", F.col("_n") - 1 - F.col("season")) >= 1)
-        .select(
-            "series_id", F.explode("_qcs").alias("qc"),
-            div("season", shape.history_seasons).alias("hc"),
-            F.col("season").cast("int").alias("season"), "n_slots", "vals")
+        .select("series_id", div("season", shape.history_seasons).alias("hc"),
+                F.col("season").cast("int").alias("season"), "n_slots", "vals")
+        .join(tiles, ["series_id", "hc"])
+        .select("series_id", "qc", "hc", "season", "n_slots", "vals")
     )
     keys, tasks = ["series_id", "qc", "hc"], task_count(series.sparkSession)
     # toDF gives the columns of the two sides identities of their own.

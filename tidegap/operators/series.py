@@ -13,14 +13,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidegap.cluster import task_count
 from tidegap.functions.timegrid import div, floor_div, slot_number
 
+# The series of rows whose key is NULL.
+NO_SERIES = "(null)"
+
 # Slots per block wherever a series is cut for distribution.
 BLOCK = 4096
 
 
 def observed(value: str | Column) -> Column:
-    """The value, or NULL for the negative numbers that mark a missing one."""
+    """The value, or NULL for NaN and the negative numbers that mark a missing one."""
     value = F.col(value) if isinstance(value, str) else value
-    return F.when(value >= 0, value.cast("double"))
+    value = value.cast("double")
+    return F.when((value >= 0) & ~F.isnan(value), value)
 
 
 def attach_facts(rows: DataFrame, facts: DataFrame, position: str, lo: str, hi: str,
@@ -43,8 +47,10 @@ def build_series(rows: DataFrame, ts: str, step_us: int, period: int, value: Col
     """Aggregate raw rows per slot and lay them on a gap-free grid.
 
     ``value`` is an aggregate column; its NULL means missing, as does a slot
-    without rows. ``series`` names the column that tells series apart; without it
-    there is a single one. Slot 0 starts at the last whole season (counted from
+    without rows. NaN is missing too. ``series`` names the column that tells series
+    apart; without it there is a single one, and rows where it is NULL are the series
+    ``NO_SERIES``. Rows without a time have no slot; :func:`rows_without_time` counts
+    them. Slot 0 starts at the last whole season (counted from
     1970-01-01 UTC) that is not after the first row. ``trim=True`` gives the
     result of :func:`trim_series` without building the trimmed rows first.
     """
@@ -52,9 +58,10 @@ def build_series(rows: DataFrame, ts: str, step_us: int, period: int, value: Col
         series = F.lit("all")
     series = F.col(series) if isinstance(series, str) else series
     slotted = rows.select(
-        "*", series.cast("string").alias("series_id"), slot_number(rows, ts, step_us).alias("slot")
+        "*", F.coalesce(series.cast("string"), F.lit(NO_SERIES)).alias("series_id"), slot_number(rows, ts, step_us).alias("slot")
     ).where(F.col("slot").isNotNull())
-    counts = slotted.groupBy("series_id", "slot").agg(value.alias("value"))
+    counts = slotted.groupBy("series_id", "slot").agg(value.cast("double").alias("value")).withColumn(
+        "value", F.when(~F.isnan("value"), F.col("value")))
     slot = F.col("slot")
     if trim:
         # Reads the counts, whose shuffle the join below uses again.
@@ -85,6 +92,11 @@ def build_series(rows: DataFrame, ts: str, step_us: int, period: int, value: Col
     )
 
 
+def rows_without_time(rows: DataFrame, ts: str) -> int:
+    """How many rows :func:`build_series` cannot place; one number comes to the driver."""
+    return rows.where(F.col(ts).isNull()).count()
+
+
 def trim_series(series: DataFrame, period: int) -> DataFrame:
     """Drop missing ends and start at the first whole season; ``idx`` starts at 0."""
     seen = series.where(F.col("value").isNotNull())

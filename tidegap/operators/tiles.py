@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from tidegap.operators.neighbours import MAX_DISTANCE, OWN_SLOT
+from tidegap.operators.neighbours import MAX_DISTANCE, OWN_SLOT, PLACES, per_v
 from tidegap.operators.season_blocks import Shape, tile_sides
 
 _SCHEMA = (
-    "series_id string, q_idx bigint, d int, v int, dist double, "
+    "series_id string, q_idx bigint, d int, ring int, dist double, "
     "shift_rank int, season int, h_value double"
 )
 # Array elements compared at a time; small enough for a processor cache.
@@ -26,7 +26,7 @@ def _tile_function(shape: Shape, k: list[int], d: list[int], v: list[int],
     """The function for one tile. It is a closure so that workers need no import."""
     period, width, max_shift, margin = shape.period, shape.width, shape.max_shift, shape.margin
     d, v, k_max, batch = sorted(d), sorted(v), max(k), _BATCH
-    far_away, own_mark = MAX_DISTANCE, OWN_SLOT
+    far_away, own_mark, scale = MAX_DISTANCE, OWN_SLOT, 10.0**PLACES
 
     def side_sums(diff):
         """Per ``d``: weighted difference and weight of one side, nearest first."""
@@ -104,18 +104,24 @@ def _tile_function(shape: Shape, k: list[int], d: list[int], v: list[int],
         if sentinel is not None:
             dist[inside & np.isinf(dist[..., 0])] = far_away
             value = np.where(lag == 0, own_mark, np.where(np.isnan(value), sentinel, value))
-        for one_v in v:
-            near = np.flatnonzero(np.abs(shifts) <= one_v)
-            far = np.moveaxis(dist[:, :, near], 3, 1).reshape(len(slots), len(d), -1)
+        dist = np.floor(dist * scale + 0.5) / scale
+        rank = np.where(shifts < 0, -2 * shifts - 1, 2 * shifts)
+        for ring, (below, upto) in enumerate(zip([-1, *v], v)):
+            near = np.flatnonzero((np.abs(shifts) > below) & (np.abs(shifts) <= upto))
+            # Candidates in the order that settles ties: rank of the shift, then season.
+            at_b, at_s = (x.ravel() for x in np.meshgrid(np.arange(len(season)), near, indexing="ij"))
+            order = np.lexsort((season[at_b], rank[at_s]))
+            at_b, at_s = at_b[order], at_s[order]
+            far = np.moveaxis(dist[:, at_b, at_s], 2, 1)
             keep = np.isfinite(far)
             if far.shape[2] > k_max:
-                # Ties with the last one stay; Spark settles them.
-                keep &= far <= np.partition(far, k_max - 1, axis=2)[:, :, k_max - 1:k_max]
+                last = np.partition(far, k_max - 1, axis=2)[:, :, k_max - 1:k_max]
+                ties, less = far == last, far < last
+                keep &= less | (ties & (ties.cumsum(axis=2) <= k_max - less.sum(axis=2, keepdims=True)))
             asked, which_d, at = keep.nonzero()
-            b, s = at // len(near), near[at % len(near)]
-            shift = shifts[s]
-            yield (q_idx[asked], np.array(d)[which_d], np.full(len(at), one_v), far[keep],
-                   np.where(shift < 0, -2 * shift - 1, 2 * shift), season[b], value[asked, b, s])
+            b, s = at_b[at], at_s[at]
+            yield (q_idx[asked], np.array(d)[which_d], np.full(len(at), ring), far[keep],
+                   rank[s], season[b], value[asked, b, s])
 
     def tile(asked, blocks):
         import numpy as np
@@ -140,7 +146,7 @@ def _tile_function(shape: Shape, k: list[int], d: list[int], v: list[int],
                 for lo in range(0, len(slots), together):
                     parts += neighbours(at, np.array(slots[lo:lo + together]), q_vals, vals, season,
                                         n_slots, reach)
-        names = ["q_idx", "d", "v", "dist", "shift_rank", "season", "h_value"]
+        names = ["q_idx", "d", "ring", "dist", "shift_rank", "season", "h_value"]
         columns = {name: np.concatenate(column).astype(column[0].dtype)
                    for name, column in zip(names, zip(*parts))}
         series = asked["series_id"][0].as_py() if asked.num_rows else None
@@ -154,10 +160,12 @@ def nearest_per_tile(queries: DataFrame, series: DataFrame, shape: Shape, k: lis
                      d: list[int], v: list[int], sentinel: float | None = None) -> DataFrame:
     """Candidates that hold the ``max(k)`` nearest per query, ``d`` and ``v``.
 
-    With a ``sentinel`` unusable candidates stay, as in
+    A tile returns at most ``max(k)`` rows per query, ``d`` and ring, ties settled. With a
+    ``sentinel`` unusable candidates stay, as in
     :func:`tidegap.operators.neighbours.reference_distances`.
     """
     left, right = tile_sides(queries.select("series_id", "q_idx"), series, shape)
     keys = ["series_id", "qc", "hc"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
         _tile_function(shape, k, d, v, sentinel), _SCHEMA)
+    return per_v(found, v)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from tidegap.cluster import pin
@@ -22,3 +24,21 @@ def impute(series: DataFrame, period: int, k: int = CHOSEN.k[0], d: int = CHOSEN
     queries = missing_slots(series).select("series_id", F.col("idx").alias("q_idx"))
     grid = Grid([k], [d], [v])
     return fill(series, knn_predict(queries, series, period, grid, width, form=form))
+
+
+def impute_by_best(series: DataFrame, period: int, best: DataFrame,
+                   width: int | None = None) -> DataFrame:
+    """Fill every series with its own ``(k, d, v)`` from ``best(series_id, k, d, v)``.
+
+    Series that share a triple are filled together; there are at most as many passes as
+    triples in the grid, and only triples come to the driver. A series without a best
+    triple stays as it is.
+    """
+    series, best = pin(series, "series"), pin(best.select("series_id", "k", "d", "v"), "best")
+    triples = best.select("k", "d", "v").distinct().orderBy("k", "d", "v").collect()
+    parts = [series.join(best, "series_id", "left_anti").select(
+        "series_id", "idx", "ts", "value", F.lit(None).cast("double").alias("imputed"), F.lit(False).alias("is_imputed"))]
+    for k, d, v in triples:
+        own = best.where((F.col("k") == k) & (F.col("d") == d) & (F.col("v") == v)).select("series_id")
+        parts.append(impute(series.join(own, "series_id", "left_semi"), period, k, d, v, width))
+    return reduce(DataFrame.unionByName, parts)

@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, functions as F
 from tidegap.cluster import pin
 from tidegap.operators.distances import gap_distance_arrays, gap_distance_joins
 from tidegap.operators.neighbours import nearest_per_ring, predict, reference_distances
-from tidegap.operators.sampling import SEED, holdout_sample, mask_to_ratio
+from tidegap.operators.sampling import SEED, holdout_sample, mask_to_ratios
 from tidegap.operators.scoring import knn_errors
-from tidegap.operators.season_blocks import Shape
+from tidegap.operators.season_blocks import Shape, grouped
 from tidegap.operators.series import season_stats
 from tidegap.operators.tiles import nearest_per_tile
-from tidegap.plans.grid import Grid, default_grid
+from tidegap.plans.grid import Grid, default_grid, param_grid
 
 
 def knn_predict(queries: DataFrame, series: DataFrame, period: int, grid: Grid,
@@ -28,7 +28,10 @@ def knn_predict(queries: DataFrame, series: DataFrame, period: int, grid: Grid,
     if short not in ("shrink", "reference"):
         raise ValueError(f"short: {short!r}")
     keep = short == "reference"
+    # NaN is no observation, whoever built the series.
+    series = series.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
     if form == "tiles":
+        shape = grouped(shape, queries)
         near = nearest_per_tile(queries, series, shape, grid.k, grid.d, grid.v,
                                 sentinel if keep else None)
     else:
@@ -54,9 +57,12 @@ def longest_in_seasons(series: DataFrame, period: int) -> int:
 
 def parameter_search(series: DataFrame, period: int, grid: Grid | None = None,
                      width: int | None = None, share: float = 0.05, seed: int = SEED,
-                     short: str = "shrink", form: str = "tiles") -> DataFrame:
+                     short: str = "shrink", form: str = "tiles", own_grid: bool = False) -> DataFrame:
     """Errors ``series_id, train_index, k, d, v, prediction, err`` on a hold-out.
 
+    The default grid follows from the longest series. With ``own_grid`` a series keeps
+    only the triples of its own default grid (:func:`tidegap.plans.grid.param_grid`).
+
     ``series`` is trimmed (see :func:`tidegap.operators.series.build_series`). It and
     the hold-out are written once to the scratch folder, because the search reads
     both several times.
@@ -65,21 +71,18 @@ def parameter_search(series: DataFrame, period: int, grid: Grid | None = None,
     grid = grid or default_grid(period, longest_in_seasons(series, period))
     queries = pin(holdout_sample(series, period, share, seed), "holdout")
     predictions = knn_predict(queries, series, period, grid, width, short, form)
-    return knn_errors(predictions, queries)
+    errors = knn_errors(predictions, queries)
+    if own_grid:
+        own = param_grid(season_stats(series, period), period)
+        errors = errors.join(own, ["series_id", "k", "d", "v"], "left_semi").select(*errors.columns)
+    return errors
 
 
 def masked_variants(series: DataFrame, ratios: list[float], seed: int = SEED) -> DataFrame:
     """The series once per ratio, masked to it; ``series_id`` gets the ratio as suffix."""
-    parts = [
-        mask_to_ratio(series, ratio, seed).select(
-            F.concat_ws("@", "series_id", F.lit(str(ratio))).alias("series_id"),
-            "idx", "ts", "value")
-        for ratio in ratios
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    name = F.create_map(*[x for r in ratios for x in (F.lit(float(r)), F.lit(str(r)))])
+    return mask_to_ratios(series, ratios, seed).select(
+        F.concat_ws("@", "series_id", F.element_at(name, F.col("ratio"))).alias("series_id"), "idx", "ts", "value")
 
 
 def robustness(series: DataFrame, period: int, ratios: list[float], grid: Grid,

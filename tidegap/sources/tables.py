@@ -7,24 +7,40 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+# The column names of the count tables and of the results.
 TIME, COUNT = "COUNT_TIME", "NUM_TOTAL"
 RESULT = ["series_id", "train_index", "k", "d", "v", "prediction", "err"]
 
 
 def read_counts_csv(spark: SparkSession, path: str | list[str], ts: str = TIME,
-                    value: str = COUNT) -> DataFrame:
-    """Two columns of a CSV with header, typed; no pass over the data to infer types."""
+                    value: str = COUNT, series: str | None = None) -> DataFrame:
+    """Time, value and, if named, series of a CSV with header, typed without a pass over it.
+
+    Times are read as UTC whatever the session time zone.
+    """
     raw = spark.read.option("header", True).csv(path)
-    return raw.select(F.to_timestamp_ntz(F.col(ts)).alias(ts),
+    return raw.select(*([series] if series else []), F.to_timestamp_ntz(F.col(ts)).alias(ts),
                       F.col(value).cast("double").alias(value))
 
 
-def write_counts_csv(series: DataFrame, path: str, missing: float = -1.0) -> None:
-    """Time and value of every slot; a missing one gets the mark."""
-    series.select(
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias(TIME),
-        F.coalesce("value", F.lit(missing)).alias(COUNT),
-    ).write.option("header", True).csv(path)
+def utc_text(ts: Column) -> Column:
+    """A timestamp as UTC text; fractions of a second only where there are any."""
+    seconds = F.unix_micros(ts).cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(10,0)")
+    return (F.lit(datetime(1970, 1, 1)).cast("timestamp_ntz")
+            + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))).cast("string")
+
+
+def write_counts_csv(series: DataFrame, path: str, missing: float = -1.0,
+                     series_column: str | None = None) -> None:
+    """Time and value of every slot in time order; a missing one gets the mark.
+
+    With ``series_column`` the series goes along under this name and the order is by
+    series, then time. The files of the folder are in order too.
+    """
+    first = [F.col("series_id").alias(series_column)] if series_column else []
+    ordered = series.orderBy(*(["series_id"] if series_column else []), "ts")
+    ordered.select(*first, utc_text(F.col("ts")).alias(TIME), F.coalesce("value", F.lit(missing)).alias(COUNT),
+                   ).write.option("header", True).csv(path)
 
 
 def write_variant(series: DataFrame, path: str, ratio: float) -> None:
@@ -40,13 +56,17 @@ def read_variant(spark: SparkSession, path: str, ratio: float) -> DataFrame:
 
 def write_results(results: DataFrame, path: str, ratio: float, distance: str = "gap",
                   started: datetime | None = None) -> None:
-    """Append results; when, how and on which ratio they were made goes with them."""
+    """Write the results of one ratio; when and how they were made goes with them.
+
+    A repeated run takes the place of an earlier one on the same ratio.
+    """
     started = started or datetime.now(timezone.utc)
     results.select(
         *RESULT, F.lit(distance).alias("distance"),
         F.lit(started.strftime("%Y%m%d_%H%M")).alias("started"),
         F.lit(ratio).alias("missing_ratio"),
-    ).write.mode("append").partitionBy("missing_ratio").parquet(path)
+    ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "missing_ratio").parquet(path)
 
 
 def ratio_tag(path: Column) -> Column:
@@ -66,6 +86,13 @@ def read_results(spark: SparkSession, *paths: str) -> DataFrame:
                          for c in rows.columns])
 
 
+def write_of_ratio(df: DataFrame, path: str, ratio: float) -> DataFrame:
+    """Write a table as the part of one missing ratio, in place of an earlier one; hand it over."""
+    df.withColumn("missing_ratio", F.lit(ratio)).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("missing_ratio").parquet(path)
+    return read_variant(df.sparkSession, path, ratio)
+
+
 def write_table(df: DataFrame, path: str) -> DataFrame:
     """Write a score, best-row or imputed table once and hand over the written copy."""
     df.write.parquet(path)
