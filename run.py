@@ -16,7 +16,7 @@ import argparse
 
 from pyspark.sql import SparkSession, functions as F
 
-from tidegap.cluster import pin
+from tidegap.cluster import clear_scratch, pin
 from tidegap.operators.filling import write_back
 from tidegap.operators.sampling import mask_to_ratio
 from tidegap.operators.scoring import best_params, best_rows, scores
@@ -83,7 +83,10 @@ def fill(spark: SparkSession, a: argparse.Namespace) -> None:
 def main(args: list[str] | None = None) -> None:
     a = arguments(args)
     spark = SparkSession.builder.appName(f"tidegap {a.job}").getOrCreate()
-    (search if a.job == "search" else fill)(spark, a)
+    try:
+        (search if a.job == "search" else fill)(spark, a)
+    finally:
+        clear_scratch(spark)
 
 
 if __name__ == "__main__":

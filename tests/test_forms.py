@@ -97,3 +97,37 @@ def test_wide_windows_at_the_default_size(make_series, make_queries):
         want = {("a", q, *key): value for q in asked for key, value in predictions(
             values, q, 288, width, grid.k, grid.d, grid.v).items()}
         _same(got, want)
+
+
+@pytest.mark.parametrize("form", ["joins", "arrays", "tiles"])
+def test_absent_rows_are_missing_slots(case, form):
+    """A series without its NULL rows, whole seasons among them, gives the same."""
+    _, series, queries, _ = case
+    sparse = series.where("value IS NOT NULL")
+    ends = series.groupBy("series_id").agg({"idx": "max"}).withColumnRenamed("max(idx)", "idx")
+    sparse = sparse.unionByName(series.join(ends, ["series_id", "idx"], "left_semi").where("value IS NULL"))
+    if form == "joins":  # its candidates are joined to rows of the series
+        got = _as_dict(knn_predict(queries, series, PERIOD, GRID, WIDTH, form=form))
+    else:
+        got = _as_dict(knn_predict(queries, sparse, PERIOD, GRID, WIDTH, form=form))
+    _same(got, _brute(case))
+
+
+def test_fractions_and_nan(make_series, make_queries):
+    """Tenths give the same neighbours in every form; NaN counts as missing."""
+    rng = random.Random(11)
+    values = [None if rng.random() < 0.2 else rng.randint(0, 40) / 10 for _ in range(96)]
+    with_nan = [float("nan") if v is None and i % 2 else v for i, v in enumerate(values)]
+    asked = [("a", i, None) for i in range(96)]
+    plain = _as_dict(knn_predict(make_queries(asked), make_series({"a": values}), PERIOD, GRID, WIDTH, form="joins"))
+    for form in ("arrays", "tiles"):
+        _same(_as_dict(knn_predict(make_queries(asked), make_series({"a": with_nan}), PERIOD, GRID, WIDTH, form=form)), plain)
+
+
+def test_ties_are_settled_in_the_tile(make_series, make_queries):
+    """A constant series ties everywhere; a tile still returns max(k) rows at most."""
+    series, queries = make_series({"a": [5] * 120}), make_queries([("a", i, 5.0) for i in (40, 47, 60, 61)])
+    shape = Shape(PERIOD, WIDTH, 3)
+    near = nearest_per_tile(queries, series, shape, [4], [2, 6], [0, 3])
+    counts = near.groupBy("q_idx", "d", "v").count().collect()
+    assert max(r["count"] for r in counts if r.v == 0) == 4 and max(r["count"] for r in counts) <= 2 * 4

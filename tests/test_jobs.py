@@ -50,3 +50,13 @@ def test_impute(spark, counts, tmp_path):
     assert 3 <= gone.count() and gone.where("idx >= 24").count() == 0
     rows = spark.read.option("header", True).csv(f"{out}/csv")
     assert rows.columns == ["COUNT_TIME", "NUM_TOTAL"] and rows.count() == filled.count()
+
+
+def test_search_can_be_repeated(spark, counts, tmp_path):
+    out = str(tmp_path)
+    for ratio in ("0.2", "0.3", "0.2"):
+        main(["search", counts, out, "--trial", "--missing-ratio", ratio, *HOURLY])
+    for name in ("results", "scores", "best_rows"):
+        by = {r.missing_ratio: r["count"] for r in spark.read.parquet(f"{out}/{name}").groupBy("missing_ratio").count().collect()}
+        assert sorted(by) == [0.2, 0.3] and by[0.2] == by[0.3]
+    assert by[0.2] * 36 == spark.read.parquet(f"{out}/results").where("missing_ratio = 0.2").count()

@@ -87,3 +87,16 @@ def test_errors(spark, make_queries):
                                   "series_id string, q_idx bigint, k int, d int, v int, prediction double")
     rows = knn_errors(found, make_queries([("a", 3, 9.0), ("a", 4, 1.0)])).collect()
     assert {r.train_index: r.err for r in rows} == {3: -1.5, 4: None}
+
+
+def test_a_triple_without_prediction_is_not_the_best(spark):
+    rows = [("a", 1, 2, 2, 0, None, None), ("a", 2, 2, 2, 0, None, None), ("a", 1, 4, 2, 0, 3.0, 1.0), ("a", 2, 4, 2, 0, None, None),
+            ("b", 1, 2, 2, 0, 3.0, 0.5)]
+    table = spark.createDataFrame(
+        rows, "series_id string, train_index bigint, k int, d int, v int, prediction double, err double")
+    scored = {(r.k, r.d): (r.rmse, r.n, r.n_null) for r in scores(table.where("series_id = 'a'")).collect()}
+    assert scored == {(4, 2): (1.0, 1, 1), (2, 2): (None, 0, 2)}
+    assert best_params(scores(table.where("series_id = 'a'"))).first().k == 4
+    best = {r.series_id: r.k for r in best_params(scores(table, "series_id"), "series_id").collect()}
+    assert best == {"a": 4, "b": 2}
+    assert {r.series_id for r in best_rows(table, best_params(scores(table, "series_id"), "series_id")).collect()} == {"a", "b"}

@@ -3,7 +3,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tidegap.functions.timegrid import MINUTE_US
-from tidegap.operators.series import build_series, observed
+from tidegap.operators.series import build_series, observed, rows_without_time
 from tidegap.plans.grid import Grid
 from tidegap.plans.search import parameter_search
 from tidegap.sources.tables import (COUNT, TIME, read_counts_csv, read_results, read_variant,
@@ -53,3 +53,41 @@ def test_results_of_several_runs(spark, make_series, tmp_path):
 def test_table_hand_over(spark, tmp_path):
     table = spark.createDataFrame([(1, 2.0)], "k int, rmse double")
     assert write_table(table, str(tmp_path / "t")).collect() == table.collect()
+
+
+def test_csv_is_utc_in_any_zone(spark, tmp_path):
+    """Across a change of summer time, with fractions and two series."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    # 2005-04-03 09:30 UTC is half an hour before clocks change in Los Angeles.
+    start = 1112520600_250000
+    rows = [(name, i, start + i * 1_800_000_000, float(i)) for name in ("b", "a") for i in range(6)]
+    series = spark.createDataFrame(rows, "series_id string, idx bigint, us bigint, value double").select(
+        "series_id", "idx", F.timestamp_micros("us").alias("ts"), "value")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        write_counts_csv(series, str(tmp_path / "csv"), series_column="LANE")
+        back = read_counts_csv(spark, str(tmp_path / "csv"), series="LANE").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    want = [(name, datetime(2005, 4, 3, 9 + (30 + 30 * i) // 60, (30 + 30 * i) % 60, 0, 250000)) for name in "ab" for i in range(6)]
+    assert sorted((r.LANE, r[TIME]) for r in back) == want
+    lines = [line for p in sorted((tmp_path / "csv").glob("part-*.csv")) for line in p.read_text().split("\n") if line[:1] in "ab"]
+    lines = [line for line in lines if line]
+    assert lines == sorted(lines)
+
+
+def test_null_series_keys_and_times(spark):
+    rows = [(None, datetime(2024, 1, 1, 0, i), 1.0) for i in range(4)] + [("x", datetime(2024, 1, 1, 0, i), 2.0) for i in range(4)]
+    rows += [("x", None, 9.0), ("x", datetime(2024, 1, 1, 0, 5), float("nan"))]
+    table = spark.createDataFrame(rows, "s string, t timestamp_ntz, v double")
+    assert rows_without_time(table, "t") == 1
+    got = build_series(table, "t", MINUTE_US, 2, F.max("v"), "s").collect()
+    assert sorted((r.series_id, r.value) for r in got if r.value is not None) == [("(null)", 1.0)] * 4 + [("x", 2.0)] * 4
+
+
+def test_a_repeated_run_counts_once(spark, make_series, tmp_path):
+    found = parameter_search(make_series({"a": [1, 5, 2, 4] * 12}), 4, Grid([1], [2], [0]))
+    path = str(tmp_path / "results")
+    for ratio in (0.05, 0.1, 0.05):
+        write_results(found, path, ratio)
+    assert read_results(spark, path).count() == 2 * found.count()

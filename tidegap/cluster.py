@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,28 +16,42 @@ def task_count(spark: SparkSession) -> int:
     would leave such a step with a handful of tasks; a partition count given to
     ``repartition`` is kept.
     """
-    per_core = max(1, int(3.5 * spark.sparkContext.defaultParallelism))
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # 200 is Spark's number where nobody chose one.
-    return per_core if shuffle == 200 else max(shuffle, per_core)
+    chosen = spark.conf.getAll.get("spark.sql.shuffle.partitions", "0")  # only where somebody set it
+    return max(1, int(3.5 * spark.sparkContext.defaultParallelism), int(chosen))
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new folder name under the shared checkpoint folder of the cluster."""
+#: Intermediate tables of one driver lie in a folder of their own.
+_RUN = f"tidegap-{uuid.uuid4().hex}"
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``, with this driver's own folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        # One machine holds the driver and all tasks only in plain local mode.
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidegap-"))
         root = spark.sparkContext.getCheckpointDir()
-    return f"{root.rstrip('/')}/tidegap-{label}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{_RUN}"
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new folder name under the shared checkpoint folder of the cluster."""
+    return f"{_scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove this driver's intermediate tables, once nothing reads them any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def pin(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and read it back, so that later steps do not redo it.
 
     The copy lies in the shared checkpoint folder: a lost executor costs only the
-    tasks it was running.
+    tasks it was running. It stays until :func:`clear_scratch` or the cluster removes it.
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)

@@ -32,6 +32,7 @@ class Shape:
     max_shift: int
     query_seasons: int = 8
     history_seasons: int = 256
+    tiles: int = 0
 
     @property
     def margin(self) -> int:
@@ -71,27 +72,34 @@ def season_blocks(series: DataFrame, shape: Shape) -> DataFrame:
         .withColumn("n", F.least(F.lit(period) - F.col("skip"), F.lit(size) - F.col("from")))
         .where("n > 0")
         .select("series_id", (F.col("season") + F.col("by")).alias("at"), "from",
-                F.slice("part", F.col("skip") + 1, F.col("n")).alias("vals"), (F.col("by") == 0).alias("own"))
+                F.slice("part", F.col("skip") + 1, F.col("n")).alias("vals"))
     )
     joined = near.groupBy("series_id", "at").agg(
-        F.array_sort(F.collect_list(F.struct("from", "vals"))).alias("parts"), F.max("own").alias("own"))
+        F.array_sort(F.collect_list(F.struct("from", "vals"))).alias("parts"))
     none = lambda n: F.array_repeat(F.lit(None).cast("double"), n)
     full = F.aggregate("parts", F.array().cast("array<double>"), lambda acc, p: F.concat(
         acc, none(F.greatest(p["from"] - F.size(acc), F.lit(0))), p["vals"]))
-    return joined.where("own").select(
+    # A season without a row of its own has a block too: shifts reach its neighbours.
+    return joined.select(
         "series_id", F.col("at").alias("season"),
         F.slice(F.concat(full, none(F.lit(size))), 1, size).alias("vals"))
 
 
-def grouped(shape: Shape, queries: DataFrame) -> Shape:
-    """The shape with as many query seasons to a tile as hold some hundred queries."""
+def grouped(shape: Shape, queries: DataFrame, series: DataFrame) -> Shape:
+    """The shape with as many query seasons to a tile as hold some hundred queries.
+
+    ``tiles`` is then their number, as if every series were as long as the longest.
+    """
     asked = queries.select("series_id", div("q_idx", shape.period).alias("season"), "q_idx").distinct()
     per_season = asked.groupBy("series_id", "season").count().agg(
         F.count(F.lit(1)).alias("seasons"), F.sum("count").alias("n")).first()  # two numbers
     seasons, n = per_season[0], per_season[1] or 0
     wanted = QUERIES_OF_TILE * seasons // max(1, n)
     spread = seasons // (2 * task_count(queries.sparkSession))
-    return replace(shape, query_seasons=max(1, min(32, wanted, spread)))
+    group = max(1, min(32, wanted, spread))
+    longest = season_stats(series, shape.period).agg(F.max("n_seasons")).first()[0] or 0
+    tiles = -(-seasons // group) * -(-longest // shape.history_seasons)
+    return replace(shape, query_seasons=group, tiles=tiles)
 
 
 def tile_sides(queries: DataFrame, series: DataFrame, shape: Shape) -> tuple[DataFrame, DataFrame]:
@@ -100,8 +108,8 @@ def tile_sides(queries: DataFrame, series: DataFrame, shape: Shape) -> tuple[Dat
     A query season crosses the shuffle as one array with the slots of its queries,
     however many there are. Seasons that serve as history (second to last but one
     complete) go to the tiles that hold queries, so few queries on a long series cost
-    little. Partition counts are fixed: a tile holds few bytes and much work, and the
-    size of a block says nothing about the number of its copies.
+    little. The number of partitions follows the number of tiles: a tile holds few bytes
+    and much work, and the size of a block says nothing about the number of its copies.
     """
     blocks = season_blocks(series, shape)
     slot = slot_of_season("q_idx", shape.period)
@@ -132,7 +140,7 @@ def tile_sides(queries: DataFrame, series: DataFrame, shape: Shape) -> tuple[Dat
         .join(tiles, ["series_id", "hc"])
         .select("series_id", "qc", "hc", "season", "n_slots", "vals")
     )
-    keys, tasks = ["series_id", "qc", "hc"], task_count(series.sparkSession)
+    keys, tasks = ["series_id", "qc", "hc"], max(task_count(series.sparkSession), shape.tiles // 4)
     # toDF gives the columns of the two sides identities of their own.
     return (left.toDF(*left.columns).repartition(tasks, *keys),
             right.toDF(*right.columns).repartition(tasks, *keys))

@@ -31,7 +31,7 @@ def knn_predict(queries: DataFrame, series: DataFrame, period: int, grid: Grid,
     # NaN is no observation, whoever built the series.
     series = series.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
     if form == "tiles":
-        shape = grouped(shape, queries)
+        shape = grouped(shape, queries, series)
         near = nearest_per_tile(queries, series, shape, grid.k, grid.d, grid.v,
                                 sentinel if keep else None)
     else:

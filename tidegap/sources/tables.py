@@ -26,7 +26,7 @@ def read_counts_csv(spark: SparkSession, path: str | list[str], ts: str = TIME,
 def utc_text(ts: Column) -> Column:
     """A timestamp as UTC text; fractions of a second only where there are any."""
     seconds = F.unix_micros(ts).cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(10,0)")
-    return (F.lit(datetime(1970, 1, 1)).cast("timestamp_ntz")
+    return (F.lit("1970-01-01").cast("timestamp_ntz")
             + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))).cast("string")
 
 
