@@ -11,8 +11,9 @@ to shards by anchor and compared there exactly by the method of the operator.
 Anchors common to many different segments (a line that many documents hold) would fill
 one shard. Each task reports the anchors that several different segments share; these
 k-grams rank behind all others in a second pass, so windows that also hold something
-rarer are filed under that. Any list gives the same result; it decides balance only, and
-so is cut to a fixed size before it is broadcast.
+rarer are filed under that. Any list gives the same result; it decides balance only. What
+is broadcast are the anchors with more than a fixed share of all reports, so their number
+has a bound whatever the input.
 
 Rows are told apart by id and the hash of their text. Segment equality is judged by 128
 hash bits, of which 64 are those of the anchor.
@@ -33,7 +34,7 @@ from tidegap.llm.rows import same_row
 
 #: Symbols hashed at a time; a longer document is taken in overlapping parts.
 CHUNK = 1 << 18
-#: Common anchors sent to every task at most (8 bytes each).
+#: Common anchors sent to every task are fewer than this (8 bytes each).
 COMMON = 1 << 18
 #: Different segments of a chunk from which their anchor is reported.
 SHARED = 3
@@ -247,8 +248,11 @@ def repeats(docs: DataFrame, unit: Unit, compare: Compare) -> DataFrame:
     ``docs`` as from ``keyed``. Stretches of a document may overlap.
     """
     spark = docs.sparkSession
-    reported = (docs.mapInArrow(_report(unit), "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n"))
-                .orderBy(F.desc("n"), "anchor").limit(COMMON).select("anchor").toPandas()["anchor"])
+    counts = pin(docs.mapInArrow(_report(unit), "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n")),
+                 "reported")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    # Fewer than COMMON anchors can have more than this share of all reports.
+    reported = counts.where(F.col("n") * COMMON > total).select("anchor").toPandas()["anchor"]
     common = spark.sparkContext.broadcast(np.sort(reported.to_numpy(dtype=np.int64).view(_U)))
     filed = docs.mapInArrow(_file(unit, common), (
         "anchor bigint, seal bigint, doc_id bigint, text_hash bigint, at int, windows int, "
