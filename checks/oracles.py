@@ -407,4 +407,4 @@ SELECT s.series_id, s.idx, round(coalesce(s.value, p.prediction), 9) AS value, r
        s.value IS NULL AND p.prediction IS NOT NULL AS is_imputed
 FROM series s LEFT JOIN predictions p ON p.series_id = s.series_id AND p.q_idx = s.idx""")
 ORACLES["results_union"] = _union()
-ORACLES["gap_distance_hof"] = ORACLES["gap_distance"]
+ORACLES["gap_distance_hof"] = ORACLES["gap_distance_joins"] = ORACLES["gap_distance"]

@@ -310,8 +310,9 @@ QUERIES = {
     "holdout_sample": holdout,
     "mask_to_ratio": masked,
     "knn_candidates": candidates,
-    "gap_distance": distance_joins,
+    "gap_distance": distance_arrays,
     "gap_distance_hof": distance_arrays,
+    "gap_distance_joins": distance_joins,
     "l2_distance": distance_l2,
     "knn_predict": predictions,
     "knn_predict_reference": predictions_reference,

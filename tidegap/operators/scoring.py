@@ -8,7 +8,8 @@ from tidegap.cluster import pin
 from tidegap.functions.scores import mae, rmse
 
 PARAMS = ["k", "d", "v"]
-_RANGES = 128
+# Different values that one range of a key should hold, and the most ranges of a key.
+_RANGE_VALUES, _MOST_RANGES = 1 << 16, 4096
 
 
 def knn_errors(predictions: DataFrame, queries: DataFrame) -> DataFrame:
@@ -80,18 +81,20 @@ def exact_percentiles(rows: DataFrame, keys: list[str], column: str,
     """Exact interpolated percentiles per key, as one array column named ``column``.
 
     Equal values are counted first. Approximate percentiles then cut the values of a
-    key into ranges, a histogram tells in which range each wanted rank lies, and only
-    those ranges are put in order: no task sorts all values of a key. ``keys`` are
-    search parameters, so the tables with one row per key are small enough to
-    broadcast.
+    key into ranges, as many as the largest key needs; a histogram tells in which range
+    each wanted rank lies, and only those ranges are put in order: no task sorts all
+    values of a key. Spark chooses the joins, so there may be any number of keys.
     """
     counts = rows.where(F.col(column).isNotNull()).groupBy(
         *keys, F.col(column).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
-    steps = [i / _RANGES for i in range(1, _RANGES)]
+    counts = pin(counts, "counts")
+    largest = counts.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    ranges = max(2, min(_MOST_RANGES, largest // _RANGE_VALUES))
+    steps = [i / ranges for i in range(1, ranges)]
     # Written once: both uses below must see the same cuts.
     cuts = pin(counts.groupBy(*keys).agg(
         F.percentile_approx("x", steps).alias("cuts"), F.sum("n").alias("total")), "cuts")
-    placed = counts.join(F.broadcast(cuts), keys).withColumn(
+    placed = counts.join(cuts, keys).withColumn(
         "part", F.size(F.filter("cuts", lambda c: c < F.col("x")))).drop("cuts")
     upto = Window.partitionBy(*keys).orderBy("part")
     positions = F.transform(F.array(*map(F.lit, shares)), lambda p: p * (F.col("total") - 1))
@@ -108,7 +111,7 @@ def exact_percentiles(rows: DataFrame, keys: list[str], column: str,
     inside = Window.partitionBy(*keys, "part").orderBy("x")
     start = F.col("before") + F.sum("n").over(inside) - F.col("n")
     hit = (
-        placed.join(F.broadcast(hist), [*keys, "part"]).withColumn("start", start)
+        placed.join(hist, [*keys, "part"]).withColumn("start", start)
         .withColumn("rank", F.explode(F.filter(
             "ranks", lambda r: (r >= F.col("start")) & (r < F.col("start") + F.col("n")))))
     )
