@@ -2,7 +2,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegap.functions.ranges import exp_range, exp_range_cover, exp_range_inc
+from tidegap.operators.scoring import best_params, scores
 from tidegap.plans.grid import default_grid, exp_ranges, param_grid
+from tidegap.plans.imputation import impute_by_best
+from tidegap.plans.search import parameter_search
 
 
 @pytest.mark.parametrize("end, below, upto, cover", [
@@ -33,3 +36,14 @@ def test_grid_rows_per_series(spark):
     assert {r.k for r in rows if r.series_id == "b"} == {4}
     kinds = exp_ranges(stats).groupBy("series_id", "kind").agg(F.max("value").alias("m")).collect()
     assert {(r.series_id, r.kind): r.m for r in kinds}["a", "covering"] == 128
+
+
+def test_a_series_keeps_its_own_grid(make_series):
+    long, short = [i % 5 + i % 3 for i in range(4 * 40)], [i % 5 for i in range(4 * 12)]
+    found = parameter_search(make_series({"long": long, "short": short}), 4, width=2, own_grid=True)
+    ks = {(r.series_id, r.k) for r in found.select("series_id", "k").distinct().collect()}
+    assert ks == {("long", 4), ("long", 8), ("long", 16), ("long", 32), ("short", 4), ("short", 8)}
+    best = best_params(scores(found, "series_id"), "series_id")
+    filled = impute_by_best(make_series({"long": long[:-1] + [None] + long[:3], "none": [None, 1]}), 4, best, width=2)
+    rows = {(r.series_id, r.idx): (r.value, r.is_imputed) for r in filled.collect()}
+    assert len(rows) == len(long) + 3 + 2 and rows["none", 0] == (None, False) and rows["long", len(long) - 1][1]

@@ -4,7 +4,7 @@ import random
 import pytest
 
 from tidegap.operators import sampling
-from tidegap.operators.sampling import holdout_sample, mask_to_ratio
+from tidegap.operators.sampling import holdout_sample, mask_to_ratio, mask_to_ratios
 
 
 def _first(name, pool, wanted):
@@ -53,3 +53,18 @@ def test_mask(values, make_series):
 def test_mask_below_the_present_ratio_changes_nothing(values, make_series):
     series = make_series(values)
     assert sorted(mask_to_ratio(series, 0.05).collect(), key=str) == sorted(series.collect(), key=str)
+
+
+def test_all_ratios_from_one_order(make_series, monkeypatch):
+    """Several ranges, cuts inside and between them; the same as one ratio at a time."""
+    monkeypatch.setattr("tidegap.operators.sampling._BUCKET_ROWS", 16)
+    series = make_series({"a": [None if i % 7 == 0 else i for i in range(300)], "b": [1.0] * 40})
+    ratios = [0.1, 0.145, 0.5, 0.93]
+    got = {r: {} for r in ratios}
+    for r in mask_to_ratios(series, ratios).collect():
+        got[r.ratio][r.series_id, r.idx] = r.value
+    for ratio in ratios:
+        want = {(r.series_id, r.idx): r.value for r in mask_to_ratio(series, ratio).collect()}
+        assert got[ratio] == want and len(want) == 340
+        missing = sum(v is None for (s, _), v in want.items() if s == "a")
+        assert missing == max(43, int(ratio * 300))
