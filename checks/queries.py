@@ -223,7 +223,7 @@ def csv_round_trip(spark, folder):
     path = scratch_path(spark, "csv")
     write_counts_csv(ev_type_hour(spark, folder), path, series_column="SERIES")
     rows = read_counts_csv(spark, path, series="SERIES")
-    return _with_epoch(build_series(rows, TIME, HOUR_US, 24, F.max(observed(COUNT)), "SERIES", trim=True))
+    return _with_epoch(build_series(rows, TIME, HOUR_US, 24, F.max(observed(COUNT)), "SERIES"))
 
 
 def variant_source(spark, folder):
