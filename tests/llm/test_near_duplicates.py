@@ -125,6 +125,35 @@ def test_embeddings(spark):
     assert sum(f == w for f, w in zip(found, want)) >= 0.99 * len(want)
 
 
+@pytest.mark.parametrize("directions", [128, 1024])
+def test_embeddings_with_codes_of_large_tables(spark, directions, monkeypatch):
+    """The code of a table with so many classes a label finds the pairs of a small one."""
+    monkeypatch.setattr(cap_filters, "FEWEST", directions)
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(2, 600, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (y * x).sum(axis=1, keepdims=True) * x
+    y = 0.931 * x + (1 - 0.931**2) ** 0.5 * y / np.linalg.norm(y, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(np.vstack([x, y]))],
+                                  "vec_id bigint, embedding array<double>, label int").repartition(3)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in cap_filters.near_duplicates(table).collect()}
+    assert sum(got[i] != (1, i % 600) for i in range(1200)) <= 2
+
+
+def test_codes_hold_their_bound():
+    for dimensions, directions in ((64, 32), (64, 1024), (16, 512), (3, 32)):
+        rng = np.random.default_rng(9)
+        x, y = rng.normal(size=(2, 4000, dimensions))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y -= (y * x).sum(axis=1, keepdims=True) * x
+        y = 0.93 * x + (1 - 0.93**2) ** 0.5 * y / np.linalg.norm(y, axis=1, keepdims=True)
+        apart = np.ones(len(x), dtype=bool)
+        for number in range(cap_filters.codes(dimensions, directions, 0.93)):
+            a, b = cap_filters.caps(x, directions, number), cap_filters.caps(y, directions, number)
+            apart &= ~(a[:, :, None] == b[:, None, :]).any(axis=(1, 2))
+        assert apart.sum() <= 3
+
+
 def test_embeddings_of_nothing(spark):
     empty = spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")
     assert cap_filters.near_duplicates(empty).count() == 0

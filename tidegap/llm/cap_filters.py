@@ -1,12 +1,18 @@
 """Embedding near-duplicates with spherical-cap filters from a structured random code.
 
-A filter is the cap of unit vectors whose inner product with a direction exceeds a
-threshold. Directions are a product code: the space is rotated at random and cut in two
-halves, each half has its own random unit vectors, and every pair of them is a
-direction. The code can be list-decoded: with the scores of one half sorted, all
-directions above the threshold are read off without trying the others. Two vectors with
-cosine of at least the wanted one share a dozen caps on average, vectors at random
-hardly any, so links are looked for among the members of a cap and verified there.
+A filter is the cap of unit vectors around a direction. Directions are a product code:
+the space is rotated at random and cut in two halves, each half has its own random unit
+vectors, and every pair of them is a direction. The code can be list-decoded: with the
+scores of both halves sorted, the best directions of a vector are read off without trying
+the others. A vector is in the caps of its ``CAPS`` best directions. With one threshold for
+all vectors instead, many would be in hardly any cap, since the directions' scores share
+the few scores of the halves. Vectors at random hardly share a cap, so links are looked
+for among the members of a cap and verified there.
+
+The rotation is uniform, so how likely a pair shares no cap depends on its cosine and on
+the number of dimensions, not on the data. This is measured on drawn pairs for the code
+at hand, and independent codes are added until all of them miss a pair at the threshold
+with a probability of ``MISS`` at most.
 
 Caps that share their first half travel together: a vector is sent once for each first
 half, not for each cap. A crowded one is cut into blocks that meet in pairs. Within a
@@ -19,7 +25,6 @@ before all this.
 from __future__ import annotations
 
 from functools import cache
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -29,19 +34,23 @@ from tidegap.cluster import pin
 from tidegap.llm.components import components
 
 COSINE = 0.93
-#: Members of a cap aimed at, and caps of a vector; the code's size follows from these.
+#: Members of a cap aimed at, and caps of a vector in a code; the code's size follows from these.
 MEMBERS, CAPS = 64, 40
 #: Directions of each half at least and at most.
 FEWEST, MOST = 32, 4096
 #: Vectors of one block.
 BLOCK = 1024
+#: Probability that a pair at the threshold shares no cap, at most.
+MISS = 1e-4
+#: Pairs drawn to measure a code, misses after which fewer are enough, and codes at most.
+DRAWN, ENOUGH, CODES = 40_000, 200, 256
 SEED = 20240117
 
 
 @cache
-def code(dimensions: int, directions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def code(dimensions: int, directions: int, number: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A random rotation and the unit vectors of both halves, the same in every task."""
-    rng = np.random.default_rng([SEED, dimensions, directions])
+    rng = np.random.default_rng([SEED, dimensions, directions, number])
     rotation = np.linalg.qr(rng.normal(size=(dimensions, dimensions)))[0]
     half = max(1, dimensions // 2)
     sides = [rng.normal(size=(directions, n)) for n in (half, dimensions - half)]
@@ -49,48 +58,104 @@ def code(dimensions: int, directions: int) -> tuple[np.ndarray, np.ndarray, np.n
     return rotation, *sides
 
 
-def caps(vectors: np.ndarray, directions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``row, first, second``: the caps that hold each unit vector, list-decoded."""
-    n, d = vectors.shape
-    rotation, left, right = code(d, directions)
-    turned = vectors @ rotation
-    half = left.shape[1]
-    a, b = turned[:, :half] @ left.T, turned[:, half:] @ right.T
-    # The sum of both halves' scores is, over directions, about normal with variance 2 / d.
-    least = NormalDist().inv_cdf(1 - min(0.5, CAPS / directions**2)) * (2 / d) ** 0.5
-    order = np.argsort(-b, axis=1)
-    best, found = a.max(axis=1), []
-    for r in range(directions):
-        score = np.take_along_axis(b, order[:, r:r + 1], axis=1)
-        alive = np.flatnonzero(best + score[:, 0] >= least)
-        if not len(alive):
+def _best(scores: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of the ``n`` largest scores of each row, largest first."""
+    place = np.argpartition(-scores, n - 1, axis=1)[:, :n]
+    value = np.take_along_axis(scores, place, axis=1)
+    order = np.argsort(-value, axis=1)
+    return np.take_along_axis(place, order, axis=1), np.take_along_axis(value, order, axis=1)
+
+
+def caps(vectors: np.ndarray, directions: int, number: int = 0) -> np.ndarray:
+    """The ``CAPS`` best directions of each unit vector, list-decoded.
+
+    They are numbers in which ``MOST`` values of the second half follow on one of the
+    first, and ``MOST`` values of that on one of ``number``.
+    """
+    rotation, left, right = code(vectors.shape[1], directions, number)
+    turned, half = vectors @ rotation, left.shape[1]
+    n = min(CAPS, directions)
+    (first, a), (second, b) = _best(turned[:, :half] @ left.T, n), _best(turned[:, half:] @ right.T, n)
+    # A pair of ranks has as many pairs before it as their product, so further ones are not among the best.
+    i, j = np.nonzero(np.outer(np.arange(1, n + 1), np.arange(1, n + 1)) <= CAPS)
+    best = np.argpartition(-(a[:, i] + b[:, j]), CAPS - 1, axis=1)[:, :CAPS]
+    found = (number * MOST + first[:, i]) * MOST + second[:, j]
+    return np.take_along_axis(found, best, axis=1)
+
+
+def missed(dimensions: int, directions: int, cosine: float, number: int) -> float:
+    """Upper limit (95 %) of the share of pairs at ``cosine`` that share no cap of a code."""
+    rng = np.random.default_rng([SEED, dimensions, directions, number, 1])
+    drawn = misses = 0
+    while drawn < DRAWN and misses < ENOUGH:
+        x, y = (_rows_of_length_1(rng.normal(size=(500, dimensions))) for _ in range(2))
+        if dimensions == 1:
+            y = x
+        else:
+            y = _rows_of_length_1(y - (y * x).sum(axis=1, keepdims=True) * x)
+            y = cosine * x + max(0.0, 1 - cosine**2) ** 0.5 * y
+        both = np.sort(np.hstack([caps(x, directions, number), caps(y, directions, number)]), axis=1)
+        misses += int((np.diff(both, axis=1) != 0).all(axis=1).sum())
+        drawn += len(x)
+    # Above the 95 % limit of a Poisson number, which is 3.0 where none was missed.
+    return min(1.0, (misses + 3 + 2 * misses**0.5) / drawn)
+
+
+@cache
+def codes(dimensions: int, directions: int, cosine: float) -> int | None:
+    """So many codes miss a pair at ``cosine`` with ``MISS`` at most; none if ``CODES`` do not do."""
+    chance = 1.0
+    for number in range(CODES):
+        chance *= missed(dimensions, directions, cosine, number)
+        if chance <= MISS:
+            return number + 1
+        if number == 3 and chance > 0.9:
+            return None
+    return None
+
+
+def plan(dimensions: int, largest: int, cosine: float) -> tuple[int, int]:
+    """Directions of each half, and codes, for labels of up to ``largest`` classes.
+
+    Fewer directions than a cap's members ask for where those would take more than four
+    times the codes, as in few dimensions: comparisons go with codes by square of directions.
+    """
+    wanted = np.log2(max(1, CAPS * largest / MEMBERS)) / 2  # members = largest * CAPS / directions ** 2
+    directions = int(min(MOST, max(FEWEST, 2 ** np.ceil(wanted))))
+    n = codes(dimensions, directions, cosine)
+    while directions > FEWEST and (n is None or n > 4):
+        fewer = codes(dimensions, directions // 2, cosine)
+        if n is not None and (fewer is None or 4 * fewer >= n):
             break
-        row, first = np.nonzero(a[alive] + score[alive] >= least)
-        found.append((alive[row], first, order[alive[row], r]))
-    return tuple(np.concatenate(x) if found else np.empty(0, np.int64) for x in (zip(*found) if found else [[]] * 3))
+        directions, n = directions // 2, fewer
+    if n is None:
+        raise ValueError(f"no {CODES} codes find pairs of cosine {cosine} in {dimensions} dimensions")
+    return directions, n
+
+
+def _rows_of_length_1(values: np.ndarray) -> np.ndarray:
+    return values / np.linalg.norm(values, axis=1, keepdims=True)
 
 
 def _unit(vectors: pa.Array) -> np.ndarray:
     """Rows of equal length, in double precision, of length 1."""
     values = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
     values /= np.abs(values).max(axis=1, keepdims=True)
-    return values / np.linalg.norm(values, axis=1, keepdims=True)
+    return _rows_of_length_1(values)
 
 
-def _caps(directions: int):
+def _caps(plans: dict[int, tuple[int, int]]):
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def found(vectors: pa.Array) -> pa.Array:
-        """The caps of each vector in order, as first times ``directions`` plus second."""
+        """The caps of each vector in order, of all its codes."""
         sizes = vectors.value_lengths().to_numpy(zero_copy_only=False)
         out: list = [None] * len(vectors)
         for size in np.unique(sizes):
             rows = np.flatnonzero(sizes == size)
             for i in range(0, len(rows), 512):
                 part = rows[i:i + 512]
-                row, first, second = caps(_unit(vectors.take(pa.array(part))), directions)
-                cap = first * directions + second
-                order = np.lexsort((cap, row))
-                for at, own in zip(part, np.split(cap[order], np.searchsorted(row[order], np.arange(1, len(part))))):
+                units, (directions, n) = _unit(vectors.take(pa.array(part))), plans[int(size)]
+                for at, own in zip(part, np.sort(np.hstack([caps(units, directions, c) for c in range(n)]), axis=1)):
                     out[at] = own
         return pa.array(out, pa.list_(pa.int64()))
 
@@ -112,7 +177,7 @@ def _meetings(lists: pa.Array, lo: np.ndarray, hi: np.ndarray, least: int, end:
             yield a, b
 
 
-def _block(cosine: float, directions: int):
+def _block(cosine: float):
     def block(rows: pa.Table) -> pa.Table:
         first = rows["first"][0].as_py()
         vectors = _unit(rows["vector"].combine_chunks())
@@ -120,12 +185,12 @@ def _block(cosine: float, directions: int):
         cls, copies = rows["cls"].to_numpy(), rows["copies"].to_numpy()
         lo, hi = np.flatnonzero(sides <= 0), np.flatnonzero(sides >= 0)  # 0: both, a block with itself
         near = np.zeros((len(lo), len(hi)), dtype=bool)
-        for a, b in _meetings(lists, lo, hi, first * directions, (first + 1) * directions):
+        for a, b in _meetings(lists, lo, hi, first * MOST, (first + 1) * MOST):
             near[np.ix_(a, b)] |= vectors[lo[a]] @ vectors[hi[b]].T >= cosine
         near &= cls[lo][:, None] != cls[hi][None, :]
         # What met under an earlier first half has been counted there.
         x, y = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
-        for a, b in _meetings(lists, lo[x], hi[y], 0, first * directions):
+        for a, b in _meetings(lists, lo[x], hi[y], 0, first * MOST):
             near[np.ix_(x[a], y[b])] = False
         links = np.zeros(len(cls), dtype=np.int64)
         links[lo] += near @ copies[hi]
@@ -156,8 +221,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     ``component_id`` is the smallest id reachable, itself included. A null id never names
     a component that has another id. An empty table gives no rows.
 
-    A link at the threshold itself is missed with a probability of about 1 in 10,000, a
-    closer one with less; vectors that are equal are never missed.
+    A link at the threshold itself is missed with a probability of at most ``MISS``, a
+    closer one with less, whatever the size of the table; vectors that are equal are never
+    missed.
     """
     spark = vectors.sparkSession
     single = isinstance(getattr(vectors.schema["embedding"].dataType, "elementType", None), T.FloatType)
@@ -171,11 +237,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     classes = pin(rows.where("sound").groupBy("label", "h1", "h2").agg(
         F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"), F.any_value("vector").alias("vector"))
         .withColumn("cls", F.monotonically_increasing_id()), "classes")
-    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    wanted = np.log2(max(1, CAPS * largest / MEMBERS)) / 2  # members = largest * CAPS / directions ** 2
-    directions = int(min(MOST, max(FEWEST, 2 ** np.ceil(wanted))))
-    filed = pin(classes.select("cls", "label", "copies", "vector", _caps(directions)("vector").alias("caps")), "caps")
-    firsts = F.array_distinct(F.transform("caps", lambda c: F.floor(c / directions)))
+    largest = classes.groupBy("label", F.size("vector").alias("d")).count().groupBy("d").agg(F.max("count").alias("n"))
+    plans = {d: plan(d, n, cosine) for d, n in largest.collect()}  # one row for each number of dimensions
+    filed = pin(classes.select("cls", "label", "copies", "vector", _caps(plans)("vector").alias("caps")), "caps")
+    # One number for the code and its first half.
+    firsts = F.array_distinct(F.transform("caps", lambda c: F.floor(c / MOST)))
     at = filed.withColumn("first", F.explode(firsts)).withColumn("d", F.size("vector"))
     key = ["label", "d", "first"]
     counts = at.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
@@ -188,7 +254,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
                      F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), -1)
                      .otherwise(1).alias("side")))
     found = pin(dealt.groupBy(*key, "lo", "hi").applyInArrow(
-        _block(cosine, directions), "a bigint, b bigint, links bigint"), "links")
+        _block(cosine), "a bigint, b bigint, links bigint"), "links")
     reached = components(found.select("a", "b"))
     named = (classes.select("cls", "label", "h1", "h2", "vec_id", "copies")
              .join(reached.withColumnRenamed("v", "cls"), "cls", "left")
