@@ -86,6 +86,19 @@ def test_language(spark, frame, docs, corpus):
     assert {r.lang_pred for r in language.identify(frame(docs), {}).collect()} == {"und"}
 
 
+def test_language_margin_means_the_same_at_every_length(corpus):
+    """Random words are rejected however many they are, and short texts are not for being short."""
+    known = language.learn(corpus.where(~held_out(F.col("doc_id"))))
+    coder, rng = language.Coder(known), random.Random(12)
+    for n in (1000, 4000, 16_000, 64_000):
+        words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 10))) for _ in range(n // 6)]
+        assert coder.predict(" ".join(words))[1] < language.MIN_SCORE
+    rows = [r for r in corpus.where("text is not null").collect() if len(r.text.split()) >= 30]
+    short = [(coder.predict(" ".join(r.text.split()[4:12])), r.lang) for r in rows]
+    right = [score >= language.MIN_SCORE for (lang, score), own in short if lang == own]
+    assert len(right) >= 0.8 * len(short) and sum(right) >= 0.97 * len(right)
+
+
 def test_language_sample_is_bounded(spark):
     rows = [(i, "the same text again", "en") for i in range(300)] + [(i, f"ein text {i}", "de") for i in range(300)]
     rows += [(1, None, "en"), (2, "no language", None), (3, "", "de")]

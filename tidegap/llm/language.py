@@ -4,7 +4,10 @@ Per language a raw-content dictionary is laid out from excerpts of labelled text
 text is compressed with each dictionary; the language whose dictionary makes it smallest
 wins, because that dictionary has most of the text's words. Texts are compressed in
 blocks, so that a long text keeps being measured against the dictionary and not against
-itself. When the best two lengths are too close the prediction is rejected.
+itself. When the best two lengths are too close the prediction is rejected: their
+difference is taken relative to the shorter one, so it means the same at ten words and at
+twenty thousand. How close is too close is learnt with the dictionaries, from excerpts
+compressed with dictionaries that were laid out without them.
 """
 
 from __future__ import annotations
@@ -21,10 +24,12 @@ EXCERPTS, EXCERPT_CHARS = 96, 768
 LANGUAGES = 256
 LEVEL = 5
 BLOCK_BYTES = 4096
-#: Bytes saved that make one language e times likelier than another.
-TEMPERATURE = 4.0
-#: A score below this is a rejection: the best two differ by less than 2 bytes.
+#: A score below this is a rejection: the best two differ by less than the floor.
 MIN_SCORE = 0.6
+#: The floor is half the relative difference that all but one in so many excerpts exceed, at least so much.
+EXCEEDED, LEAST_FLOOR = 100, 0.01
+#: Excerpts that the floor is learnt from at most.
+JUDGED = 2000
 
 
 def excerpts(docs: DataFrame, per_language: int = EXCERPTS, chars: int = EXCERPT_CHARS) -> DataFrame:
@@ -51,12 +56,40 @@ def excerpts(docs: DataFrame, per_language: int = EXCERPTS, chars: int = EXCERPT
     return ranked.where(F.col("rank") <= per_language).select("lang", "excerpt")
 
 
-def learn(docs: DataFrame, per_language: int = EXCERPTS, chars: int = EXCERPT_CHARS) -> dict[str, bytes]:
+class Dictionaries(dict):
+    """Language to dictionary, and the relative difference of lengths that tells languages apart."""
+
+    floor = LEAST_FLOOR
+
+
+def _laid_out(parts: dict[str, list[str]]) -> dict[str, bytes]:
+    return {lang: "\n".join(sorted(found)).encode() for lang, found in sorted(parts.items())}
+
+
+def floor_of(parts: dict[str, list[str]]) -> float:
+    """The floor by ``parts``, language to excerpts: each half is judged by dictionaries of the other."""
+    parts = {lang: sorted(found) for lang, found in sorted(parts.items()) if len(found) > 1}
+    step = -(-sum(map(len, parts.values())) // JUDGED)
+    margins = []
+    for half in (0, 1) if len(parts) > 1 else ():
+        coder = Coder(_laid_out({lang: found[1 - half::2] for lang, found in parts.items()}))
+        for lang, found in parts.items():
+            for text in found[half::2 * step]:
+                sizes = coder.sizes(text)
+                best = min(sizes)
+                if coder.languages[sizes.index(best)] == lang:
+                    margins.append(sorted(sizes)[1] / best - 1)
+    return max(LEAST_FLOOR, sorted(margins)[len(margins) // EXCEEDED] / 2) if margins else LEAST_FLOOR
+
+
+def learn(docs: DataFrame, per_language: int = EXCERPTS, chars: int = EXCERPT_CHARS) -> Dictionaries:
     """Language to dictionary; the most frequent excerpts' order is fixed by their text."""
     parts: dict[str, list[str]] = {}
     for lang, excerpt in excerpts(docs, per_language, chars).collect():  # a bounded sample
         parts.setdefault(lang, []).append(excerpt.lower())
-    return {lang: "\n".join(sorted(found)).encode() for lang, found in sorted(parts.items())}
+    known = Dictionaries(_laid_out(parts))
+    known.floor = floor_of(parts)
+    return known
 
 
 class Coder:
@@ -64,6 +97,7 @@ class Coder:
 
     def __init__(self, dictionaries: dict[str, bytes]) -> None:
         self.languages = list(dictionaries)
+        self.floor = getattr(dictionaries, "floor", LEAST_FLOOR)
         self.coders = []
         for content in dictionaries.values():
             known = zstandard.ZstdCompressionDict(content.ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -82,7 +116,11 @@ class Coder:
             return "und", 0.0
         sizes = self.sizes(text)
         best = min(sizes)
-        score = 1 / sum(math.exp(max(-700.0, (best - s) / TEMPERATURE)) for s in sizes)
+        if len(sizes) == 1:
+            return self.languages[0], 1.0
+        # Of the best two languages the better one has MIN_SCORE where they differ by the floor.
+        scale = math.log(MIN_SCORE / (1 - MIN_SCORE)) / self.floor
+        score = 1 / (1 + math.exp(max(-700.0, (best - sorted(sizes)[1]) / best * scale)))
         return self.languages[sizes.index(best)], score
 
 
