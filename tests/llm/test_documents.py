@@ -108,6 +108,15 @@ def test_language_sample_is_bounded(spark):
     assert language.learn(table.limit(0)) == {}
 
 
+def test_every_language_is_learnt(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 3)
+    rows = [(i, f"{lang} words number {i}", lang) for lang, n in zip("abcdefg", (90, 80, 70, 60, 50, 40, 2)) for i in range(n)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    counts = {r.lang: r["count"] for r in language.excerpts(table, 14, 50).groupBy("lang").count().collect()}
+    assert set(counts) == set("abcdefg") and max(counts.values()) <= 6
+    assert sorted(language.learn(table, 14, 50)) == list("abcdefg")
+
+
 def test_quality(spark, frame, docs, corpus):
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     forest = quality.learn(quality.with_statistics(corpus), labels.where(~held_out(F.col("doc_id"))))

@@ -18,9 +18,11 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidegap.cluster import pin
+
 #: Excerpts per language and characters of each: the bounded sample that is learnt from.
 EXCERPTS, EXCERPT_CHARS = 96, 768
-#: Languages learnt at most, the most frequent first.
+#: Languages that have all their excerpts; where there are more, each has fewer.
 LANGUAGES = 256
 LEVEL = 5
 BLOCK_BYTES = 4096
@@ -37,14 +39,15 @@ def excerpts(docs: DataFrame, per_language: int = EXCERPTS, chars: int = EXCERPT
 
     Texts are chosen by their hash. The threshold follows from the number of different
     texts of the language, so about twice the wanted number is met whatever the size;
-    copies are merged map-side before the final cut.
+    copies are merged map-side before the final cut. With more than ``LANGUAGES`` languages
+    each has fewer excerpts, one at least, so that all together stay bounded.
     """
     text = F.trim(F.col("text"))
     rows = docs.select("lang", F.xxhash64(text).alias("h"), text.alias("text")).where(
         "lang is not null and length(text) > 0")
-    # One small row per language; the number of languages is bounded here.
-    sizes = (rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n"))
-             .orderBy(F.desc("n"), "lang").limit(LANGUAGES))
+    # One small row per language.
+    sizes = pin(rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")), "languages")
+    per_language = max(1, per_language * LANGUAGES // max(LANGUAGES, sizes.count()))
     share = F.lit(3.0 * per_language) / F.col("n")
     u = (F.shiftrightunsigned(F.xxhash64("h"), 11)).cast("double") / float(1 << 53)
     start = F.pmod(F.col("h"), F.greatest(F.length("text") - chars + 1, F.lit(1))).cast("int") + 1
