@@ -127,4 +127,31 @@ SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES = {"op1_line_dedup": _OP1, "op2_substring_dedup": _OP2, "op3_embedding_near_dedup": _OP3, "op6_warc": _OP6, "op8_suffix_array_dedup": _OP8, "op10_decontamination": _OP10}
+_OP12 = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+words AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece),
+f AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS n
+  FROM words, unnest([1, 2, 3, 4]) s(m), unnest(range(1, len(w) - m + 2)) t(i) GROUP BY ALL),
+total AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+cand AS (SELECT lang, m, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE m >= 2 AND n >= 30),
+part AS (
+  SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, max(a) AS around
+  FROM cand, unnest(range(2, m)) t(s), unnest(range(1, m - s + 2)) u(i) GROUP BY ALL),
+cut AS (
+  SELECT c.lang, c.phrase, a, k, l.n AS l, r.n AS r, 2000000::HUGEINT * a // (l.n + r.n) AS score
+  FROM cand c LEFT JOIN part p ON p.lang = c.lang AND p.phrase = c.phrase, unnest(range(1, c.m)) t(k)
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:k], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k + 1:c.m], ' ')
+  WHERE around IS NULL OR 100::HUGEINT * around < 80::HUGEINT * a),
+low AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT low.lang, row_number() OVER (PARTITION BY low.lang ORDER BY score DESC, a DESC, phrase) AS rank,
+  phrase, a, l, r, total.n, score::BIGINT AS score
+FROM low JOIN total USING (lang)
+QUALIFY rank <= 2000
+"""
+
+ORACLES = {"op1_line_dedup": _OP1, "op2_substring_dedup": _OP2, "op3_embedding_near_dedup": _OP3, "op6_warc": _OP6, "op8_suffix_array_dedup": _OP8, "op10_decontamination": _OP10, "op12_phrase_collocations": _OP12}
