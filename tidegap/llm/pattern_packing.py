@@ -39,7 +39,7 @@ GRAIN, FEW = 8, 3
 #: Id behind every document.
 END = 1
 #: Characters encoded together, bytes of ids in one batch handed to Spark.
-TOGETHER, BATCH = 2_000_000, 4 << 20
+TOGETHER, BATCH = 1_000_000, 2 << 20
 #: More than any number of pieces of one length.
 _STRIDE = 1 << 50
 
@@ -82,8 +82,8 @@ def _pieces(path: str):
 
         docs, size = [], 0
         for batch in batches:
-            for doc in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                docs.append((doc[0], doc[1] or ""))
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):  # one text at a time in Python
+                docs.append((doc_id.as_py(), text.as_py() or ""))
                 size += len(docs[-1][1])
                 if size >= TOGETHER:
                     yield from cut(docs)

@@ -19,7 +19,7 @@ from functools import cache
 import numpy as np
 
 #: Parts kept by a worker.
-CACHE = 700_000
+CACHE = 250_000
 # Fixed value: the published pre-tokenisation pattern; a line feed stands between parts.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+|\n"
 #: Byte 0 is the word end here; the others are no white space to ``tokenizers``.
