@@ -154,4 +154,74 @@ FROM low JOIN total USING (lang)
 QUALIFY rank <= 2000
 """
 
-ORACLES = {"op1_line_dedup": _OP1, "op2_substring_dedup": _OP2, "op3_embedding_near_dedup": _OP3, "op6_warc": _OP6, "op8_suffix_array_dedup": _OP8, "op10_decontamination": _OP10, "op12_phrase_collocations": _OP12}
+_OP13 = r"""
+WITH RECURSIVE src AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+      lambda x: ascii(x)::BIGINT) AS key FROM conversations),
+crc AS (
+  SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], key), lambda c, b: list_reduce(
+      list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+      lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 20 AS kind
+  FROM src),
+rows AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM crc, unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) WHERE kind <> 0),
+placed AS (
+  SELECT *, row_number() OVER w AS i, lag(substr(role, 1, 1)) OVER w AS prior FROM rows
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text))),
+judged AS (
+  SELECT *, substr(role, 1, 1) AS initial,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated'
+      ELSE '' END AS fault FROM placed),
+counted AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (prior IS NOT NULL AND prior || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id),
+move(k, s, t) AS (  -- k rows inserted first: from state s to t
+  VALUES (0, 0, 0), (0, 1, 1), (0, 2, 2), (0, 3, 3), (1, 0, 2), (1, 1, 2), (1, 2, 3), (1, 3, 2),
+    (2, 0, 3), (2, 1, 3), (2, 2, 2), (2, 3, 3)),
+path AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS s, {'c': 0::BIGINT, 'a': ''} AS p FROM counted
+  UNION ALL
+  SELECT conv_id, i, s, min(p) AS p FROM (
+    SELECT r.conv_id, r.i, e.s, {'c': (path.p.c + 5 * k + e.c)::BIGINT, 'a': path.p.a || repeat('I', k) || e.a} AS p
+    FROM path JOIN judged r ON r.conv_id IS NOT DISTINCT FROM path.conv_id AND r.i = path.i + 1
+    JOIN move ON move.s = path.s,
+    unnest([{'s': t, 'c': 2, 'a': 'D'},
+      CASE WHEN fault NOT IN ('blank', 'duplicate') THEN
+        {'s': CASE t WHEN 2 THEN 3 ELSE 2 END, 'c': 1 + CASE fault WHEN 'truncated' THEN 5 ELSE 0 END, 'a': 'R'} END,
+      CASE WHEN fault NOT IN ('blank', 'duplicate') AND (initial = 's' AND t = 0 OR initial = 'u' AND t <> 2
+          OR initial = 'a' AND t = 2) THEN
+        {'s': CASE initial WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END,
+         'c': CASE fault WHEN 'truncated' THEN 5 ELSE 0 END, 'a': 'K'} END]) AS u(e)
+    WHERE e IS NOT NULL) GROUP BY conv_id, i, s),
+best AS (
+  SELECT conv_id, min({'c': path.p.c + CASE s WHEN 1 THEN 10 WHEN 2 THEN 5 ELSE 0 END,
+    'a': path.p.a || CASE s WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END}) AS p
+  FROM path JOIN counted USING (conv_id) WHERE i = n GROUP BY conv_id),
+edit AS (
+  SELECT conv_id, j, substr(best.p.a, j, 1) AS e,
+    j - length(replace(substr(best.p.a, 1, j), 'I', '')) AS inserted
+  FROM best, unnest(range(1, length(best.p.a) + 1)) t(j)),
+out AS (
+  SELECT edit.*, role, text, initial, row_number() OVER (PARTITION BY conv_id ORDER BY j) AS o,
+    first_value(CASE WHEN e = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY j) AS skip
+  FROM edit LEFT JOIN judged USING (conv_id) WHERE e <> 'D' AND (e = 'I' AND judged.i = 1 OR e <> 'I' AND judged.i = j - inserted)),
+repaired AS (
+  SELECT conv_id, string_agg(CASE e WHEN 'K' THEN role ELSE CASE (o - skip) % 2 WHEN 1 THEN 'user' ELSE 'assistant' END END
+    || ':' || CASE e WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY o) AS whole FROM out GROUP BY conv_id)
+SELECT ids.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+  coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.p.c, 0)::BIGINT AS cost, coalesce(best.p.a, '') AS audit,
+  sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) ids LEFT JOIN counted USING (conv_id)
+LEFT JOIN best USING (conv_id) LEFT JOIN repaired USING (conv_id)
+"""
+
+ORACLES = {"op1_line_dedup": _OP1, "op2_substring_dedup": _OP2, "op3_embedding_near_dedup": _OP3, "op6_warc": _OP6, "op8_suffix_array_dedup": _OP8, "op10_decontamination": _OP10, "op12_phrase_collocations": _OP12, "op13_conversation_repair": _OP13}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidegap.cluster import scratch_path
-from tidegap.llm import automata, bwt, cap_filters, collocations, decontamination, golay, language, line_chunks, packing, pattern_packing, quality, warc
+from tidegap.llm import automata, bwt, cap_filters, collocations, decontamination, golay, language, line_chunks, packing, pattern_packing, quality, structure_repair, warc
 from tidegap.llm.rows import held_out
 
 
@@ -85,6 +85,12 @@ def op12_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(_read(spark, folder, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = _read(spark, folder, "conversations")
+    repaired = structure_repair.repair(structure_repair.damage(conversations))
+    return structure_repair.all_conversations(conversations, structure_repair.summaries(repaired))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_substring_dedup, op3_embedding_near_dedup, op4_quality_classifier, op5_packing, op6_warc, op7_language_id, op8_suffix_array_dedup,
-    op9_simhash_near_dedup, op10_decontamination, op11_best_fit_packing, op12_phrase_collocations)}
+    op9_simhash_near_dedup, op10_decontamination, op11_best_fit_packing, op12_phrase_collocations, op13_conversation_repair)}
