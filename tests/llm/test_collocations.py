@@ -67,7 +67,7 @@ def test_against_plain_counting(spark, rows, least, top):
 def test_flow_gives_shorter_counts(spark, rows):
     """Counts from edges and ends are those of phrases counted themselves."""
     docs = table(spark, rows)
-    edges = mined.edge_counts(docs, mined.word_counts(docs), 1)
+    edges = mined.edge_counts(mined.coded(docs), 1)
     want = phrases(rows)
     for size, counts in mined.flows(edges).items():
         got = {(r.lang, r.phrase): r.n for r in counts.collect()}
@@ -76,7 +76,7 @@ def test_flow_gives_shorter_counts(spark, rows):
 
 def test_paths_hold_each_edge_once(spark, rows):
     docs = table(spark, rows)
-    often = {k: f.where("n >= 3") for k, f in mined.flows(mined.edge_counts(docs, mined.word_counts(docs), 3)).items()}
+    often = {k: f.where("n >= 3") for k, f in mined.flows(mined.edge_counts(mined.coded(docs), 3)).items()}
     paths, inside = mined.unary_paths(often[4], often[3])
     held = Counter()
     longest = 0

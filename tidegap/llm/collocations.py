@@ -1,15 +1,17 @@
 """Collocations mined from a weighted de Bruijn graph of phrases.
 
 Nodes are phrases of three words, edges phrases of four: an edge leads from its first
-three words to its last three, and its weight is its number of occurrences. Only edges are
-counted in the texts. The occurrences of a shorter phrase are the flow out of it, that is
-the edges that begin with it, plus those at the end of a piece, which no word follows; the
-tasks count these ends as well. So the phrases of three words are summed from the edges,
-those of two from them, and single words from those of two.
-
-Words with fewer occurrences than a candidate needs are in no candidate and in no part of
-one, so they end a piece. They are recognised by a bit table of a fixed size; a wrong bit
-keeps a word, which costs time and changes nothing.
+three words to its last three, and its weight is its number of occurrences. The texts give
+edges, and where a piece ends the shorter phrases there. The occurrences of a shorter
+phrase are the flow out of it, that is the edges that begin with it, plus those at ends.
+So the phrases of three words are summed from the edges, those of two from them, and
+single words from those of two.
+
+A phrase with fewer occurrences than a candidate needs is in no candidate and in no part
+of one, so it ends a piece for all longer ones. Three passes over the coded words find the
+frequent words, then the frequent pairs of these, then the frequent triples of these, each
+as a bit table of a bounded size, from hashes. A wrong bit keeps a phrase, which costs time
+and changes nothing. What is left to count by its text is little more than the candidates.
 
 Among the edges that can be candidates, a node that one edge enters and one leaves, both
 with all its occurrences, is inside a unary path. Paths are compacted into one long phrase
@@ -35,13 +37,12 @@ WORDS, LEAST, TOP = 4, 30, 2000
 INSIDE = 80
 #: Scores are parts of this.
 SCALE = 2_000_000
-#: Bits for each frequent word, and the most bits of the table (16 MB).
-BITS_OF_WORD, MOST_BITS = 16, 1 << 27
-#: Bytes of text counted together, rows of one batch handed to Spark.
-TOGETHER, BATCH = 32 << 20, 200_000
+#: Bits for each frequent phrase, and the most bits of a table (16 MB).
+BITS_OF_PHRASE, MOST_BITS = 16, 1 << 27
+#: Bytes of text coded together, counts merged together, rows of one batch handed to Spark.
+TOGETHER, MERGED, BATCH = 4 << 20, 2_000_000, 100_000
 #: Language of rows without one.
 UNKNOWN = "und"
-_MASK = (1 << 64) - 1
 #: Bits in one piece of the table: the size that Spark's bitmap functions build.
 _PIECE = 32_768
 
@@ -88,77 +89,127 @@ def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Ar
         yield from parts(held)
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for lang, texts in _by_language(batches):
-        words, _ = _words(texts)
-        n = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
-        for i in range(0, len(n), BATCH):
-            part = words.dictionary[i:i + BATCH]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(part), pa.string()), part.cast(pa.string()), pa.array(n[i:i + BATCH])],
-                names=["lang", "word", "n"])
+_CODED = [("lang", "string", pa.string()), ("words", "string", pa.large_string()), ("n", "bigint", pa.int64()),
+          ("hashes", "binary", pa.binary()), ("codes", "binary", pa.binary()), ("follows", "binary", pa.binary())]
 
 
-def _frequent(lang: str, words: pa.Array, table: np.ndarray) -> np.ndarray:
-    """Whether each word's bit is set."""
+def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Some texts of a language as one row: their different words, and all words in order by number."""
     import xxhash
 
-    seed = xxhash.xxh64_intdigest(lang.encode(), 42)
-    digest = xxhash.xxh64_intdigest
-    # One string for all words: none of them holds a line feed.
-    whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
-                           pa.scalar("\n", words.type))[0].as_py()
-    h = np.array([digest(w, seed) for w in whole.encode().split(b"\n")[:len(words)]], dtype=np.uint64)
+    for lang, texts in _by_language(batches):
+        words, piece = _words(texts)
+        there = words.dictionary
+        # One string for all words: none of them holds a line feed.
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(there)], pa.int32()), there),
+                                pa.scalar("\n", there.type))
+        seed, digest = xxhash.xxh64_intdigest(lang.encode(), 42), xxhash.xxh64_intdigest
+        own = joined[0].as_py().encode().split(b"\n")[:len(there)]
+        hashes = np.array([digest(w, seed) for w in own], dtype="<u8")
+        values = [lang, joined[0].as_py(), len(words), hashes.tobytes(), words.indices.to_numpy().astype("<i4").tobytes(),
+                  np.packbits(np.diff(piece) == 0).tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, _, t) in zip(values, _CODED)],
+                                         names=[name for name, _, _ in _CODED])
+
+
+def _set(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether the bit of each hash is set."""
     bit = h & np.uint64(8 * len(table) - 1)
     return (table[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _count_edges(table):
-    """The function that counts edges, and shorter phrases at ends, between rare words."""
+def _longer(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of a phrase from that of all but its last word, and of that word."""
+    x = h * np.uint64(0x9E3779B97F4A7C15) + word
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ x >> np.uint64(32)
+
+
+def _phrases(codes: bytes, hashes: bytes, follows: bytes, tables: list[np.ndarray]):
+    """Codes, and for each size up to one more than ``tables`` the places where a phrase begins, and hashes.
+
+    Phrases of a size that has a table are those with their bit set; longer ones are those
+    whose first and last words but one are such phrases.
+    """
+    at = np.frombuffer(codes, "<i4").astype(np.int64)
+    word = np.frombuffer(hashes, "<u8")[at]
+    same = np.unpackbits(np.frombuffer(follows, np.uint8), count=max(0, len(at) - 1)).astype(bool)
+    place, h = np.arange(len(at)), word
+    found = []
+    for size, table in enumerate(tables, 1):
+        ok = _set(table, h)
+        place, h = place[ok], h[ok]
+        found.append((place, h))
+        near = np.flatnonzero(np.diff(place) == 1)
+        near = near[same[place[near]]] if size == 1 else near
+        place = place[near]
+        h = _longer(h[near], word[place + size])
+    return at, [*found, (place, h)]
+
+
+def _tables(given) -> list[np.ndarray]:
+    return [np.frombuffer(t.value, np.uint8) for t in given]
 
-    def grams(words: pa.Array, columns: list[np.ndarray], n: np.ndarray, lang: str) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(n), BATCH):
-            parts = [words.take(pa.array(c[i:i + BATCH])) for c in columns]
-            joined = pc.binary_join_element_wise(*parts, pa.scalar(" ", words.type)) if len(parts) > 1 else parts[0]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(joined), pa.string()), pa.array(np.full(len(joined), len(columns), np.int32)),
-                 joined.cast(pa.string()), pa.array(n[i:i + BATCH])], names=["lang", "size", "phrase", "n"])
 
+def _count_hashes(given):
+    """The function that counts the hashes of the phrases one word longer than the last table's."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(table.value, np.uint8)
-        for lang, texts in _by_language(batches):
-            coded, piece = _words(texts)
-            at = coded.indices.to_numpy()
-            kept = np.flatnonzero(_frequent(lang, coded.dictionary, bits)[at]) if len(at) else at
-            word, piece = at[kept].astype(np.int64), piece[kept]
-            # The place has a follower: the next word, frequent and of the same piece.
-            more = np.zeros(len(kept), dtype=bool)
-            more[:-1] = (np.diff(kept) == 1) & (np.diff(piece) == 0)
-            base = len(coded.dictionary)
-            # Numbers of the word pairs; two of them are an edge.
-            pairs, of_pair = np.unique(word[:-1][more[:-1]] * base + word[1:][more[:-1]], return_inverse=True)
-            pair = np.full(len(kept), -1)
-            pair[more] = of_pair
-            first, second = np.divmod(pairs, base) if base else (pairs, pairs)
-            i = np.flatnonzero(more)
-            i = i[i + 2 < len(kept)]
-            i = i[more[i + 1] & more[i + 2]]
-            edges, n = np.unique(pair[i] * max(1, len(pairs)) + pair[i + 2], return_counts=True)
-            a, b = np.divmod(edges, max(1, len(pairs)))
-            yield from grams(coded.dictionary, [first[a], second[a], first[b], second[b]], n, lang)
-            # At an end: the last word, the last two and the last three of the piece.
-            i = np.flatnonzero(~more)
-            ends, n = np.unique(word[i], return_counts=True)
-            yield from grams(coded.dictionary, [ends], n, lang)
-            i = i[i > 0]
-            i = i[more[i - 1]]
-            ends, n = np.unique(pair[i - 1], return_counts=True)
-            yield from grams(coded.dictionary, [first[ends], second[ends]], n, lang)
-            i = i[i > 1]
-            i = i[more[i - 2]]
-            ends, n = np.unique(pair[i - 2] * max(1, base) + word[i], return_counts=True)
-            a, b = np.divmod(ends, max(1, base))
-            yield from grams(coded.dictionary, [first[a], second[a], b], n, lang)
+        tables = _tables(given)
+        h, n = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+        def batch() -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(h), BATCH):
+                yield pa.RecordBatch.from_arrays([pa.array(h[i:i + BATCH].view(np.int64)), pa.array(n[i:i + BATCH])], names=["h", "n"])
+
+        for part in batches:
+            for codes, hashes, follows in zip(part["codes"], part["hashes"], part["follows"]):
+                _, found = _phrases(codes.as_py(), hashes.as_py(), follows.as_py(), tables)
+                new, times = np.unique(found[-1][1], return_counts=True)
+                every, where = np.unique(np.concatenate([h, new]), return_inverse=True)
+                n = np.bincount(where, np.concatenate([n, times]), len(every)).astype(np.int64)
+                h = every
+                if len(h) > MERGED:
+                    yield from batch()
+                    h, n = h[:0], n[:0]
+        yield from batch()
+
+    return run
+
+
+def _count_edges(given):
+    """The function that counts edges, and at every other place the longest frequent phrase there."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = _tables(given)
+        for part in batches:
+            for i in range(part.num_rows):
+                row = {c: part[c][i].as_py() for c in ("lang", "words", "codes", "hashes", "follows")}
+                at, found = _phrases(row["codes"], row["hashes"], row["follows"], tables)
+                words = pa.array(row["words"].split("\n"), pa.string())
+                longest = np.zeros(len(at), dtype=np.int8)
+                for size, (place, _) in enumerate(found, 1):
+                    longest[place] = size
+                for size in range(1, len(found) + 1):
+                    place = np.flatnonzero(longest == size)
+                    # Equal phrases, one word more at a time.
+                    key, kinds = at[place], []
+                    for more in range(1, size):
+                        kind, key = np.unique(key, return_inverse=True)
+                        kinds.append(kind)
+                        key = key * len(words) + at[place + more]
+                    kind, n = np.unique(key, return_counts=True)
+                    columns = []
+                    for before in reversed(kinds):
+                        kind, last = np.divmod(kind, len(words))
+                        columns.append(last)
+                        kind = before[kind]
+                    columns = [kind, *reversed(columns)]
+                    for j in range(0, len(n), BATCH):
+                        own = [words.take(pa.array(c[j:j + BATCH])) for c in columns]
+                        joined = pc.binary_join_element_wise(*own, " ") if size > 1 else own[0]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([row["lang"]] * len(joined), pa.string()), pa.array(np.full(len(joined), size, np.int32)),
+                             joined, pa.array(n[j:j + BATCH])], names=["lang", "size", "phrase", "n"])
 
     return run
 
@@ -188,32 +239,37 @@ def _last(words: int, phrase: str = "phrase") -> Column:
     return F.substring_index(phrase, " ", -words)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """``lang, word, n`` of ``docs(lang, text)``: every word, small letters, and its occurrences."""
-    return (_texts(docs).mapInArrow(_count_words, "lang string, word string, n bigint")
-            .groupBy("lang", "word").agg(F.sum("n").alias("n")))
+def coded(docs: DataFrame) -> DataFrame:
+    """Texts of ``docs(lang, text)`` cut into words, some megabytes of a language to a row."""
+    texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), "text").where("text is not null")
+    return pin(texts.mapInArrow(_code, ", ".join(f"{name} {kind}" for name, kind, _ in _CODED)), "coded")
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), "text").where("text is not null")
-
-
-def edge_counts(docs: DataFrame, words: DataFrame, least: int = LEAST) -> DataFrame:
-    """``lang, size, phrase, n``: edges (``size`` 4) and shorter phrases at ends, of frequent words."""
-    spark = docs.sparkSession
-    often = words.where(F.col("n") >= least)
+def bit_table(counts: DataFrame, least: int) -> bytes:
+    """Bits of the hashes ``h`` with at least ``least`` occurrences; 16 MB at most come to the driver."""
+    often = pin(counts.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h"), "often")
     bits = _PIECE
-    while bits < min(MOST_BITS, BITS_OF_WORD * often.count()):
+    while bits < min(MOST_BITS, BITS_OF_PHRASE * often.count()):
         bits *= 2
-    bit = F.xxhash64("lang", "word").bitwiseAND(F.lit(bits - 1))
+    bit = F.col("h").bitwiseAND(F.lit(bits - 1))
     pieces = often.select(bit.alias("bit")).groupBy(F.expr(f"bit div {_PIECE}").alias("piece")).agg(
-        F.bitmap_construct_agg(F.col("bit") % _PIECE).alias("bits")).collect()  # 16 MB at most
+        F.bitmap_construct_agg(F.col("bit") % _PIECE).alias("bits")).collect()
     table = np.zeros((bits // _PIECE, _PIECE // 8), dtype=np.uint8)
     for row in pieces:
         table[row.piece] = np.frombuffer(row.bits, np.uint8)
-    counted = _texts(docs).mapInArrow(_count_edges(spark.sparkContext.broadcast(table.tobytes())),
-                                      "lang string, size int, phrase string, n bigint")
-    return counted.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
+    return table.tobytes()
+
+
+def edge_counts(words: DataFrame, least: int = LEAST) -> DataFrame:
+    """``lang, size, phrase, n`` of ``coded`` texts: edges (``size`` 4) and shorter phrases at ends."""
+    context, tables = words.sparkSession.sparkContext, []
+    parts = words.select("codes", "hashes", "follows")
+    for _ in range(WORDS - 1):
+        counts = parts.mapInArrow(_count_hashes(list(tables)), "h bigint, n bigint")
+        tables.append(context.broadcast(bit_table(counts, least)))
+    found = (words.select("lang", "words", "codes", "hashes", "follows")
+             .mapInArrow(_count_edges(tables), "lang string, size int, phrase string, n bigint"))
+    return found.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
 
 
 def flows(edges: DataFrame) -> dict[int, DataFrame]:
@@ -280,8 +336,8 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     at every size; ``least`` must be 1 or more.
     """
     docs = docs.select("lang", "text")
-    words = pin(word_counts(docs), "words")
-    edges = pin(edge_counts(docs, words, least), "edges")
+    words = coded(docs)
+    edges = pin(edge_counts(words, least), "edges")
     often = {size: f.where(F.col("n") >= least) for size, f in flows(edges).items()}
     paths, inside = unary_paths(pin(often[WORDS], "often"), often[WORDS - 1])
     tokens = F.split("phrase", " ")
