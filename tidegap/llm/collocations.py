@@ -40,7 +40,7 @@ SCALE = 2_000_000
 #: Bits for each frequent phrase, and the most bits of a table (16 MB).
 BITS_OF_PHRASE, MOST_BITS = 16, 1 << 27
 #: Bytes of text coded together, counts merged together, rows of one batch handed to Spark.
-TOGETHER, MERGED, BATCH = 4 << 20, 2_000_000, 100_000
+TOGETHER, MERGED, BATCH = 4 << 20, 1_000_000, 100_000
 #: Language of rows without one.
 UNKNOWN = "und"
 #: Bits in one piece of the table: the size that Spark's bitmap functions build.
@@ -68,25 +68,28 @@ def _words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     end = np.flatnonzero(gap & np.concatenate([[False], ~gap[:-1]]))
     offsets = np.concatenate([[0], np.cumsum(end - start)])
     words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[~gap]))
-    return words.dictionary_encode(), np.cumsum(mark, dtype=np.int64)[start]
+    return words.dictionary_encode(), np.cumsum(mark, dtype=np.int32)[start]
 
 
 def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array]]:
-    """Texts of one language each, some at a time."""
-    def parts(held: list[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array]]:
-        table = pa.Table.from_batches(held)
-        for lang in pc.unique(table["lang"]).to_pylist():
-            yield lang, table.filter(pc.equal(table["lang"], lang))["text"].combine_chunks()
-
-    held, size = [], 0
+    """Texts of one language each, about ``TOGETHER`` bytes at a time, four times that in all."""
+    held: dict[str, list[pa.Array]] = {}
+    size: dict[str, int] = {}
     for batch in batches:
-        held.append(batch)
-        size += batch.nbytes
-        if size >= TOGETHER:
-            yield from parts(held)
-            held, size = [], 0
-    if held:
-        yield from parts(held)
+        ends = pc.cumulative_sum(pc.binary_length(batch["text"]).cast(pa.int64())).to_numpy()
+        cuts = np.searchsorted(ends, np.arange(TOGETHER, ends[-1], TOGETHER)).tolist() if len(ends) else []
+        for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows]):
+            part = batch.slice(lo, hi - lo)
+            for lang in pc.unique(part["lang"]).to_pylist():
+                own = part["text"].filter(pc.equal(part["lang"], lang))
+                held.setdefault(lang, []).append(own)
+                size[lang] = size.get(lang, 0) + own.nbytes
+            full = sum(size.values()) >= 4 * TOGETHER
+            for lang in [x for x, n in size.items() if full or n >= TOGETHER]:
+                yield lang, pa.concat_arrays(held.pop(lang))
+                del size[lang]
+    for lang, parts in held.items():
+        yield lang, pa.concat_arrays(parts)
 
 
 _CODED = [("lang", "string", pa.string()), ("words", "string", pa.large_string()), ("n", "bigint", pa.int64()),
