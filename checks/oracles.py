@@ -306,6 +306,16 @@ SELECT CAST(split_part(series_id, '@', 2) AS DOUBLE) AS missing_ratio, k, d, v,
        round(sqrt(avg(err * err)), 6) AS rmse FROM results GROUP BY ALL"""),
     "csv_round_trip": sql(TYPE_SERIES, f"""
 SELECT series_id, idx, slot * {HOUR // 1_000_000} AS epoch_sec, value FROM series"""),
+    "csv_rejects": sql(TYPE_HOUR + [f"""cells AS (
+  SELECT series_id, strftime(make_timestamp(slot * {HOUR}), '%Y-%m-%d %H:%M:%S') AS time, idx % 13 AS kind,
+    CAST(CAST(coalesce(value, -1) AS DECIMAL(20, 1)) AS VARCHAR) AS n FROM raw)"""], """
+SELECT CASE kind WHEN 3 THEN 'time' WHEN 4 THEN 'time' WHEN 5 THEN 'count' WHEN 7 THEN 'columns' WHEN 8 THEN 'columns'
+         ELSE '' END AS reason,
+  CASE kind WHEN 3 THEN series_id || ',yesterday,n/a' WHEN 4 THEN series_id || ',,' || n
+    WHEN 5 THEN series_id || ',' || time || ',n/a' WHEN 6 THEN series_id || '|' || time || '|'
+    WHEN 7 THEN series_id || ',' || time || ',' || n || ',more' WHEN 8 THEN series_id
+    ELSE series_id || '|' || time || '|' || n END AS line
+FROM cells"""),
     "variant_source": sql(LI_MASKED + masked(0.25, "plain"), """
 SELECT series_id, idx, value FROM series"""),
     "results_tagged": sql(ROBUST_SQL, """
@@ -321,7 +331,8 @@ SELECT k, d, v, round(sqrt(avg(err * err)), 6) AS rmse, round(avg(abs(err)), 6)
 FROM results GROUP BY ALL"""),
     "knn_predict_fractional": sql(
         [f"""counts AS (
-  SELECT 'all' AS series_id, epoch_us(ts) // {HOUR} AS slot, round(avg(value), 1) AS value
+  SELECT 'all' AS series_id, epoch_us(ts) // {HOUR} AS slot,
+    floor((sum(round(value * 100)::BIGINT) * 2 + count(value) * 10) / (count(value) * 20)) / 10 AS value
   FROM events WHERE ts IS NOT NULL GROUP BY 1, 2)"""] + raw(24) + trimmed(24) + stats(24) + holdout(24)
         + candidates(24, WIDTH, max(V)) + distances(WIDTH, D) + predictions(K, D, V), """
 SELECT series_id, q_idx, k, d, v, round(prediction, 6) AS prediction FROM predictions"""),
@@ -406,5 +417,9 @@ ORACLES["impute_5min"] = sql(
 SELECT s.series_id, s.idx, round(coalesce(s.value, p.prediction), 9) AS value, round(p.prediction, 9) AS imputed,
        s.value IS NULL AND p.prediction IS NOT NULL AS is_imputed
 FROM series s LEFT JOIN predictions p ON p.series_id = s.series_id AND p.q_idx = s.idx""")
+# Every offset of the 90 triples of the default grid: some tens of seconds at sf0.01.
+ORACLES["grid_5min"] = sql(
+    EV_5MIN + trimmed(288) + stats(288) + holdout(288) + candidates(288, 272, 32) + wide(272, [4, 8, 16, 32, 64, 128])
+    + predictions([4, 8, 16], [4, 8, 16, 32, 64, 128], [0, 4, 8, 16, 32]), SCORES)
 ORACLES["results_union"] = _union()
 ORACLES["gap_distance_hof"] = ORACLES["gap_distance_joins"] = ORACLES["gap_distance"]

@@ -17,8 +17,8 @@ from tidegap.operators.series import (build_series, missing_ratio, missing_slots
 from tidegap.plans.grid import Grid, exp_ranges, param_grid
 from tidegap.plans.imputation import impute, impute_by_best
 from tidegap.plans.search import knn_predict, parameter_search, robustness
-from tidegap.sources.tables import (COUNT, TIME, read_counts_csv, read_results, read_variant,
-                                    write_counts_csv, write_results, write_table, write_variant)
+from tidegap.sources.tables import (COUNT, TIME, read_counts, read_counts_csv, read_results, read_variant,
+                                    utc_text, write_counts_csv, write_results, write_table, write_variant)
 
 
 GRID = Grid([2, 4, 8], [2, 4, 8], [0, 2, 4])
@@ -226,6 +226,21 @@ def csv_round_trip(spark, folder):
     return _with_epoch(build_series(rows, TIME, HOUR_US, 24, F.max(observed(COUNT)), "SERIES"))
 
 
+def csv_rejects(spark, folder):
+    """Every line of count files with bad cells: read, or rejected for a reason."""
+    path = scratch_path(spark, "lines")
+    series, time = ev_type_hour(spark, folder, trim=False), utc_text(F.col("ts"))
+    kind = F.col("idx") % 13
+    cells = [F.col("series_id"), F.when(kind == 3, "yesterday").when(kind == 4, "").otherwise(time),
+             F.when(kind.isin(5, 3), "n/a").when(kind == 6, "").otherwise(F.coalesce("value", F.lit(-1.0)).cast("string"))]
+    line = F.concat(F.concat_ws(",", *cells), F.when(kind == 7, ",more").otherwise(""))
+    series.select(F.when(kind == 8, F.col("series_id")).otherwise(line).alias("line")).write.text(path)
+    rows, rejects = read_counts(spark, path, "AT", "N", "SERIES", columns=["SERIES", "AT", "N"])
+    return rejects.select("reason", "line").unionByName(rows.select(
+        F.lit("").alias("reason"), F.concat_ws("|", "SERIES", F.col("AT").cast("string"), F.coalesce(
+            F.col("N").cast("decimal(20,1)").cast("string"), F.lit(""))).alias("line")))
+
+
 def variant_source(spark, folder):
     path = scratch_path(spark, "variants")
     series = pin(li_day(spark, folder), "series")
@@ -254,8 +269,10 @@ def score_table(spark, folder):
 
 
 def ev_mean_hour(spark, folder):
-    """Mean value of the events of an hour: fractions, where the others are counts."""
-    return build_series(_rows(spark, folder, "events"), "ts", HOUR_US, 24, F.round(F.avg("value"), 1), trim=True)
+    """Mean value of the events of an hour in tenths, by whole cents: fractions, where the others are counts."""
+    cents = F.sum(F.round(F.col("value") * 100).cast("bigint"))
+    tenths = F.floor((cents * 2 + F.count("value") * 10) / (F.count("value") * 20))
+    return build_series(_rows(spark, folder, "events"), "ts", HOUR_US, 24, tenths / 10, trim=True)
 
 
 def predictions_fractional(spark, folder):
@@ -334,6 +351,7 @@ QUERIES = {
     "remaining_missing": remaining,
     "rmse_by_missing_ratio": ratio_scores,
     "csv_round_trip": csv_round_trip,
+    "csv_rejects": csv_rejects,
     "variant_source": variant_source,
     "results_tagged": results_tagged,
     "table_hand_over": table_hand_over,

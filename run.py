@@ -7,7 +7,8 @@
 ``search`` writes ``out/results`` (errors of every triple), ``out/scores`` and
 ``out/best_rows``, each with one partition per missing ratio; a repeated search replaces
 that of the same ratio. ``impute`` writes ``out/filled``
-(Parquet) and ``out/csv``.
+(Parquet) and ``out/csv``. Both write lines that cannot be read to ``out/rejects``, with
+the reason, and go on without them.
 """
 
 from __future__ import annotations
@@ -20,11 +21,11 @@ from tidegap.cluster import clear_scratch, pin
 from tidegap.operators.filling import write_back
 from tidegap.operators.sampling import mask_to_ratio
 from tidegap.operators.scoring import best_params, best_rows, scores
-from tidegap.operators.series import build_series, observed, rows_without_time, trim_series
+from tidegap.operators.series import build_series, observed, trim_series
 from tidegap.plans.grid import CHOSEN, TRIAL_GRID
 from tidegap.plans.imputation import impute
 from tidegap.plans.search import parameter_search
-from tidegap.sources.tables import (COUNT, TIME, read_counts_csv, read_results, read_variant,
+from tidegap.sources.tables import (COUNT, TIME, read_counts, read_results, read_variant,
                                     write_counts_csv, write_of_ratio, write_results, write_table)
 
 
@@ -49,9 +50,11 @@ def arguments(args: list[str] | None = None) -> argparse.Namespace:
 
 
 def _untrimmed(spark: SparkSession, a: argparse.Namespace):
-    rows = read_counts_csv(spark, a.counts, a.time_column, a.count_column, a.series_column)
-    if lost := rows_without_time(rows, a.time_column):
-        print(f"{lost} rows have no readable time and are left out")
+    rows, rejects = read_counts(spark, a.counts, a.time_column, a.count_column, a.series_column)
+    rejects = pin(rejects, "rejects")
+    for row in rejects.groupBy("reason").count().orderBy("reason").collect():  # three at most
+        print(f"{row['count']} lines are left out: {row.reason}")
+    rejects.write.mode("overwrite").parquet(f"{a.out}/rejects")
     return build_series(rows, a.time_column, a.step_seconds * 1_000_000, a.period,
                         F.max(observed(a.count_column)), a.series_column)
 

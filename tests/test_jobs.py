@@ -60,3 +60,11 @@ def test_search_can_be_repeated(spark, counts, tmp_path):
         by = {r.missing_ratio: r["count"] for r in spark.read.parquet(f"{out}/{name}").groupBy("missing_ratio").count().collect()}
         assert sorted(by) == [0.2, 0.3] and by[0.2] == by[0.3]
     assert by[0.2] * 36 == spark.read.parquet(f"{out}/results").where("missing_ratio = 0.2").count()
+
+
+def test_unreadable_lines_do_not_end_a_job(spark, counts, tmp_path):
+    bad = tmp_path / "bad.csv"
+    bad.write_text(open(counts).read() + "yesterday,3\n2005-04-12 00:00:00,n/a\n2005-04-12 00:00:00\n")
+    main(["impute", str(bad), str(tmp_path / "out"), "--k", "4", "--d", "4", "--v", "2", *HOURLY])
+    assert sorted(r.reason for r in spark.read.parquet(str(tmp_path / "out" / "rejects")).collect()) == ["columns", "count", "time"]
+    assert spark.read.parquet(str(tmp_path / "out" / "filled")).count() == 30 * 24 + 5

@@ -8,7 +8,7 @@ from checks.oracles import ORACLES
 from checks.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-WITHOUT_SQL = {"grid_5min"}  # every offset of 90 triples; see test_forms
+WITHOUT_SQL = set()
 
 
 @pytest.fixture(scope="module")

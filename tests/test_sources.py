@@ -6,7 +6,7 @@ from tidegap.functions.timegrid import MINUTE_US
 from tidegap.operators.series import build_series, observed, rows_without_time
 from tidegap.plans.grid import Grid
 from tidegap.plans.search import parameter_search
-from tidegap.sources.tables import (COUNT, TIME, read_counts_csv, read_results, read_variant,
+from tidegap.sources.tables import (COUNT, TIME, read_counts, read_counts_csv, read_results, read_variant,
                                     write_counts_csv, write_results, write_table, write_variant)
 
 
@@ -91,3 +91,36 @@ def test_a_repeated_run_counts_once(spark, make_series, tmp_path):
     for ratio in (0.05, 0.1, 0.05):
         write_results(found, path, ratio)
     assert read_results(spark, path).count() == 2 * found.count()
+
+
+LINES = ["AT,N,LANE", "2024-01-01 00:00:00,5,a", "yesterday,5,a", "2024-01-01 00:01:00,n/a,b", "2024-01-01 00:02:00,,b",
+         ",7,a", "2024-01-01 00:03:00", "2024-01-01 00:04:00,1,b,more", '2024-01-01 00:05:00," 8 ","x,y"', "2024-13-01 00:00:00,1,a",
+         "2024-01-01 00:06:00,NaN,a", "2024-01-01 00:07:00,-1,a"]
+
+
+def test_unreadable_lines_are_told(spark, tmp_path):
+    """Rows and rejects together are the lines; neither ends the job, in whatever way they are used."""
+    (tmp_path / "x.csv").write_text("\n".join(LINES) + "\n")
+    rows, rejects = read_counts(spark, str(tmp_path / "x.csv"), "AT", "N", "LANE")
+    told = sorted((r.reason, r.line) for r in rejects.collect())
+    assert told == [("columns", LINES[6]), ("columns", LINES[7]), ("count", LINES[3]), ("time", LINES[5]),
+                    ("time", LINES[8 + 1]), ("time", LINES[2])]
+    assert [(r.LANE, r.AT.minute, r.N) for r in rows.orderBy("AT").collect() if r.N == r.N] == [
+        ("a", 0, 5.0), ("b", 2, None), ("x,y", 5, 8.0), ("a", 7, -1.0)]
+    assert rows.count() + rejects.count() == len(LINES) - 1
+    assert rows.agg(F.max("N")).first()[0] is not None and rows.select("LANE").count() == rows.count()
+    assert {r.file.rsplit("/", 1)[1] for r in rejects.collect()} == {"x.csv"}
+
+
+def test_lines_without_header(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("\n".join(LINES[1:4]) + "\n")
+    rows, rejects = read_counts(spark, str(tmp_path / "x.csv"), "AT", "N", columns=["AT", "N", "LANE"])
+    assert rows.columns == ["AT", "N"] and rows.count() == 1 and rejects.count() == 2
+
+
+def test_only_rejects(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("COUNT_TIME,NUM_TOTAL\nx,y\n\n")
+    rows, rejects = read_counts(spark, str(tmp_path / "x.csv"))
+    assert rows.count() == 0 and [(r.reason, r.line) for r in rejects.collect()] == [("time", "x,y")]
+    series = build_series(rows, TIME, MINUTE_US, 2, F.max(observed(COUNT)))
+    assert series.count() == 0

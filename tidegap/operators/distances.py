@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidegap.cluster import task_count
 from tidegap.functions.windows import joint_offsets, ratio, shift_rank, side_sums
 from tidegap.operators.candidates import knn_candidates
 from tidegap.operators.season_blocks import Shape, tile_sides
@@ -61,8 +62,10 @@ def gap_distance_joins(queries: DataFrame, series: DataFrame, shape: Shape,
 
 def _array_candidates(queries: DataFrame, series: DataFrame, shape: Shape) -> DataFrame:
     """Candidates next to the arrays their windows are slices of."""
-    left, right = tile_sides(queries, series, shape)
+    left, right, _ = tile_sides(queries, series, shape)
     at = F.lit(shape.margin + 1) + F.col("slot")
+    # Few bytes and much work: leave the number of partitions to no estimate of bytes.
+    left = left.repartition(task_count(series.sparkSession), "series_id", "qc", "hc")
     windows = left.withColumn("slot", F.explode("slots")).select(
         "series_id", "qc", "hc", (F.col("q_season") * shape.period + F.col("slot")).alias("q_idx"),
         F.reverse(F.slice("q_vals", at - shape.width, shape.width)).alias("q_left"),

@@ -86,6 +86,32 @@ def predict(nearest: DataFrame, queries: DataFrame, k: list[int], d: list[int],
         "series_id", "q_idx", F.explode(answered).alias("k"), "d", "v", "prediction")
 
 
+def asked_grid(queries: DataFrame, k: list[int], d: list[int], v: list[int]) -> DataFrame:
+    """``series_id, q_idx, d, v, ks``: what is asked for every query of a grid."""
+    every = lambda values: F.explode(F.array(*map(F.lit, values)))
+    return queries.select("series_id", "q_idx", every(d).alias("d")).select(
+        "series_id", "q_idx", "d", every(v).alias("v"), F.array(*map(F.lit, sorted(k))).alias("ks"))
+
+
+def predict_lists(lists: DataFrame, asked: DataFrame) -> DataFrame:
+    """Mean of the nearest ``k`` for every ``k`` of ``asked(series_id, q_idx, d, v, ks)``.
+
+    ``lists`` holds candidates, nearest first, from any number of tiles; together they hold
+    the nearest ``max(ks)``. Fewer than ``k``: the mean of those; none: NULL. Lists are
+    merged whole, so a candidate is no row of its own.
+    """
+    nothing = F.array().cast(lists.schema["near"].dataType)
+    both = lists.select("series_id", "q_idx", "d", "v", "near", F.lit(None).cast("array<int>").alias("ks")).unionByName(
+        asked.select("series_id", "q_idx", "d", "v", nothing.alias("near"), "ks"))
+    # The order of the fields is that of the neighbours: distance, shift, season.
+    merged = both.groupBy("series_id", "q_idx", "d", "v").agg(
+        F.array_sort(F.flatten(F.collect_list("near"))).alias("near"), F.max("ks").alias("ks"))
+    n = F.least(F.col("k"), F.size("value"))
+    total = F.aggregate(F.slice("value", 1, n), F.lit(0.0), lambda acc, x: acc + x)
+    return merged.select("series_id", "q_idx", F.explode("ks").alias("k"), "d", "v", F.col("near.h_value").alias("value")).select(
+        "series_id", "q_idx", "k", "d", "v", F.when(n > 0, total / n).alias("prediction"))
+
+
 def reference_distances(distances: DataFrame, sentinel: float = -1.0) -> DataFrame:
     """Treat unusable candidates as very far ones that keep their missing mark.
 

@@ -1,129 +1,183 @@
 """Nearest neighbours tile by tile, for wide windows.
 
-Spark cuts queries and history into tiles (:mod:`tidegap.operators.season_blocks`)
-and shuffles them; a small NumPy function compares the slices of one tile and hands
-back only what can still be among the nearest ``max(k)``. A tile is bounded by the
-:class:`Shape`, whatever the length of the series.
+Spark cuts queries and history into tiles (:mod:`tidegap.operators.season_blocks`),
+deals them to tasks by their cost and streams them; a small NumPy function compares the
+seasons of one tile and hands back only what can still be among the nearest ``max(k)``.
+A tile is bounded by the :class:`Shape`, whatever the length of the series.
+
+Within a tile a query season and a history season are compared once for each shift. The
+windows of all queries of the season are ranges of that one row of differences: its joint
+slots are numbered, and running sums over them give the ``d`` nearest joint slots of any
+query on either side, with their weighted differences, by looking up the ends of a range.
+Decimal fractions are compared as whole numbers, so running sums are exact.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, functions as F
 
-from tidegap.operators.neighbours import MAX_DISTANCE, OWN_SLOT, PLACES, per_v
-from tidegap.operators.season_blocks import Shape, tile_sides
+from tidegap.operators.neighbours import MAX_DISTANCE, OWN_SLOT, PLACES
+from tidegap.operators.season_blocks import OWN, Shape, dealt_tiles
 
 _SCHEMA = (
-    "series_id string, q_idx bigint, d int, ring int, dist double, "
-    "shift_rank int, season int, h_value double"
+    "series_id string, q_idx bigint, d int, v int, "
+    "near array<struct<dist:double,shift_rank:int,season:int,h_value:double>>"
 )
 # Array elements compared at a time; small enough for a processor cache.
 _BATCH = 1 << 16
+# Distances kept at a time while the nearest are chosen.
+_DISTANCES = 1 << 23
+# Decimal places up to which values are compared as whole numbers.
+_DECIMALS = 6
 
 
-def _tile_function(shape: Shape, k: list[int], d: list[int], v: list[int],
-                   sentinel: float | None):
-    """The function for one tile. It is a closure so that workers need no import."""
-    period, width, max_shift, margin = shape.period, shape.width, shape.max_shift, shape.margin
-    d, v, k_max, batch = sorted(d), sorted(v), max(k), _BATCH
-    far_away, own_mark, scale = MAX_DISTANCE, OWN_SLOT, 10.0**PLACES
+def _range_sums(diff, centre, reach: int, d: list[int]):
+    """Weighted difference and weight of both sides for each row, query and ``d``.
 
-    def side_sums(diff):
-        """Per ``d``: weighted difference and weight of one side, nearest first."""
-        import numpy as np
+    ``diff`` holds a row of absolute differences for each pair of seasons and shift, NaN
+    where a slot is not joint; ``centre`` the column of each query. Also tells where fewer
+    than ``max(d)`` joint slots lie within ``reach`` on a side.
+    """
+    import numpy as np
 
-        valid = ~np.isnan(diff)
-        found = valid.sum(axis=1)
-        start = found.cumsum() - found
-        # The joint offsets of all rows, one row after the other; 0 ends the list.
-        j, x = np.zeros((2, found.sum() + 1))
-        j[:-1] = np.broadcast_to(np.arange(1.0, diff.shape[1] + 1), diff.shape)[valid]
-        x[:-1] = diff[valid]
-        kept = np.minimum(found[:, None], d)
-        steps = np.concatenate([np.zeros((len(diff), 1), kept.dtype), kept], axis=1)
-        marks = start[:, None] + steps
-        filled = np.diff(steps, axis=1) > 0
-
-        def first_d(a):
-            parts = np.add.reduceat(a, marks.ravel()).reshape(marks.shape)[:, :-1]
-            return np.where(filled, parts, 0.0).cumsum(axis=1)
-
-        ends = j[start][:, None] + j[np.maximum(start[:, None] + kept - 1, 0)]
-        some = kept > 0
-        return (np.where(some, ends * first_d(x) - first_d(x * j), 0.0),
-                np.where(some, ends * kept - first_d(j), 0.0), found)
-
-    def distances(sides, rows, reach):
-        """Distance per candidate and ``d``; looks further where ``d`` are not found."""
-        import numpy as np
+    joint = ~np.isnan(diff)
+    flat = np.flatnonzero(joint)
+    x = diff.ravel()[flat]
+    place = (flat % diff.shape[1]).astype(diff.dtype)
+    before = np.zeros((3, len(x) + 1), dtype=diff.dtype)
+    np.cumsum(x, out=before[0, 1:])
+    np.cumsum(x * place, out=before[1, 1:])
+    np.cumsum(place, out=before[2, 1:])
+    place = np.append(place, 0)
+    upto = joint.cumsum(axis=1, dtype=np.int32)
+    start = (np.append(0, upto[:-1, -1].cumsum(dtype=np.int64)) if len(upto) else np.empty(0, np.int64))[:, None]
+    lowest = np.where(centre - reach >= 1, centre - reach - 1, -1)
+    found_right = upto[:, np.minimum(centre + reach, diff.shape[1] - 1)] - upto[:, centre]
+    left_end = upto[:, np.maximum(centre - 1, 0)] * (centre >= 1)
+    found_left = left_end - upto[:, np.maximum(lowest, 0)] * (lowest >= 0)
+    num = np.zeros((len(d), *found_left.shape), dtype=diff.dtype)
+    den = np.zeros_like(num)
+    for to_right, found, edge in ((True, found_right, start + upto[:, centre]), (False, found_left, start + left_end)):
+        first = place[edge] if to_right else place[np.maximum(edge - 1, 0)]
+        for i, one in enumerate(d):
+            n = np.minimum(found, one)
+            lo, hi = (edge, edge + n) if to_right else (edge - n, edge)
+            total, by_place, places = (b[hi] - b[lo] for b in before)
+            last = place[np.maximum(hi - 1, 0)] if to_right else place[lo]
+            # Offsets are distances of places from the centre.
+            ends, sign = (first + last - 2 * centre, 1) if to_right else (2 * centre - first - last, -1)
+            num[i] += ends * total - sign * (by_place - centre * total)
+            den[i] += ends * n - sign * (places - centre * n)
+    return num, den, np.minimum(found_left, found_right) < d[-1]
+
+
+def _unit(*tables) -> float:
+    """Power of ten that makes all values whole and keeps running sums exact, or 0."""
+    import numpy as np
 
-        asked, b, c, lag = rows
-        # Rows lie query by query; one row serves all of them when there is one query.
-        asked = asked[:1] if asked[0] == asked[-1] else asked
-        sums = []
-        for (history, query), own in zip(sides, (lag, -lag)):
-            diff = np.abs(history[b, c, :reach] - query[asked, :reach])
-            # Where the window meets the query's own slot, which counts as missing.
-            hit = np.flatnonzero((own >= 1) & (own <= reach))
-            diff[hit, own[hit] - 1] = np.nan
-            sums.append(side_sums(diff))
-        (num_l, den_l, found_l), (num_r, den_r, found_r) = sums
-        with np.errstate(invalid="ignore"):
-            dist = (num_l + num_r) / (den_l + den_r)
-        more = np.flatnonzero((found_l < d[-1]) | (found_r < d[-1]))
-        if reach < width and len(more):
-            dist[more] = distances(sides, [r[more] for r in rows], min(width, 4 * reach))
-        return dist
-
-    def neighbours(q_season, slots, q_vals, vals, season, n_slots, reach):
-        """Candidates of some queries of a season that may be among their nearest."""
+    largest = max((float(np.nanmax(np.abs(t), initial=0)) for t in tables if t.size), default=0.0)
+    for places in range(_DECIMALS + 1):
+        unit = 10.0**places
+        if 2 * largest * unit * _BATCH * max(t.shape[-1] for t in tables) >= 2**53:
+            break
+        if all(np.array_equal(np.rint(t * unit) / unit, t, equal_nan=True) for t in tables):
+            return unit
+    return 0.0
+
+
+def _tile_function(shape: Shape, k: list[int], d: list[int], v: list[int], sentinel: float | None):
+    """The function for one tile. With parameters in the rows, ``k``, ``d`` and ``v`` are theirs."""
+    period, margin = shape.period, shape.margin
+
+    def neighbours(q_season, slots, q_vals, vals, season, n_slots, unit, reach, width, max_shift, k_max, d, rings):
+        """The nearest candidates of some queries of a season for each ``d`` and number of rings.
+
+        Yields the number of rings less one, query, ``d`` and number of its candidates for
+        each list, and the columns of the candidates, list after list.
+        """
         import numpy as np
 
         shifts = np.arange(-max_shift, max_shift + 1)
-        around = np.lib.stride_tricks.sliding_window_view
-        history = around(vals, 2 * width + 1, axis=1)
-        query = around(q_vals, 2 * width + 1)[slots + max_shift]
-        # Both sides, nearest slot first.
-        sides = [(history[..., side], query[..., side])
-                 for side in (slice(width - 1, None, -1), slice(width + 1, None))]
         q_idx = q_season * period + slots
-        place = slots[:, None] + shifts + max_shift
         h_idx = season[:, None] * period + (slots[:, None] + shifts)[:, None, :]
         lag = h_idx - q_idx[:, None, None]
-        value = np.moveaxis(vals[:, place + width], 0, 1)
-        value[lag == 0] = np.nan
+        value = np.moveaxis(vals[:, slots[:, None] + shifts + margin], 0, 1)
+        value = np.where(lag == 0, np.nan, value)
         inside = (h_idx >= width) & (h_idx + width <= n_slots - 1)
-        asked, b, s = (inside & ~np.isnan(value)).nonzero()
-        rows = [asked, b, place[asked, s], lag[asked, b, s]]
-        dist = np.full((*lag.shape, len(d)), np.inf)
-        step = max(1, batch // reach)
-        for lo in range(0, len(b), step):
-            some = slice(lo, lo + step)
-            found = distances(sides, [r[some] for r in rows], reach)
-            dist[asked[some], b[some], s[some]] = np.where(np.isnan(found), np.inf, found)
+        usable = inside & ~np.isnan(value)
+        scaled = (np.rint(vals * unit), np.rint(q_vals * unit)) if unit else (
+            vals.astype(np.longdouble), q_vals.astype(np.longdouble))
+        dist = np.full((len(d), len(slots), len(season), len(shifts)), np.inf)
+
+        def compare(history, of, wanted, reach):
+            """Distances of the queries ``of`` to ``wanted`` (query, season, shift) of ``history``."""
+            centre = slots[of] + margin
+            lo = max(0, centre.min() - reach)
+            query = scaled[1][lo:centre.max() + reach + 1]
+            windows = np.lib.stride_tricks.sliding_window_view(history, len(query), axis=1)
+            b, s = wanted.any(axis=0).nonzero()
+            step = max(1, _BATCH // len(query))
+            for at in range(0, len(b), step):
+                bs, ss = b[at:at + step], s[at:at + step]
+                diff = np.abs(windows[bs, lo + shifts[ss]] - query)
+                num, den, few = _range_sums(diff, centre - lo, reach, d)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    found = (num / (den * (unit or 1.0))).astype(float)
+                found = np.where(den > 0, found, np.inf)
+                asked = wanted[:, bs, ss]
+                place = (slice(None), of[:, None], bs, ss)
+                dist[place] = np.where(asked, found.transpose(0, 2, 1), dist[place])
+                if reach < width and (few := few.T & asked).any():
+                    further = np.zeros_like(wanted)
+                    further[:, bs, ss] = few
+                    compare(history, of, further, min(width, 4 * reach))
+
+        # Where windows may meet the query's own slot, which counts as missing for it alone.
+        close = np.abs(season - q_season) * period <= width + max_shift
+        every = np.arange(len(slots))
+        compare(scaled[0], every, usable & ~close[None, :, None], reach)
+        for q in every if close.any() else ():
+            own = np.where(close, (q_season - season) * period + slots[q] + margin, -1)
+            rows = np.flatnonzero((own >= 0) & (own < vals.shape[1]))
+            history = scaled[0].copy() if len(rows) else scaled[0]
+            history[rows, own[rows]] = np.nan
+            compare(history, every[q:q + 1], usable[q:q + 1] & close[None, :, None], reach)
+
         if sentinel is not None:
-            dist[inside & np.isinf(dist[..., 0])] = far_away
-            value = np.where(lag == 0, own_mark, np.where(np.isnan(value), sentinel, value))
-        dist = np.floor(dist * scale + 0.5) / scale
+            dist[np.broadcast_to(inside, dist.shape) & np.isinf(dist[:1])] = MAX_DISTANCE
+            value = np.where(lag == 0, OWN_SLOT, np.where(np.isnan(value), sentinel, value))
+        dist = np.floor(dist * 10.0**PLACES + 0.5) / 10.0**PLACES
+        by_d = dist.reshape(len(d) * len(slots), -1)
         rank = np.where(shifts < 0, -2 * shifts - 1, 2 * shifts)
-        for ring, (below, upto) in enumerate(zip([-1, *v], v)):
-            near = np.flatnonzero((np.abs(shifts) > below) & (np.abs(shifts) <= upto))
-            # Candidates in the order that settles ties: rank of the shift, then season.
-            at_b, at_s = (x.ravel() for x in np.meshgrid(np.arange(len(season)), near, indexing="ij"))
-            order = np.lexsort((season[at_b], rank[at_s]))
-            at_b, at_s = at_b[order], at_s[order]
-            far = np.moveaxis(dist[:, at_b, at_s], 2, 1)
+        kept = []
+        for ring, order in enumerate(rings):
+            far = by_d[:, order]
             keep = np.isfinite(far)
-            if far.shape[2] > k_max:
-                last = np.partition(far, k_max - 1, axis=2)[:, :, k_max - 1:k_max]
-                ties, less = far == last, far < last
-                keep &= less | (ties & (ties.cumsum(axis=2) <= k_max - less.sum(axis=2, keepdims=True)))
-            asked, which_d, at = keep.nonzero()
-            b, s = at_b[at], at_s[at]
-            yield (q_idx[asked], np.array(d)[which_d], np.full(len(at), ring), far[keep],
-                   rank[s], season[b], value[asked, b, s])
+            if far.shape[1] > k_max:
+                last = np.partition(far, k_max - 1, axis=1)[:, k_max - 1:k_max]
+                keep &= far <= last
+                over = np.flatnonzero(keep.sum(axis=1) > k_max)
+                # Ties at the end: the first in the order of shifts and seasons stay.
+                ties, less = far[over] == last[over], far[over] < last[over]
+                keep[over] = less | (ties & (ties.cumsum(axis=1) <= k_max - less.sum(axis=1, keepdims=True)))
+            row, at = keep.nonzero()
+            kept.append((row, far[row, at], order[at], np.full(len(at), ring)))
+        row, far, at, ring = map(np.concatenate, zip(*kept))
+        b, s = np.divmod(at, len(shifts))
+        sort = np.lexsort((season[b], rank[s], far, row))
+        for upto in range(len(rings)):
+            own = sort[ring[sort] <= upto]
+            n = np.bincount(row[own], minlength=len(by_d))
+            place = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+            own, n = own[place < k_max], np.minimum(n, k_max)
+            which_d, asked = np.divmod(np.flatnonzero(n), len(slots))
+            yield ((np.full(len(asked), upto), q_idx[asked], np.array(d)[which_d], n[n > 0]),
+                   (far[own], rank[s[own]], season[b[own]], value[row[own] % len(slots), b[own], s[own]]))
 
     def tile(asked, blocks):
+        """The rows of one tile; ``asked`` holds query seasons, ``blocks`` history seasons."""
         import numpy as np
         import pyarrow as pa
 
@@ -132,40 +186,89 @@ def _tile_function(shape: Shape, k: list[int], d: list[int], v: list[int],
             return flat.to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
 
         # One empty part gives the columns their types when nothing is found.
-        parts = [[np.empty(0, t) for t in ("int64", "int32", "int32", "float64", "int32", "int32",
-                                           "float64")]]
+        lists = [[np.empty(0, t) for t in ("int32", "int64", "int32", "int64")]]
+        found = [[np.empty(0, t) for t in ("float64", "int32", "int32", "float64")]]
+        vs = sorted(v)
         if asked.num_rows and blocks.num_rows:
+            ks, ds, width = k, sorted(d), shape.width
+            if not ks:
+                ks, ds, vs, width = ([[asked[name][0].as_py()] for name in OWN[:3]] + [asked[OWN[3]][0].as_py()])
+            max_shift = vs[-1]
             vals, season = matrix(blocks, "vals"), blocks["season"].to_numpy().astype("int64")
+            q_all = matrix(asked, "vals")
             n_slots = blocks["n_slots"][0].as_py()
             # Most candidates share ``d`` offsets this near; the others look further.
             joint = max(0.01, np.mean(~np.isnan(vals)) ** 2)
-            reach = min(width, int(1.1 * d[-1] / joint) + 4)
-            together = max(1, 16 * batch // (len(vals) * (2 * max_shift + 1) * len(d)))
-            for at, slots, q_vals in zip(asked["q_season"].to_pylist(), asked["slots"].to_pylist(),
-                                         matrix(asked, "q_vals")):
+            reach = min(width, int(1.2 * ds[-1] / joint) + 6)
+            # Candidates of each ring in the order that settles ties: rank of the shift, then season.
+            shifts = np.arange(-max_shift, max_shift + 1)
+            rank = np.where(shifts < 0, -2 * shifts - 1, 2 * shifts)
+            rings = []
+            for below, upto in zip([-1, *vs], vs):
+                near = np.flatnonzero((np.abs(shifts) > below) & (np.abs(shifts) <= upto))
+                b, s = (x.ravel() for x in np.meshgrid(np.arange(len(season)), near, indexing="ij"))
+                rings.append((b * len(shifts) + s)[np.lexsort((season[b], rank[s]))])
+            together = max(1, _DISTANCES // (len(vals) * len(shifts) * len(ds)))
+            unit = _unit(vals, q_all)
+            for at, slots, q_vals in zip(asked["season"].to_pylist(), asked["slots"].to_pylist(), q_all):
                 for lo in range(0, len(slots), together):
-                    parts += neighbours(at, np.array(slots[lo:lo + together]), q_vals, vals, season,
-                                        n_slots, reach)
-        names = ["q_idx", "d", "ring", "dist", "shift_rank", "season", "h_value"]
-        columns = {name: np.concatenate(column).astype(column[0].dtype)
-                   for name, column in zip(names, zip(*parts))}
+                    for one, columns in neighbours(at, np.array(slots[lo:lo + together]), q_vals, vals, season, n_slots,
+                                                   unit, reach, width, max_shift, max(ks), ds, rings):
+                        lists.append(one)
+                        found.append(columns)
+        flat = lambda parts: [np.concatenate(c).astype(c[0].dtype) for c in zip(*parts)]
+        (upto, q_idx, which_d, n), columns = flat(lists), flat(found)
+        near = pa.StructArray.from_arrays([pa.array(c) for c in columns], ["dist", "shift_rank", "season", "h_value"])
+        ends = pa.array(np.append(0, n.cumsum()).astype(np.int32))
         series = asked["series_id"][0].as_py() if asked.num_rows else None
-        return pa.table({"series_id": pa.array([series] * len(columns["dist"]), pa.string()),
-                         **columns})
+        own_v = np.array(vs, dtype=np.int32)[upto] if vs else upto
+        return pa.RecordBatch.from_arrays(
+            [pa.array([series] * len(n), pa.string()), pa.array(q_idx), pa.array(which_d), pa.array(own_v),
+             pa.ListArray.from_arrays(ends, near)], names=["series_id", "q_idx", "d", "v", "near"])
 
-    return tile
+    def tiles(batches: Iterator) -> Iterator:
+        """Cut the sorted rows of a task into tiles; one tile is held at a time."""
+        import numpy as np
+        import pyarrow as pa
 
+        held, now = [], None
 
-def nearest_per_tile(queries: DataFrame, series: DataFrame, shape: Shape, k: list[int],
-                     d: list[int], v: list[int], sentinel: float | None = None) -> DataFrame:
-    """Candidates that hold the ``max(k)`` nearest per query, ``d`` and ``v``.
+        def done():
+            rows = pa.Table.from_batches(held)
+            history = rows["history"].to_numpy(zero_copy_only=False).astype(bool)
+            return tile(rows.filter(pa.array(~history)), rows.filter(pa.array(history)))
+
+        for batch in batches:
+            keys = [batch[name].to_pylist() for name in ("series_id", "qc", "hc")]
+            own = list(zip(*keys))
+            cuts = [i for i in range(1, len(own)) if own[i] != own[i - 1]]
+            for lo, hi in zip([0, *cuts], [*cuts, len(own)]):
+                if hi > lo:
+                    if held and own[lo] != now:
+                        yield done()
+                        held = []
+                    now = own[lo]
+                    held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield done()
+
+    return tiles
 
-    A tile returns at most ``max(k)`` rows per query, ``d`` and ring, ties settled. With a
-    ``sentinel`` unusable candidates stay, as in
-    :func:`tidegap.operators.neighbours.reference_distances`.
+
+def nearest_lists(queries: DataFrame, series: DataFrame, shape: Shape, k: list[int] | None = None,
+                  d: list[int] | None = None, v: list[int] | None = None, sentinel: float | None = None) -> DataFrame:
+    """``series_id, q_idx, d, v, near``: the nearest ``max(k)`` candidates of each tile, nearest first.
+
+    Without ``k, d, v`` the queries bring their own in the columns ``OWN``, equal within a
+    series; ``shape`` is then as wide as the widest of them. With a ``sentinel`` unusable
+    candidates stay, as in :func:`tidegap.operators.neighbours.reference_distances`.
     """
-    left, right = tile_sides(queries.select("series_id", "q_idx"), series, shape)
-    keys = ["series_id", "qc", "hc"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
-        _tile_function(shape, k, d, v, sentinel), _SCHEMA)
-    return per_v(found, v)
+    return dealt_tiles(queries, series, shape).mapInArrow(
+        _tile_function(shape, k or [], d or [], v or [], sentinel), _SCHEMA)
+
+
+def nearest_per_tile(queries: DataFrame, series: DataFrame, shape: Shape, k: list[int],
+                     d: list[int], v: list[int], sentinel: float | None = None) -> DataFrame:
+    """The candidates of :func:`nearest_lists` as rows: at most ``max(k)`` per query, ``d``, ``v`` and tile."""
+    lists = nearest_lists(queries, series, shape, k, d, v, sentinel)
+    return lists.select("series_id", "q_idx", "d", "v", F.inline("near"))

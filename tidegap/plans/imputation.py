@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from tidegap.cluster import pin
 from tidegap.operators.filling import fill
-from tidegap.operators.series import missing_slots
+from tidegap.operators.neighbours import predict_lists
+from tidegap.operators.season_blocks import OWN, Shape, grouped
+from tidegap.operators.series import attach_facts, missing_slots, season_stats
+from tidegap.operators.tiles import nearest_lists
 from tidegap.plans.grid import CHOSEN, Grid
 from tidegap.plans.search import knn_predict
 
@@ -30,15 +31,21 @@ def impute_by_best(series: DataFrame, period: int, best: DataFrame,
                    width: int | None = None) -> DataFrame:
     """Fill every series with its own ``(k, d, v)`` from ``best(series_id, k, d, v)``.
 
-    Series that share a triple are filled together; there are at most as many passes as
-    triples in the grid, and only triples come to the driver. A series without a best
-    triple stays as it is.
+    The triples travel with the queries, so all series are filled in one search, however
+    many triples there are; three numbers come to the driver. A series without a best
+    triple stays as it is. ``width`` is that of :func:`tidegap.plans.grid.Grid.shape`.
     """
-    series, best = pin(series, "series"), pin(best.select("series_id", "k", "d", "v"), "best")
-    triples = best.select("k", "d", "v").distinct().orderBy("k", "d", "v").collect()
-    parts = [series.join(best, "series_id", "left_anti").select(
-        "series_id", "idx", "ts", "value", F.lit(None).cast("double").alias("imputed"), F.lit(False).alias("is_imputed"))]
-    for k, d, v in triples:
-        own = best.where((F.col("k") == k) & (F.col("d") == d) & (F.col("v") == v)).select("series_id")
-        parts.append(impute(series.join(own, "series_id", "left_semi"), period, k, d, v, width))
-    return reduce(DataFrame.unionByName, parts)
+    series = pin(series.withColumn("value", F.when(~F.isnan("value"), F.col("value"))), "series")
+    side = F.lit(width) if width else F.col("d") + period // 2
+    own = best.select("series_id", *[F.col(c).cast("int").alias(c) for c in ("k", "d", "v")], side.cast("int").alias("width"))
+    ends = season_stats(series, period).select(
+        "series_id", F.lit(0).cast("bigint").alias("_lo"), (F.col("n_slots") - 1).alias("_hi"))
+    gaps = missing_slots(series).select("series_id", F.col("idx").alias("q_idx"))
+    queries = pin(attach_facts(gaps, own.join(ends, "series_id"), "q_idx", "_lo", "_hi").select(
+        "series_id", "q_idx", *OWN), "queries")
+    widest = queries.agg(F.max("width"), F.max("v")).first()
+    if widest[0] is None:
+        return fill(series, queries.select("series_id", "q_idx", F.lit(None).cast("double").alias("prediction")))
+    lists = nearest_lists(queries, series, grouped(Shape(period, *widest), queries))
+    asked = queries.select("series_id", "q_idx", "d", "v", F.array("k").alias("ks"))
+    return fill(series, predict_lists(lists, asked))

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidegap.cluster import pin
 from tidegap.operators.distances import gap_distance_arrays, gap_distance_joins
-from tidegap.operators.neighbours import nearest_per_ring, predict, reference_distances
+from tidegap.operators.neighbours import asked_grid, nearest_per_ring, predict, predict_lists, reference_distances
 from tidegap.operators.sampling import SEED, holdout_sample, mask_to_ratios
 from tidegap.operators.scoring import knn_errors
 from tidegap.operators.season_blocks import Shape, grouped
 from tidegap.operators.series import season_stats
-from tidegap.operators.tiles import nearest_per_tile
+from tidegap.operators.tiles import nearest_lists
 from tidegap.plans.grid import Grid, default_grid, param_grid
 
 
@@ -31,12 +31,11 @@ def knn_predict(queries: DataFrame, series: DataFrame, period: int, grid: Grid,
     # NaN is no observation, whoever built the series.
     series = series.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
     if form == "tiles":
-        shape = grouped(shape, queries, series)
-        near = nearest_per_tile(queries, series, shape, grid.k, grid.d, grid.v,
-                                sentinel if keep else None)
-    else:
-        near = nearest_per_ring(
-            _distances(form, queries, series, shape, grid.d, keep, sentinel), grid.k, grid.v)
+        lists = nearest_lists(queries, series, grouped(shape, queries), grid.k, grid.d, grid.v,
+                              sentinel if keep else None)
+        return predict_lists(lists, asked_grid(queries, grid.k, grid.d, grid.v))
+    near = nearest_per_ring(
+        _distances(form, queries, series, shape, grid.d, keep, sentinel), grid.k, grid.v)
     return predict(near, queries, grid.k, grid.d, grid.v)
 
 

@@ -5,22 +5,46 @@ from __future__ import annotations
 from datetime import datetime, timezone
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # The column names of the count tables and of the results.
 TIME, COUNT = "COUNT_TIME", "NUM_TOTAL"
 RESULT = ["series_id", "train_index", "k", "d", "v", "prediction", "err"]
 
 
-def read_counts_csv(spark: SparkSession, path: str | list[str], ts: str = TIME,
-                    value: str = COUNT, series: str | None = None) -> DataFrame:
-    """Time, value and, if named, series of a CSV with header, typed without a pass over it.
+def read_counts(spark: SparkSession, path: str | list[str], ts: str = TIME, value: str = COUNT,
+                series: str | None = None, columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows of count files, and the lines that are none: ``reason, line, file``.
 
-    Times are read as UTC whatever the session time zone.
+    The rows have time, value and, if named, series. A line with another number of cells
+    than the header has is rejected (``columns``), one without a readable time (``time``),
+    and one whose count is there but no number (``count``); an empty count is a missing
+    one. Every line is in one of the two tables, and none ends the job. Times are read as
+    UTC whatever the session time zone. ``columns`` names the cells of files without a
+    header; otherwise the header of the first file does.
     """
-    raw = spark.read.option("header", True).csv(path)
-    return raw.select(*([series] if series else []), F.to_timestamp_ntz(F.col(ts)).alias(ts),
-                      F.col(value).cast("double").alias(value))
+    names = columns or spark.read.option("header", True).csv(path).columns
+    # All cells are read for both tables, so that both judge a line alike.
+    bad = "_unreadable"
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, bad]])
+    raw = (spark.read.schema(schema).option("header", columns is None).option("columnNameOfCorruptRecord", bad)
+           .option("columnPruning", False).csv(path))
+    time, count = F.col(ts).try_cast("timestamp_ntz"), F.col(value).try_cast("double")
+    reason = (F.when(F.col(bad).isNotNull(), "columns").when(time.isNull(), "time")
+              .when(F.col(value).isNotNull() & count.isNull(), "count"))
+    judged = raw.select("*", reason.alias("_reason"), F.col("_metadata.file_path").alias("_file"))
+    rows = judged.where("_reason IS NULL").select(
+        *([series] if series else []), time.alias(ts), count.alias(value))
+    rejects = judged.where("_reason IS NOT NULL").select(
+        F.col("_reason").alias("reason"), F.coalesce(F.col(bad), F.to_csv(F.struct(*names))).alias("line"),
+        F.col("_file").alias("file"))
+    return rows, rejects
+
+
+def read_counts_csv(spark: SparkSession, path: str | list[str], ts: str = TIME,
+                    value: str = COUNT, series: str | None = None) -> DataFrame:
+    """The rows of :func:`read_counts`; lines that are none are left out."""
+    return read_counts(spark, path, ts, value, series)[0]
 
 
 def utc_text(ts: Column) -> Column:
