@@ -40,7 +40,7 @@ SCALE = 2_000_000
 #: Bits for each frequent phrase, and the most bits of a table (16 MB).
 BITS_OF_PHRASE, MOST_BITS = 16, 1 << 27
 #: Bytes of text coded together, counts merged together, rows of one batch handed to Spark.
-TOGETHER, MERGED, BATCH = 4 << 20, 1_000_000, 100_000
+TOGETHER, MERGED, BATCH = 2 << 20, 400_000, 50_000
 #: Language of rows without one.
 UNKNOWN = "und"
 #: Bits in one piece of the table: the size that Spark's bitmap functions build.
@@ -250,7 +250,8 @@ def coded(docs: DataFrame) -> DataFrame:
 
 def bit_table(counts: DataFrame, least: int) -> bytes:
     """Bits of the hashes ``h`` with at least ``least`` occurrences; 16 MB at most come to the driver."""
-    often = pin(counts.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h"), "often")
+    # Tasks have merged their counts: dealt out first, they fill no second table in memory there.
+    often = pin(counts.repartition("h").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h"), "often")
     bits = _PIECE
     while bits < min(MOST_BITS, BITS_OF_PHRASE * often.count()):
         bits *= 2
