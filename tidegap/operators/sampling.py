@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidegap.operators.prefix import with_before
 from tidegap.operators.series import attach_facts, observed_slots, season_stats
 
 # Fixed value: the seed of hold-outs and masks.
@@ -26,16 +27,16 @@ def _ranks(pool: DataFrame, seed: int) -> DataFrame:
     ``pool`` has ``series_id, idx, pool_size, wanted``, the last an array of cuts. A
     series is cut into ranges of the hash; a histogram tells how many rows lie below a
     range. Rows of a range that no cut falls into need no order: they get the rank of
-    its first row. Only ranges with a cut are sorted, so no task sees a whole series.
+    its first row. Only ranges with a cut are sorted, and the histogram is summed in
+    blocks, so no task sees a whole series or all its ranges.
     """
     ranges = F.greatest(F.lit(1), F.floor(F.col("pool_size") / _BUCKET_ROWS))
     head = F.conv(F.substring("_h", 1, 8), 16, 10).cast("decimal(20,0)")
     keyed = pool.withColumn("_h", _hash_order(seed)).withColumn(
         "_range", F.floor(head * ranges / F.lit(1 << 32)).cast("bigint"))
-    upto = Window.partitionBy("series_id").orderBy("_range")
+    counts = keyed.groupBy("series_id", "_range").agg(F.count(F.lit(1)).alias("_n"), F.first("wanted").alias("_cuts"))
     hist = (
-        keyed.groupBy("series_id", "_range").agg(F.count(F.lit(1)).alias("_n"), F.first("wanted").alias("_cuts"))
-        .withColumn("_before", F.sum("_n").over(upto) - F.col("_n"))
+        with_before(counts, ["series_id"], "_range", "_n", "_before")
         .select("series_id", "_range", "_before", F.exists("_cuts", lambda w: (
             w > F.col("_before")) & (w < F.col("_before") + F.col("_n"))).alias("_cut"))
     )

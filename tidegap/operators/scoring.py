@@ -8,8 +8,8 @@ from tidegap.cluster import pin
 from tidegap.functions.scores import mae, rmse
 
 PARAMS = ["k", "d", "v"]
-# Different values that one range of a key should hold, and the most ranges of a key.
-_RANGE_VALUES, _MOST_RANGES = 1 << 16, 4096
+# Different values that are put in order in one place, and ranges that one round makes of a larger cell.
+_RANGE_VALUES, _CUTS = 1 << 16, 1024
 
 
 def knn_errors(predictions: DataFrame, queries: DataFrame) -> DataFrame:
@@ -76,42 +76,51 @@ def best_rows(results: DataFrame, best: DataFrame) -> DataFrame:
         F.col("prediction").alias("imputed_prediction"))
 
 
+def _refined(cells: DataFrame, keys: list[str], parts: int) -> DataFrame:
+    """Cut every cell of ``keys, cell, before, ranks, x, n`` into ``parts`` and keep what holds a wanted rank."""
+    own = [*keys, "cell"]
+    steps = [i / parts for i in range(1, parts)]
+    # Written once: both uses below must see the same cuts.
+    cuts = pin(cells.groupBy(*own).agg(F.percentile_approx("x", steps).alias("cuts")), "cuts")
+    placed = cells.join(cuts, own).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("x")))).drop("cuts")
+    upto = Window.partitionBy(*own).orderBy("part")  # as many rows as parts
+    hist = (
+        placed.groupBy(*own, "part").agg(F.sum("n").alias("m"), F.max("before").alias("start"), F.max("ranks").alias("wanted"))
+        .withColumn("start", F.col("start") + F.sum("m").over(upto) - F.col("m"))
+        .withColumn("wanted", F.filter("wanted", lambda r: (r >= F.col("start")) & (r < F.col("start") + F.col("m"))))
+        .where(F.size("wanted") > 0).drop("m")
+    )
+    return placed.join(hist, [*own, "part"]).select(
+        *keys, (F.col("cell") * _CUTS + F.col("part")).alias("cell"), F.col("start").alias("before"),
+        F.col("wanted").alias("ranks"), "total", "x", "n")
+
+
 def exact_percentiles(rows: DataFrame, keys: list[str], column: str,
                       shares: list[float]) -> DataFrame:
     """Exact interpolated percentiles per key, as one array column named ``column``.
 
-    Equal values are counted first. Approximate percentiles then cut the values of a
-    key into ranges, as many as the largest key needs; a histogram tells in which range
-    each wanted rank lies, and only those ranges are put in order: no task sorts all
-    values of a key. Spark chooses the joins, so there may be any number of keys.
+    Equal values are counted first. While some cell of a key holds more different values
+    than are put in order in one place, approximate percentiles cut it into ranges, a
+    histogram tells in which of them each wanted rank lies, and only those go on. So no
+    task sorts all values of a key, however many there are, and there may be any number
+    of keys. One number a round comes to the driver; a round divides the largest cell by
+    about a thousand.
     """
     counts = rows.where(F.col(column).isNotNull()).groupBy(
         *keys, F.col(column).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
     counts = pin(counts, "counts")
-    largest = counts.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    ranges = max(2, min(_MOST_RANGES, largest // _RANGE_VALUES))
-    steps = [i / ranges for i in range(1, ranges)]
-    # Written once: both uses below must see the same cuts.
-    cuts = pin(counts.groupBy(*keys).agg(
-        F.percentile_approx("x", steps).alias("cuts"), F.sum("n").alias("total")), "cuts")
-    placed = counts.join(cuts, keys).withColumn(
-        "part", F.size(F.filter("cuts", lambda c: c < F.col("x")))).drop("cuts")
-    upto = Window.partitionBy(*keys).orderBy("part")
     positions = F.transform(F.array(*map(F.lit, shares)), lambda p: p * (F.col("total") - 1))
     ranks = F.array_distinct(F.concat(F.transform(positions, lambda p: F.floor(p)),
                                       F.transform(positions, lambda p: F.ceil(p))))
-    hist = (
-        placed.groupBy(*keys, "part").agg(F.sum("n").alias("m"), F.max("total").alias("total"))
-        .withColumn("before", F.sum("m").over(upto) - F.col("m"))
-        .withColumn("ranks", F.filter(
-            ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("m"))))
-        .where(F.size("ranks") > 0)
-        .select(*keys, "part", "before", "ranks")
-    )
-    inside = Window.partitionBy(*keys, "part").orderBy("x")
+    totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
+    cells = counts.join(totals.withColumn("ranks", ranks), keys).select(
+        *keys, F.lit(0).cast("bigint").alias("cell"), F.lit(0).cast("bigint").alias("before"), "ranks", "total", "x", "n")
+    while (largest := cells.groupBy(*keys, "cell").count().agg(F.max("count")).first()[0] or 0) > _RANGE_VALUES:
+        cells = pin(_refined(cells, keys, max(2, min(_CUTS, 2 * largest // _RANGE_VALUES))), "cells")
+    inside = Window.partitionBy(*keys, "cell").orderBy("x")
     start = F.col("before") + F.sum("n").over(inside) - F.col("n")
     hit = (
-        placed.join(hist, [*keys, "part"]).withColumn("start", start)
+        cells.withColumn("start", start)
         .withColumn("rank", F.explode(F.filter(
             "ranks", lambda r: (r >= F.col("start")) & (r < F.col("start") + F.col("n")))))
     )
