@@ -40,6 +40,9 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Uncompressed bytes after which a new file is begun.
 FILE_BYTES = 32 << 20
 _LEVEL = 4
+_HEAD_END = re.compile(rb"\r?\n\r?\n")
+#: Header of a converted record with the length of its payload, which a revisit does not hold.
+_LENGTH = "X-Payload-Length"
 #: Name under which identifiers are derived.
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:arc-to-warc")
 
@@ -102,7 +105,8 @@ def write_arc(pages: DataFrame, folder: str, date: str = "20240101000000") -> Da
     """Write ``pages(page_id, url, html)`` as ARC files; returns their ``path``.
 
     Even partitions are written in version 1, odd ones in version 2. The page id is a
-    header of the archived HTTP response. A null id has none; a null html is empty.
+    header of the archived HTTP response. A null id has none; a null html is empty. An
+    empty table writes no file.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,12 +160,24 @@ def arc_records(uri: str) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def _http(content: bytes) -> tuple[bytes, dict[str, str], bytes]:
-    """Head, its headers in lower case, payload. Without an HTTP head all is payload."""
-    if not content.startswith(b"HTTP/"):
+    """Head, its headers in lower case, payload. Without an HTTP head that ends all is payload.
+
+    Lines of a head end in CRLF or, as old servers sent them, in LF alone.
+    """
+    end = _HEAD_END.search(content) if content.startswith(b"HTTP/") else None
+    if end is None:
         return b"", {}, content
-    head, gap, payload = content.partition(b"\r\n\r\n")
-    headers = dict(line.lower().partition(": ")[::2] for line in head.decode("latin-1").split("\r\n")[1:])
-    return head + gap, headers, payload
+    lines = re.split("\r?\n", content[:end.start()].decode("latin-1"))
+    headers = {name.strip().lower(): value.strip() for name, _, value in (line.partition(":") for line in lines[1:])}
+    return content[:end.end()], headers, content[end.end():]
+
+
+def _number(text: str | None) -> int | None:
+    """A whole number that fits, or nothing."""
+    if text is None or not re.fullmatch(r"[+-]?[0-9]{1,19}", text.strip()):
+        return None
+    n = int(text)
+    return n if -(1 << 63) <= n < 1 << 63 else None
 
 
 def _identity(fields: dict[str, str], headers: dict[str, str], payload_digest: str) -> str:
@@ -179,8 +195,8 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for number, (fields, content) in enumerate(arc_records(path)):
                 _, headers, payload = _http(content)
-                page, sha = headers.get("x-page-id"), digest(payload)
-                rows.append((path, number, None if page is None else int(page), _identity(fields, headers, sha),
+                sha = digest(payload)
+                rows.append((path, number, _number(headers.get("x-page-id")), _identity(fields, headers, sha),
                              fields["URL"], sha, len(payload)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 7, (
@@ -213,7 +229,7 @@ def _convert(folder: str):
                     head, own, payload = _http(content)
                     sha = digest(payload)
                     headers = [("WARC-Target-URI", fields["URL"]), ("WARC-IP-Address", fields["IP-address"]),
-                               ("WARC-Payload-Digest", f"sha1:{sha}"),
+                               ("WARC-Payload-Digest", f"sha1:{sha}"), (_LENGTH, str(len(payload))),
                                ("Content-Type", "application/http; msgtype=response" if head else fields["Content-type"])]
                     kind, block = ("response" if head else "resource"), content
                     if (to := revisits.get(number)) is not None:
@@ -237,7 +253,8 @@ def convert_arc(arcs: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame
 
     Of the records with equal payloads of at least ``least_bytes`` bytes, the one with the
     largest page id is written in full and the others as revisits of it; records without
-    an id come last. Shorter ones are all written in full.
+    an id, or with one that is no number, come last. Shorter ones are all written in full.
+    Records without an HTTP head are all payload and become resources. No files give none.
     """
     n = max(1, arcs.count())
     index = pin(arcs.repartition(n, "path").mapInArrow(_index, _INDEX), "cdx")
@@ -283,7 +300,6 @@ def _read(payloads: bool):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 9, kinds)],
                                               names=[c.split()[0] for c in _READ.split(", ")])
 
-        number = lambda x: None if x is None else int(x)
         for batch in batches:
             for path in batch["path"].to_pylist():
                 rows, size = [], 0
@@ -294,10 +310,12 @@ def _read(payloads: bool):
                     sha, revisit = headers["WARC-Payload-Digest"].removeprefix("sha1:"), headers["WARC-Type"] == "revisit"
                     if not revisit and digest(payload) != sha:
                         raise ValueError(f"{path}: payload of {headers['WARC-Record-ID']} differs from its digest")
-                    length = int(own["content-length"]) if revisit else len(payload)
-                    rows.append((number(own.get("x-page-id")), headers["WARC-Type"], headers["WARC-Record-ID"].strip("<>"),
+                    length = len(payload)
+                    if revisit:  # of another writer: what the server said, if it did
+                        length = next(filter(None.__ne__, map(_number, (headers.get(_LENGTH), own.get("content-length")))), None)
+                    rows.append((_number(own.get("x-page-id")), headers["WARC-Type"], headers["WARC-Record-ID"].strip("<>"),
                                  headers["WARC-Target-URI"], headers["WARC-Date"], length, sha,
-                                 number(headers.get("X-Refers-To-Page-Id")), payload if payloads and not revisit else None))
+                                 _number(headers.get("X-Refers-To-Page-Id")), payload if payloads and not revisit else None))
                     size += len(payload) if payloads else 200
                     if size > 4 << 20:
                         yield batch_of(rows)
@@ -313,6 +331,7 @@ def read_warc(warcs: DataFrame, payloads: bool = False) -> DataFrame:
     ``page_id, record_type, record_id, url, warc_date, payload_bytes, payload_digest`` (of
     the full payload also for revisits), ``refers_to`` (page id of the record that holds
     the payload) and, if asked for, ``payload`` (null for revisits). Records of any input
-    come back one for one, also repeated ones, empty ones and ones without an id.
+    come back one for one, also repeated ones, empty ones and ones without an id. The
+    length of a revisit that names none is null. No files give no rows.
     """
     return warcs.repartition(max(1, warcs.count()), "path").mapInArrow(_read(payloads), _READ)
