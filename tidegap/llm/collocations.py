@@ -22,11 +22,12 @@ frequent; only the nodes between paths are compared with the edges around them.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidegap.cluster import pin
 from tidegap.llm.components import components
@@ -242,6 +243,18 @@ def _last(words: int, phrase: str = "phrase") -> Column:
     return F.substring_index(phrase, " ", -words)
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Rows are texts by the megabyte: hand few of them to Python at once."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(2 * TOGETHER))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def coded(docs: DataFrame) -> DataFrame:
     """Texts of ``docs(lang, text)`` cut into words, some megabytes of a language to a row."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), "text").where("text is not null")
@@ -340,8 +353,9 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     at every size; ``least`` must be 1 or more.
     """
     docs = docs.select("lang", "text")
-    words = coded(docs)
-    edges = pin(edge_counts(words, least), "edges")
+    with _small_batches(docs.sparkSession):
+        words = coded(docs)
+        edges = pin(edge_counts(words, least), "edges")
     often = {size: f.where(F.col("n") >= least) for size, f in flows(edges).items()}
     paths, inside = unary_paths(pin(often[WORDS], "often"), often[WORDS - 1])
     tokens = F.split("phrase", " ")
