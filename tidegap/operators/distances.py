@@ -18,6 +18,7 @@ from tidegap.functions.windows import joint_offsets, ratio, shift_rank, side_sum
 from tidegap.operators.candidates import knn_candidates
 from tidegap.operators.season_blocks import Shape, tile_sides
 from tidegap.operators.series import slot_of_season
+from tidegap.operators.tiles import l2_tiles
 
 CANDIDATE = ["h_idx", "shift", "shift_rank", "season", "h_value"]
 
@@ -144,7 +145,15 @@ def gap_distance_arrays(queries: DataFrame, series: DataFrame, shape: Shape,
 
 
 def l2_distance(queries: DataFrame, series: DataFrame, shape: Shape) -> DataFrame:
-    """Plain Euclidean distance over all jointly observed offsets of the window."""
+    """Plain Euclidean distance over all jointly observed offsets of the window.
+
+    Made in the tiles, from one running sum per pair of seasons and shift.
+    """
+    return l2_tiles(queries, series, shape)
+
+
+def l2_distance_arrays(queries: DataFrame, series: DataFrame, shape: Shape) -> DataFrame:
+    """Same rows as :func:`l2_distance`, from array slices."""
     cands = _array_candidates(queries, series, shape).where("h_value IS NOT NULL")
     for side in _SIDES:
         cands = cands.withColumn(f"kept_{side}", _joint(side, shape.width, shape.width))

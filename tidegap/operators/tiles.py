@@ -73,14 +73,14 @@ def _range_sums(diff, centre, reach: int, d: list[int]):
     return num, den, np.minimum(found_left, found_right) < d[-1]
 
 
-def _unit(*tables) -> float:
-    """Power of ten that makes all values whole and keeps running sums exact, or 0."""
+def _unit(*tables, power: int = 1) -> float:
+    """Power of ten that makes all values whole and keeps running sums of their powers exact, or 0."""
     import numpy as np
 
     largest = max((float(np.nanmax(np.abs(t), initial=0)) for t in tables if t.size), default=0.0)
     for places in range(_DECIMALS + 1):
         unit = 10.0**places
-        if 2 * largest * unit * _BATCH * max(t.shape[-1] for t in tables) >= 2**53:
+        if (2 * largest * unit) ** power * _BATCH * max(t.shape[-1] for t in tables) >= 2**53:
             break
         if all(np.array_equal(np.rint(t * unit) / unit, t, equal_nan=True) for t in tables):
             return unit
@@ -181,10 +181,6 @@ def _tile_function(shape: Shape, k: list[int], d: list[int], v: list[int], senti
         import numpy as np
         import pyarrow as pa
 
-        def matrix(table, name):
-            flat = table[name].combine_chunks().flatten()
-            return flat.to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
-
         # One empty part gives the columns their types when nothing is found.
         lists = [[np.empty(0, t) for t in ("int32", "int64", "int32", "int64")]]
         found = [[np.empty(0, t) for t in ("float64", "int32", "int32", "float64")]]
@@ -194,8 +190,8 @@ def _tile_function(shape: Shape, k: list[int], d: list[int], v: list[int], senti
             if not ks:
                 ks, ds, vs, width = ([[asked[name][0].as_py()] for name in OWN[:3]] + [asked[OWN[3]][0].as_py()])
             max_shift = vs[-1]
-            vals, season = matrix(blocks, "vals"), blocks["season"].to_numpy().astype("int64")
-            q_all = matrix(asked, "vals")
+            vals, season = _matrix(blocks, "vals"), blocks["season"].to_numpy().astype("int64")
+            q_all = _matrix(asked, "vals")
             n_slots = blocks["n_slots"][0].as_py()
             # Most candidates share ``d`` offsets this near; the others look further.
             joint = max(0.01, np.mean(~np.isnan(vals)) ** 2)
@@ -226,9 +222,12 @@ def _tile_function(shape: Shape, k: list[int], d: list[int], v: list[int], senti
             [pa.array([series] * len(n), pa.string()), pa.array(q_idx), pa.array(which_d), pa.array(own_v),
              pa.ListArray.from_arrays(ends, near)], names=["series_id", "q_idx", "d", "v", "near"])
 
+    return _streamed(tile)
+
+
+def _streamed(tile):
+    """Cut the sorted rows of a task into tiles, history last, and hand them to ``tile`` one at a time."""
     def tiles(batches: Iterator) -> Iterator:
-        """Cut the sorted rows of a task into tiles; one tile is held at a time."""
-        import numpy as np
         import pyarrow as pa
 
         held, now = [], None
@@ -239,8 +238,7 @@ def _tile_function(shape: Shape, k: list[int], d: list[int], v: list[int], senti
             return tile(rows.filter(pa.array(~history)), rows.filter(pa.array(history)))
 
         for batch in batches:
-            keys = [batch[name].to_pylist() for name in ("series_id", "qc", "hc")]
-            own = list(zip(*keys))
+            own = list(zip(*(batch[name].to_pylist() for name in ("series_id", "qc", "hc"))))
             cuts = [i for i in range(1, len(own)) if own[i] != own[i - 1]]
             for lo, hi in zip([0, *cuts], [*cuts, len(own)]):
                 if hi > lo:
@@ -255,6 +253,11 @@ def _tile_function(shape: Shape, k: list[int], d: list[int], v: list[int], senti
     return tiles
 
 
+def _matrix(table, name):
+    flat = table[name].combine_chunks().flatten()
+    return flat.to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+
+
 def nearest_lists(queries: DataFrame, series: DataFrame, shape: Shape, k: list[int] | None = None,
                   d: list[int] | None = None, v: list[int] | None = None, sentinel: float | None = None) -> DataFrame:
     """``series_id, q_idx, d, v, near``: the nearest ``max(k)`` candidates of each tile, nearest first.
@@ -272,3 +275,70 @@ def nearest_per_tile(queries: DataFrame, series: DataFrame, shape: Shape, k: lis
     """The candidates of :func:`nearest_lists` as rows: at most ``max(k)`` per query, ``d``, ``v`` and tile."""
     lists = nearest_lists(queries, series, shape, k, d, v, sentinel)
     return lists.select("series_id", "q_idx", "d", "v", F.inline("near"))
+
+
+_L2_SCHEMA = "series_id string, q_idx bigint, h_idx bigint, shift int, shift_rank int, season int, h_value double, dist double"
+
+
+def _l2_function(shape: Shape):
+    """The function that gives each candidate of a tile its Euclidean distance.
+
+    One row of squared differences for each pair of seasons and shift, summed along, serves
+    the windows of all queries: each is the difference of two sums. Slots that are not
+    joint add nothing.
+    """
+    period, margin, width, max_shift = shape.period, shape.margin, shape.width, shape.max_shift
+    shifts = range(-max_shift, max_shift + 1)
+
+    def tile(asked, blocks):
+        import numpy as np
+        import pyarrow as pa
+
+        parts = [[np.empty(0, t) for t in ("int64", "int64", "int32", "int32", "int32", "float64", "float64")]]
+        if asked.num_rows and blocks.num_rows:
+            vals, q_all = _matrix(blocks, "vals"), _matrix(asked, "vals")
+            season, n_slots = blocks["season"].to_numpy().astype("int64"), blocks["n_slots"][0].as_py()
+            unit = _unit(vals, q_all, power=2)
+            # Without whole numbers, sums that are wide enough to take differences of.
+            history, wanted = (np.rint(x * unit) if unit else x.astype(np.longdouble) for x in (vals, q_all))
+            for q_season, slots, query in zip(asked["season"].to_pylist(), asked["slots"].to_pylist(), wanted):
+                slots = np.array(slots)
+                q_idx = q_season * period + slots
+                for shift in shifts:
+                    # Slots of the query's block that have a counterpart, whatever the shift.
+                    far = history[:, max_shift + shift:history.shape[1] - max_shift + shift]
+                    gap = far - query[max_shift:len(query) - max_shift]
+                    joint = ~np.isnan(gap)
+                    gap[~joint] = 0
+                    square = gap * gap
+                    ends = slots + width  # the centre of each window
+                    h_idx = season[:, None] * period + slots + shift
+                    lag = h_idx - q_idx
+                    value = vals[:, slots + margin + shift]
+                    inside = (h_idx >= width) & (h_idx + width <= n_slots - 1) & (lag != 0) & ~np.isnan(value)
+                    sums = np.zeros((len(gap), gap.shape[1] + 1), dtype=square.dtype)
+                    found = np.zeros(sums.shape, dtype=np.int32)
+                    np.cumsum(square, axis=1, out=sums[:, 1:])
+                    np.cumsum(joint, axis=1, out=found[:, 1:])
+                    total = sums[:, ends + width + 1] - sums[:, ends - width] - square[:, ends]
+                    n = found[:, ends + width + 1] - found[:, ends - width] - joint[:, ends]
+                    # Where the window meets the query's own slot, which counts as missing.
+                    own = np.where((np.abs(lag) <= width) & (lag != 0), ends - lag, 0)
+                    met = np.take_along_axis(joint, own, axis=1) & (np.abs(lag) <= width) & (lag != 0)
+                    total = total - np.where(met, np.take_along_axis(square, own, axis=1), 0)
+                    b, q = (inside & (n - met > 0)).nonzero()
+                    dist = (np.sqrt(total[b, q].astype(np.float64)) / (unit or 1.0))
+                    parts.append([q_idx[q], h_idx[b, q], np.full(len(b), shift), np.full(len(b), -2 * shift - 1 if shift < 0 else 2 * shift),
+                                  season[b], value[b, q], dist])
+        names = ["q_idx", "h_idx", "shift", "shift_rank", "season", "h_value", "dist"]
+        columns = [np.concatenate(c).astype(c[0].dtype) for c in zip(*parts)]
+        series = asked["series_id"][0].as_py() if asked.num_rows else None
+        return pa.RecordBatch.from_arrays([pa.array([series] * len(columns[0]), pa.string()), *map(pa.array, columns)],
+                                          names=["series_id", *names])
+
+    return _streamed(tile)
+
+
+def l2_tiles(queries: DataFrame, series: DataFrame, shape: Shape) -> DataFrame:
+    """Plain Euclidean distance of every candidate that shares a slot with its query."""
+    return dealt_tiles(queries, series, shape).mapInArrow(_l2_function(shape), _L2_SCHEMA)
