@@ -28,6 +28,47 @@ def test_close_segments_share_a_key():
         assert all(set(f) & set(a) - {-1} for f, a in zip(filed.tolist(), asking.tolist()))
 
 
+def test_two_close_segments_share_a_key():
+    """Four errors in any places: some pair of segments is met; one bit more need not be."""
+    rng = np.random.default_rng(5)
+    prints = rng.integers(-2**63, 2**63 - 1, 1500)
+    for bits in range(5):
+        other = prints.copy()
+        for row in range(len(other)):
+            # All in one segment, or anywhere.
+            places = rng.choice(23, bits, replace=False) + 23 * (row % 2) if row % 3 else rng.choice(64, bits, replace=False)
+            for b in places:
+                other[row] ^= np.int64(1) << np.int64(b)
+        filed, asking = golay.pair_keys(prints, False), golay.pair_keys(other, True)
+        assert filed.shape[1] == 3 and (filed >= 0).all()
+        assert all(set(f) & set(a) - {-1} for f, a in zip(filed.tolist(), asking.tolist()))
+    assert 150 < (asking >= 0).sum(axis=1).mean() < 220
+
+
+@pytest.mark.parametrize("of", [golay.codeword_keys, golay.pair_keys])
+def test_crowded_keys_are_dealt(spark, monkeypatch, of):
+    """Blocks of bounded size, every pair that shares a key in one of them, and the links of all pairs."""
+    monkeypatch.setattr(golay, "FILED", 16)
+    monkeypatch.setattr(golay, "ASKING", 40)
+    rng = np.random.default_rng(6)
+    family = np.array([0] + [np.int64(1) << np.int64(a) | np.int64(1) << np.int64(b) for a in range(30) for b in range(a)], dtype=np.int64)
+    prints = np.unique(np.concatenate([family, rng.integers(-2**63, 2**63 - 1, 100)]))
+    table = spark.createDataFrame([(int(p),) for p in prints], "print bigint")
+    rows = golay.dealt(table, of).persist()
+    sizes = rows.groupBy("key", "f", "q", "asks").count().groupBy("asks").max("count").collect()
+    most = {r.asks: r["max(count)"] for r in sizes}
+    assert most[False] <= 3 * 16 and most[True] <= 3 * 40
+    met = {}
+    for r in rows.collect():
+        met.setdefault((r.key, r.f, r.q, r.asks), set()).add(r.print)
+    pairs = {(a, b) for (k, f, q, asks), found in met.items() if not asks for a in found for b in met.get((k, f, q, True), ())}
+    near = {(int(a), int(b)) for a in prints for b in prints if int(a ^ b).bit_count() <= 4 or (int(a ^ b) & (2**64 - 1)).bit_count() <= 4}
+    assert near <= pairs
+    found = {r.v: r.component for r in components(golay.links(table, of)).collect()}
+    want = plain.components(sorted(map(int, prints)), lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= 4)
+    assert {p: found.get(p, p) for p in map(int, prints)} == want
+
+
 def expected_groups(docs):
     prints = [plain.fingerprint(t) for _, t in docs]
     group = plain.components(sorted(set(prints)), lambda a, b: (a ^ b).bit_count() <= 4)
@@ -38,7 +79,9 @@ def expected_groups(docs):
     return sorted((str(d), f"{p:016x}", smallest.get(group[p])) for (d, _), p in zip(docs, prints))
 
 
-def test_simhash(frame, docs):
+@pytest.mark.parametrize("many", [golay.MANY, 0])
+def test_simhash(frame, docs, monkeypatch, many):
+    monkeypatch.setattr(golay, "MANY", many)
     rng = random.Random(8)
     base = " ".join(f"w{rng.randint(0, 500)}" for _ in range(150))
     near = [(100 + i, base.replace(f"w{i} ", "other ", 1)) for i in range(60)]

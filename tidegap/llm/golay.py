@@ -7,9 +7,17 @@ one side is filed under the index of its nearest codeword, the other asks under
 codewords within 3 + 1 = 4 bits (5.3 on average); a pair with at most 1 differing bit in
 that segment always meets. Pairs that meet are compared in all 64 bits.
 
-Equal fingerprints are one class before anything is joined. A crowded codeword is dealt
-to blocks of bounded size, filed times asking, so no task holds a whole bucket. A block
-returns a spanning forest of its links, not its pairs; components do not need more.
+With many fingerprints the 4,096 codewords are crowded. Then two segments make a key: of
+4 errors, some two of the three segments hold at most 2 together. A fingerprint is filed
+under the two nearest codewords of each pair of segments, and asks under all pairs of
+codewords within 3 + e and 3 + f bits, e + f at most 2: some 180 askings for 2^24
+codeword pairs. Both forms meet every link; the number of fingerprints decides which has
+less to do.
+
+Equal fingerprints are one class before anything is joined. Filings and askings of each
+key are counted, and a crowded key is dealt to blocks of bounded size, filed times asking,
+so no task holds a whole bucket. A block returns a spanning forest of its links, not its
+pairs; components do not need more.
 """
 
 from __future__ import annotations
@@ -33,6 +41,9 @@ BITS = 4
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 #: Rows of one block of a bucket on the filed and on the asking side.
 FILED, ASKING = 2048, 8192
+#: Different fingerprints from which two segments make a key: a comparison takes a
+#: nanosecond, a shuffled row a microsecond.
+MANY = 50_000_000
 #: The generator polynomial of the code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011
 
@@ -59,18 +70,39 @@ def near_errors(radius: int = 4) -> np.ndarray:
     return table
 
 
-def codeword_keys(prints: np.ndarray, asking: bool) -> list[np.ndarray]:
-    """Per fingerprint its keys: segment number times 4,096 plus codeword index."""
+def _words(prints: np.ndarray) -> list[np.ndarray]:
     prints = prints.view(np.uint64)
+    return [((prints >> np.uint64(first)) & np.uint64((1 << width) - 1)).astype(np.int64) for first, width in SEGMENTS]
+
+
+def codeword_keys(prints: np.ndarray, asking: bool) -> np.ndarray:
+    """Per fingerprint its keys, or -1: segment number times 4,096 plus codeword index."""
     columns = []
-    for number, (first, width) in enumerate(SEGMENTS):
-        word = ((prints >> np.uint64(first)) & np.uint64((1 << width) - 1)).astype(np.int64)
+    for number, word in enumerate(_words(prints)):
         errors = near_errors()[syndrome(word)]
         errors = errors if asking else errors[:, :1]
         columns.append(np.where(errors < 0, -1, number * 4096 + ((word[:, None] ^ errors) >> 11)))
     return np.concatenate(columns, axis=1)
 
 
+def pair_keys(prints: np.ndarray, asking: bool) -> np.ndarray:
+    """Per fingerprint its keys of two segments, or -1: number of the pair, then both codeword indices."""
+    codes, over = [], []
+    for word in _words(prints):
+        errors = near_errors(5)[syndrome(word)]
+        errors = errors if asking else errors[:, :1]
+        codes.append((word[:, None] ^ errors) >> 11)
+        # Bits beyond the three of the code itself; a pattern that isn't there is out of reach.
+        bits = np.bitwise_count(np.maximum(errors, 0)).astype(np.int64)
+        over.append(np.where(errors < 0, 3, np.maximum(bits - 3, 0)))
+    columns = []
+    for number, (a, b) in enumerate(itertools.combinations(range(len(SEGMENTS)), 2)):
+        key = (number << 24) + codes[a][:, :, None] * 4096 + codes[b][:, None, :]
+        near = over[a][:, :, None] + over[b][:, None, :] <= BITS * 2 // len(SEGMENTS)
+        columns.append(np.where(near, key, -1).reshape(len(prints), -1))
+    return np.concatenate(columns, axis=1)
+
+
 def fingerprint(text: bytes) -> int:
     """64 majority bits over the XXH64 of all 4-word shingles, as a signed number."""
     found = text.lower().split()
@@ -96,14 +128,14 @@ def _fingerprints(texts: pa.Array) -> pa.Array:
     return pa.array([fingerprint(t.as_py() or b"") for t in texts], pa.int64())
 
 
-@F.arrow_udf(T.ArrayType(T.IntegerType()))
-def _filed_keys(prints: pa.Array) -> pa.Array:
-    return _lists(codeword_keys(prints.to_numpy(zero_copy_only=False), False))
+def _keys(of, asking: bool):
+    """The column function from fingerprints to their lists of keys."""
+    def keys(prints: pa.Array) -> pa.Array:
+        prints = prints.to_numpy(zero_copy_only=False)
+        parts = [_lists(of(prints[i:i + 512], asking)) for i in range(0, len(prints), 512)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
-
-@F.arrow_udf(T.ArrayType(T.IntegerType()))
-def _asking_keys(prints: pa.Array) -> pa.Array:
-    return _lists(codeword_keys(prints.to_numpy(zero_copy_only=False), True))
+    return F.arrow_udf(keys, T.ArrayType(T.IntegerType()))
 
 
 def _lists(keys: np.ndarray) -> pa.Array:
@@ -150,25 +182,32 @@ def _block_links(block: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in kept], pa.int64()), "b": pa.array([y for _, y in kept], pa.int64())})
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """``a, b``: links between different ``print`` values, enough of them for components."""
-    filed = prints.select("print", F.explode(_filed_keys("print")).alias("key"))
-    asking = prints.select("print", F.explode(_asking_keys("print")).alias("key"))
-    # At most 3 * 4,096 rows, so this table may be broadcast at any size of the input.
-    counts = (filed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-              .select("key", F.ceil(F.col("n") / FILED).cast("int").alias("filed_blocks"),
-                      # about 5.3 / 1 askings for each filing
-                      F.ceil(5.4 * F.col("n") / ASKING).cast("int").alias("asking_blocks")))
-    counts = F.broadcast(pin(counts, "buckets"))
-    own = lambda n: F.pmod(F.xxhash64("print", "key"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    dealt = (filed.join(counts, "key")
-             .select("key", "print", F.lit(False).alias("asks"), own("filed_blocks").alias("f"),
-                     every("asking_blocks").alias("q"))
-             .unionByName(asking.join(counts, "key")
-                          .select("key", "print", F.lit(True).alias("asks"), own("asking_blocks").alias("q"),
-                                  every("filed_blocks").alias("f"))))
-    return dealt.groupBy("key", "f", "q").applyInArrow(_block_links, "a bigint, b bigint")
+def dealt(prints: DataFrame, of=codeword_keys) -> DataFrame:
+    """``key, f, q, print, asks``: every meeting of a filed and an asking fingerprint is in one block ``key, f, q``."""
+    filed = prints.select("print", F.explode(_keys(of, False)("print")).alias("key"))
+    asking = prints.select("print", F.explode(_keys(of, True)("print")).alias("key"))
+    met = (filed.groupBy("key").agg(F.count(F.lit(1)).alias("filed"))
+           .join(asking.groupBy("key").agg(F.count(F.lit(1)).alias("asking")), "key"))
+    crowded = pin(met.where((F.col("filed") > FILED) | (F.col("asking") > ASKING)).select(
+        "key", F.ceil(F.col("filed") / FILED).cast("int").alias("filed_blocks"),
+        F.ceil(F.col("asking") / ASKING).cast("int").alias("asking_blocks")), "crowded")
+    n = lambda c: F.coalesce(F.col(c), F.lit(1))
+    own = lambda c: F.pmod(F.xxhash64("print", "key"), n(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), n(c) - 1))
+    return (filed.join(crowded, "key", "left")
+            .select("key", "print", F.lit(False).alias("asks"), own("filed_blocks").alias("f"), every("asking_blocks").alias("q"))
+            .unionByName(asking.join(crowded, "key", "left").select(
+                "key", "print", F.lit(True).alias("asks"), own("asking_blocks").alias("q"), every("filed_blocks").alias("f"))))
+
+
+def links(prints: DataFrame, of=None) -> DataFrame:
+    """``a, b``: links between different ``print`` values, enough of them for components.
+
+    ``of`` is :func:`codeword_keys` or :func:`pair_keys`; by default the number of
+    fingerprints decides.
+    """
+    of = of or (pair_keys if prints.count() >= MANY else codeword_keys)
+    return dealt(prints, of).groupBy("key", "f", "q").applyInArrow(_block_links, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
