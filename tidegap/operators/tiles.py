@@ -59,15 +59,17 @@ def _range_sums(diff, centre, reach: int, d: list[int]):
     found_left = left_end - upto[:, np.maximum(lowest, 0)] * (lowest >= 0)
     num = np.zeros((len(d), *found_left.shape), dtype=diff.dtype)
     den = np.zeros_like(num)
-    for to_right, found, edge in ((True, found_right, start + upto[:, centre]), (False, found_left, start + left_end)):
-        first = place[edge] if to_right else place[np.maximum(edge - 1, 0)]
+    for sign, found, edge in ((1, found_right, start + upto[:, centre]), (-1, found_left, start + left_end)):
+        # The nearest joint slot of a side, and the sums up to it, serve every ``d``.
+        first = place[edge] if sign > 0 else place[np.maximum(edge - 1, 0)]
+        at_edge = [b[edge] for b in before]
         for i, one in enumerate(d):
             n = np.minimum(found, one)
-            lo, hi = (edge, edge + n) if to_right else (edge - n, edge)
-            total, by_place, places = (b[hi] - b[lo] for b in before)
-            last = place[np.maximum(hi - 1, 0)] if to_right else place[lo]
+            far = edge + sign * n
+            total, by_place, places = (sign * (b[far] - e) for b, e in zip(before, at_edge))
+            last = place[np.maximum(far - 1, 0)] if sign > 0 else place[far]
             # Offsets are distances of places from the centre.
-            ends, sign = (first + last - 2 * centre, 1) if to_right else (2 * centre - first - last, -1)
+            ends = sign * (first + last - 2 * centre)
             num[i] += ends * total - sign * (by_place - centre * total)
             den[i] += ends * n - sign * (places - centre * n)
     return num, den, np.minimum(found_left, found_right) < d[-1]
