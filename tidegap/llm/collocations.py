@@ -169,7 +169,8 @@ def _count_hashes(given):
         for part in batches:
             for codes, hashes, follows in zip(part["codes"], part["hashes"], part["follows"]):
                 _, found = _phrases(codes.as_py(), hashes.as_py(), follows.as_py(), tables)
-                new, times = np.unique(found[-1][1], return_counts=True)
+                # No table has more bits than these: shorter numbers are shorter rows.
+                new, times = np.unique(found[-1][1] & np.uint64(0xFFFFFFFF), return_counts=True)
                 every, where = np.unique(np.concatenate([h, new]), return_inverse=True)
                 n = np.bincount(where, np.concatenate([n, times]), len(every)).astype(np.int64)
                 h = every
