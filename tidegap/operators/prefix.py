@@ -14,9 +14,14 @@ def with_before(rows: DataFrame, keys: list[str], place: str, n: str, name: str)
     ``place`` counts from 0 and comes once in each key. Places are summed in blocks of
     ``TOGETHER``. The blocks before block ``b`` are, for each bit that is set in ``b``, one
     aligned run of as many blocks; such runs are plain sums. So there is no window over
-    the blocks of a key either, and a key with one block makes no runs.
+    the blocks of a key either. ``rows`` are read several times and should be written; the
+    largest place comes to the driver, as with one block there is nothing to join.
     """
+    within = Window.partitionBy(*keys, "_block").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum(n).over(within), F.lit(0))
     blocked = rows.withColumn("_block", F.expr(f"{place} div {TOGETHER}"))
+    if (rows.agg(F.max(place)).first()[0] or 0) < TOGETHER:
+        return blocked.withColumn(name, inside).drop("_block")
     sums = blocked.groupBy(*keys, "_block").agg(F.sum(n).alias("_sum"))
     tops = sums.groupBy(*keys).agg(F.max("_block").alias("_top")).where("_top > 0")
     several = sums.join(tops, keys)
@@ -27,6 +32,5 @@ def with_before(rows: DataFrame, keys: list[str], place: str, n: str, name: str)
         "explode(filter(sequence(0, length(bin(_block)) - 1), b -> shiftright(_block, b) % 2 = 1))"))
         .select(*keys, "_block", "_bit", F.expr("shiftright(_block, _bit) - 1").alias("_run")))
     prior = asked.join(runs, [*keys, "_bit", "_run"]).groupBy(*keys, "_block").agg(F.sum("_sum").alias("_prior"))
-    within = Window.partitionBy(*keys, "_block").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
-    total = F.coalesce(F.sum(n).over(within), F.lit(0)) + F.coalesce("_prior", F.lit(0))
-    return blocked.join(prior, [*keys, "_block"], "left").withColumn(name, total).drop("_block", "_prior")
+    return blocked.join(prior, [*keys, "_block"], "left").withColumn(
+        name, inside + F.coalesce("_prior", F.lit(0))).drop("_block", "_prior")

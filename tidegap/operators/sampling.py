@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidegap.cluster import pin
 from tidegap.operators.prefix import with_before
 from tidegap.operators.series import attach_facts, observed_slots, season_stats
 
@@ -34,7 +35,8 @@ def _ranks(pool: DataFrame, seed: int) -> DataFrame:
     head = F.conv(F.substring("_h", 1, 8), 16, 10).cast("decimal(20,0)")
     keyed = pool.withColumn("_h", _hash_order(seed)).withColumn(
         "_range", F.floor(head * ranges / F.lit(1 << 32)).cast("bigint"))
-    counts = keyed.groupBy("series_id", "_range").agg(F.count(F.lit(1)).alias("_n"), F.first("wanted").alias("_cuts"))
+    counts = pin(keyed.groupBy("series_id", "_range").agg(
+        F.count(F.lit(1)).alias("_n"), F.first("wanted").alias("_cuts")), "ranges")
     hist = (
         with_before(counts, ["series_id"], "_range", "_n", "_before")
         .select("series_id", "_range", "_before", F.exists("_cuts", lambda w: (

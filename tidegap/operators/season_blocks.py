@@ -147,14 +147,16 @@ def dealt(costs: DataFrame, tasks: int) -> tuple[DataFrame, int]:
     parts = max(1, min(max(tasks, -(-total // TASK_COST)), total // dearest))
     buckets = max(1, n // SUMMED_TOGETHER)
     keyed = costs.withColumn("bucket", F.pmod(F.xxhash64("series_id", "qc"), F.lit(buckets)))
-    up_to = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # One row for each bucket, a hundred-thousandth of the tiles.
-    sums = keyed.groupBy("bucket").agg(F.sum("cost").alias("cost")).select(
-        "bucket", F.coalesce(F.sum("cost").over(up_to), F.lit(0)).alias("prior"))
     within = Window.partitionBy("bucket").orderBy("series_id", "qc", "hc").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("prior") + F.coalesce(F.sum("cost").over(within), F.lit(0))
+    before = F.coalesce(F.sum("cost").over(within), F.lit(0))
+    if buckets > 1:
+        up_to = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        # One row for each bucket, a hundred-thousandth of the tiles.
+        sums = keyed.groupBy("bucket").agg(F.sum("cost").alias("cost")).select(
+            "bucket", F.coalesce(F.sum("cost").over(up_to), F.lit(0)).alias("prior"))
+        keyed, before = keyed.join(sums, "bucket"), before + F.col("prior")
     part = F.floor(before.cast("decimal(38,0)") * parts / max(1, total))
-    return keyed.join(sums, "bucket").select(
+    return keyed.select(
         "series_id", "qc", "hc", F.least(part, F.lit(parts - 1)).cast("int").alias("task")), parts
 
 
