@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tidegap.cluster import pin
+from tidegap.cluster import pin, scratch_path
 from tidegap.llm.components import components
 
 #: Most words of a phrase, fewest occurrences of a candidate, results for each language.
@@ -259,7 +259,13 @@ def _small_batches(spark: SparkSession) -> Iterator[None]:
 def coded(docs: DataFrame) -> DataFrame:
     """Texts of ``docs(lang, text)`` cut into words, some megabytes of a language to a row."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), "text").where("text is not null")
-    return pin(texts.mapInArrow(_code, ", ".join(f"{name} {kind}" for name, kind, _ in _CODED)), "coded")
+    rows = texts.mapInArrow(_code, ", ".join(f"{name} {kind}" for name, kind, _ in _CODED))
+    path = scratch_path(docs.sparkSession, "coded")
+    # Cells of a megabyte: without a look after each row, a page of the file would hold a hundred.
+    rows.write.options(**{"parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1,
+                          "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1,
+                          "parquet.enable.dictionary": False}).parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def bit_table(counts: DataFrame, least: int) -> bytes:
