@@ -9,7 +9,8 @@ Within a tile a query season and a history season are compared once for each shi
 windows of all queries of the season are ranges of that one row of differences: its joint
 slots are numbered, and running sums over them give the ``d`` nearest joint slots of any
 query on either side, with their weighted differences, by looking up the ends of a range.
-Decimal fractions are compared as whole numbers, so running sums are exact.
+Comparisons for a larger ``d`` stop where the sums of a smaller one already show that the
+candidate is farther than the ``max(k)`` nearest met so far. Decimal fractions are compared as whole numbers, so running sums are exact.
 """
 
 from __future__ import annotations
@@ -33,12 +34,21 @@ _DISTANCES = 1 << 23
 _DECIMALS = 6
 
 
-def _range_sums(diff, centre, reach: int, d: list[int]):
-    """Weighted difference and weight of both sides for each row, query and ``d``.
+def _may_enter(low, den, bound):
+    """Which candidates can still be among the nearest: their distance is at least ``low / den``."""
+    return low <= bound * den
+
+
+def _range_distances(diff, centre, reach: int, d: list[int], unit: float, bound=None):
+    """Distances for each ``d``, row and query, infinite where no slot is joint.
 
     ``diff`` holds a row of absolute differences for each pair of seasons and shift, NaN
     where a slot is not joint; ``centre`` the column of each query. Also tells where fewer
     than ``max(d)`` joint slots lie within ``reach`` on a side.
+
+    ``bound`` holds distances beyond which a candidate is not wanted. The offsets of a
+    smaller ``d`` are among those of a larger one, so their part of its sum is a lower
+    bound; where that is beyond, the rest is not looked up, and the distance is infinite.
     """
     import numpy as np
 
@@ -57,22 +67,41 @@ def _range_sums(diff, centre, reach: int, d: list[int]):
     found_right = upto[:, np.minimum(centre + reach, diff.shape[1] - 1)] - upto[:, centre]
     left_end = upto[:, np.maximum(centre - 1, 0)] * (centre >= 1)
     found_left = left_end - upto[:, np.maximum(lowest, 0)] * (lowest >= 0)
-    num = np.zeros((len(d), *found_left.shape), dtype=diff.dtype)
-    den = np.zeros_like(num)
+    few = np.minimum(found_left, found_right) < d[-1]
+    sides = []
     for sign, found, edge in ((1, found_right, start + upto[:, centre]), (-1, found_left, start + left_end)):
         # The nearest joint slot of a side, and the sums up to it, serve every ``d``.
         first = place[edge] if sign > 0 else place[np.maximum(edge - 1, 0)]
-        at_edge = [b[edge] for b in before]
-        for i, one in enumerate(d):
+        sides.append((sign, found, edge, first, [b[edge] for b in before], [0.0, 0.0]))
+    dist = np.empty((len(d), *found_left.shape))
+    for i, one in enumerate(d):
+        den, low, fars = 0, 0, []
+        for sign, found, edge, first, at_edge, known in sides:
             n = np.minimum(found, one)
             far = edge + sign * n
-            total, by_place, places = (sign * (b[far] - e) for b, e in zip(before, at_edge))
             last = place[np.maximum(far - 1, 0)] if sign > 0 else place[far]
             # Offsets are distances of places from the centre.
             ends = sign * (first + last - 2 * centre)
-            num[i] += ends * total - sign * (by_place - centre * total)
-            den[i] += ends * n - sign * (places - centre * n)
-    return num, den, np.minimum(found_left, found_right) < d[-1]
+            den = den + ends * n - (before[2][far] - at_edge[2] - sign * centre * n)
+            low = low + ends * known[0] - known[1]
+            fars.append((ends, far))
+        look = slice(None)
+        if bound is not None and i:
+            look = np.nonzero(few | _may_enter(low, den * (unit or 1.0), bound[i]))
+        num = 0
+        for (sign, _, _, _, at_edge, known), (ends, far) in zip(sides, fars):
+            total = sign * (before[0][far[look]] - at_edge[0][look])
+            by_offset = before[1][far[look]] - at_edge[1][look] - np.broadcast_to(centre, far.shape)[look] * (sign * total)
+            if look == slice(None):
+                known[0], known[1] = total, by_offset
+            else:
+                known[0][look], known[1][look] = total, by_offset
+            num = num + ends[look] * total - by_offset
+        dist[i] = np.inf
+        with np.errstate(invalid="ignore", divide="ignore"):
+            found = num / (den[look] * (unit or 1.0))
+        dist[i][look] = np.where(den[look] > 0, found, np.inf)
+    return dist, few
 
 
 def _unit(*tables, power: int = 1) -> float:
@@ -93,7 +122,7 @@ def _tile_function(shape: Shape, k: list[int], d: list[int], v: list[int], senti
     """The function for one tile. With parameters in the rows, ``k``, ``d`` and ``v`` are theirs."""
     period, margin = shape.period, shape.margin
 
-    def neighbours(q_season, slots, q_vals, vals, season, n_slots, unit, reach, width, max_shift, k_max, d, rings):
+    def neighbours(q_season, slots, q_vals, vals, season, n_slots, unit, reach, width, v_max, k_max, d, rings):
         """The nearest candidates of some queries of a season for each ``d`` and number of rings.
 
         Yields the number of rings less one, query, ``d`` and number of its candidates for
@@ -101,6 +130,7 @@ def _tile_function(shape: Shape, k: list[int], d: list[int], v: list[int], senti
         """
         import numpy as np
 
+        max_shift = v_max[-1]
         shifts = np.arange(-max_shift, max_shift + 1)
         q_idx = q_season * period + slots
         h_idx = season[:, None] * period + (slots[:, None] + shifts)[:, None, :]
@@ -124,10 +154,10 @@ def _tile_function(shape: Shape, k: list[int], d: list[int], v: list[int], senti
             for at in range(0, len(b), step):
                 bs, ss = b[at:at + step], s[at:at + step]
                 diff = np.abs(windows[bs, lo + shifts[ss]] - query)
-                num, den, few = _range_sums(diff, centre - lo, reach, d)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    found = (num / (den * (unit or 1.0))).astype(float)
-                found = np.where(den > 0, found, np.inf)
+                beyond = None
+                if bound is not None:
+                    beyond = bound[:, of[:, None], ring_of[ss]].transpose(0, 2, 1)
+                found, few = _range_distances(diff, centre - lo, reach, d, unit, beyond)
                 asked = wanted[:, bs, ss]
                 place = (slice(None), of[:, None], bs, ss)
                 dist[place] = np.where(asked, found.transpose(0, 2, 1), dist[place])
@@ -139,7 +169,17 @@ def _tile_function(shape: Shape, k: list[int], d: list[int], v: list[int], senti
         # Where windows may meet the query's own slot, which counts as missing for it alone.
         close = np.abs(season - q_season) * period <= width + max_shift
         every = np.arange(len(slots))
-        compare(scaled[0], every, usable & ~close[None, :, None], reach)
+        ring_of = np.searchsorted(v_max, np.abs(shifts))
+        bound = None
+        # Some of the history first: its nearest bound what the rest has to be compared for.
+        for wave in (np.arange(len(season)) % 8 == 0, np.arange(len(season)) % 8 == 4,
+                     np.arange(len(season)) % 4 == 2, np.arange(len(season)) % 2 == 1):
+            compare(scaled[0], every, usable & (wave & ~close)[None, :, None], reach)
+            if sentinel is None and len(d) > 1:
+                by_ring = [dist.reshape(len(d), len(slots), -1)[:, :, order] for order in rings]
+                bound = np.stack([np.partition(x, k_max - 1, axis=2)[:, :, k_max - 1] if x.shape[2] > k_max
+                                  else np.full(x.shape[:2], np.inf) for x in by_ring], axis=2) + 2 * 10.0**-PLACES
+                bound = bound if np.isfinite(bound).any() else None
         for q in every if close.any() else ():
             own = np.where(close, (q_season - season) * period + slots[q] + margin, -1)
             rows = np.flatnonzero((own >= 0) & (own < vals.shape[1]))
@@ -211,7 +251,7 @@ def _tile_function(shape: Shape, k: list[int], d: list[int], v: list[int], senti
             for at, slots, q_vals in zip(asked["season"].to_pylist(), asked["slots"].to_pylist(), q_all):
                 for lo in range(0, len(slots), together):
                     for one, columns in neighbours(at, np.array(slots[lo:lo + together]), q_vals, vals, season, n_slots,
-                                                   unit, reach, width, max_shift, max(ks), ds, rings):
+                                                   unit, reach, width, vs, max(ks), ds, rings):
                         lists.append(one)
                         found.append(columns)
         flat = lambda parts: [np.concatenate(c).astype(c[0].dtype) for c in zip(*parts)]
